@@ -1,7 +1,9 @@
 """Every operator as a query over the test tables, with the same query in SQL."""
 
 from newsweave.catalog import registry
-from newsweave.catalog import flagship  # noqa: F401
+from newsweave.catalog import (  # noqa: F401
+    article_queries, click_queries, evaluation_queries, flagship, vector_queries,
+)
 
 
 def all_queries():
