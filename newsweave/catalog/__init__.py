@@ -2,7 +2,7 @@
 
 from newsweave.catalog import registry
 from newsweave.catalog import (  # noqa: F401
-    article_queries, click_queries, evaluation_queries, flagship, vector_queries,
+    article_queries, click_queries, evaluation_queries, flagship, model_queries, table_queries, vector_queries,
 )
 
 

@@ -16,9 +16,9 @@ def vector_text(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda x: x.cast("string")), ",")
 
 
-def parsed_vector(text: Column) -> Column:
+def parsed_vector(text: Column, kind: str = "float") -> Column:
     """The inverse of :func:`vector_text`; an unreadable number becomes null."""
-    return F.transform(F.split(text, ","), lambda part: part.try_cast("float"))
+    return F.transform(F.split(text, ","), lambda part: part.try_cast(kind))
 
 
 def well_formed(vector: Column) -> Column:

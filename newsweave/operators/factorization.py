@@ -18,7 +18,8 @@ from newsweave.operators.evaluation import (
 
 
 def als_estimator(seed: int = 47, **params) -> ALS:
-    """The factor model to fit; ``params`` override the defaults."""
+    """The factor model to fit; ``params`` override the defaults. The rank has to
+    stay below the numbers of users and of items, or the solver may fail."""
     return ALS(
         userCol="userId", itemCol="newsId", ratingCol="clicked", implicitPrefs=True,
         coldStartStrategy="drop", seed=seed, **{**ALS_PARAMS, **params},
