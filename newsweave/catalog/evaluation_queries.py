@@ -89,11 +89,7 @@ def compared(spark, folder):
     train, valid = behaviors_train(spark, folder), behaviors_valid(spark, folder)
     sample, _ = training_samples(train, valid)
     model = als_estimator(rank=10, maxIter=5).fit(sample)
-    truth = recommendations.factor_ids(truth_pairs(valid)).unionByName(
-        recommendations.factor_ids(truth_pairs(valid).fillna({"news_id": "N0"})).withColumn(
-            "news_id", F.lit(None).cast("int")
-        ).distinct()
-    )
+    truth = recommendations.factor_ids(truth_pairs(valid), keep_empty=True)
     return evaluation.compared(
         {
             "collaborative": flat_recommendations(als_recommendations(model)),

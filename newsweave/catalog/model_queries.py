@@ -64,7 +64,7 @@ def grid(spark, folder):
 def stored_model(spark, folder):
     path = new_folder(spark, "model")
     factorization.save_model(_model(spark, folder), path)
-    clicked = factor_ids(truth_pairs(behaviors_valid(spark, folder)))
+    clicked = factor_ids(truth_pairs(behaviors_valid(spark, folder)), keep_empty=True)
     return factorization.evaluated(spark, path, clicked)
 
 

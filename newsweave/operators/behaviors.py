@@ -8,7 +8,7 @@ from newsweave.constants import NPRATIO, SPLIT_RATIO, SPLIT_SEED
 from newsweave.functions.clicks import (
     click_label, hash_fraction, numeric_id, repeatable_key, shown_item, words,
 )
-from newsweave.operators.ranking import row_numbers, top_k
+from newsweave.operators.ranking import default_pieces, hash_piece, row_numbers, top_k
 
 
 def renamed_behaviors(behaviors: DataFrame) -> DataFrame:
@@ -84,7 +84,10 @@ def sampled_negatives(
         (F.count(F.lit(1)) * npratio).alias("_quota")
     )
     # The key is uniform, so a user's rows fall evenly into the ranges of it.
-    ranked = row_numbers(keyed, ["_key", "impression_id", "position"], ["userId"], out="_rank")
+    pieces = default_pieces(items)
+    ranked = row_numbers(
+        keyed, ["_key", "impression_id", "position"], ["userId"], "_rank", pieces, hash_piece(F.col("_key"), pieces)
+    )
     return (
         ranked.join(quota, F.col("userId") == F.col("_user"))
         .filter(F.col("_rank") <= F.col("_quota")).select(*items.columns)

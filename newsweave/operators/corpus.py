@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsweave.constants import (
     CRAWLED_COLUMNS, EXCLUDED_SOURCES, MAX_PAGES, PAGE_SIZE, SOURCE_CAP,
 )
-from newsweave.operators.joins import lookup_join, salted_join
+from newsweave.operators.joins import salted_join
 from newsweave.operators.ranking import row_numbers, top_k
+from newsweave.session import cut_lineage
 
 
 def union_all(*tables: DataFrame) -> DataFrame:
@@ -91,22 +92,25 @@ def capped_sources(
     """Articles read page by page within each group, where a source is left out
     of the pages after the one in which its count went over ``cap``. Articles
     without a source always stay. ``max_pages=None`` reads every page.
-
-    A source goes over the cap in the page of its article number ``cap + 1``,
-    so that one page per source decides, and no running count is needed.
     """
     group = list(group)
-    if max_pages is None:
-        placed = row_numbers(df, order, group, out="_place")
-    else:
-        placed = top_k(df, group, [F.asc_nulls_first(c) for c in order], max_pages * page_size, rank="_place")
-    paged = placed.withColumn("page", F.floor((F.col("_place") - 1) / page_size).cast("bigint"))
+    page = F.floor((F.col("_place") - 1) / page_size).cast("bigint")
+    if max_pages is not None:
+        # No group holds more than its pages, and all of it is in one task, so
+        # that counting per source needs no further shuffle.
+        first = top_k(df, group, [F.asc_nulls_first(c) for c in order], max_pages * page_size, rank="_place")
+        earlier = Window.partitionBy(*group, source).orderBy("page").rangeBetween(Window.unboundedPreceding, -1)
+        counted = first.withColumn("page", page).withColumn("_earlier", F.count(F.lit(1)).over(earlier))
+        return counted.filter(F.col(source).isNull() | (F.col("_earlier") <= cap)).select(*df.columns, "page")
+    # A source goes over the cap in the page of its article number cap + 1, so
+    # one page per source decides. The numbered articles are used three times.
+    paged = cut_lineage(row_numbers(df, order, group, out="_place").withColumn("page", page))
     with_source = paged.filter(F.col(source).isNotNull())
     last_page = (
         top_k(with_source.select(*group, source, "_place", "page"), [*group, source], [F.col("_place")], cap + 1)
         .filter(F.col("rank") == cap + 1).select(*group, source, F.col("page").alias("_last"))
     )
-    kept = lookup_join(with_source, last_page, [*group, source], "left").filter(
+    kept = salted_join(with_source, last_page, [*group, source], "left").filter(
         F.col("_last").isNull() | (F.col("page") <= F.col("_last"))
     )
     return union_all(

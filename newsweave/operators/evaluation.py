@@ -31,10 +31,10 @@ def ranking_metrics(recommendations: DataFrame, pairs: DataFrame, k: int = TOP_K
     with recommendations and a row in the truth (``pairs``, where a null item
     stands for a user without clicks: all metrics are then 0)."""
     shown = recommendations.filter(F.col("rank") <= k).select("user_id", "news_id", "rank")
-    truth = pairs.groupBy("user_id").agg(F.count("news_id").alias("relevant"))
-    users = shown.select("user_id").distinct().join(truth, "user_id")
-    hits = shown.join(pairs.select("user_id", "news_id").distinct(), ["user_id", "news_id"])
-    ranks = hits.groupBy("user_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    truth = pairs.groupBy("user_id").agg(F.count_distinct("news_id").alias("relevant"))
+    hits = with_label(shown, pairs).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("label") == 1, F.col("rank")))).alias("ranks")
+    )
     # Best possible gain for 1 to k relevant items.
     ideal, total = [], 0.0
     for place in range(1, k + 1):
@@ -44,16 +44,14 @@ def ranking_metrics(recommendations: DataFrame, pairs: DataFrame, k: int = TOP_K
     precisions = F.aggregate(
         F.transform("ranks", lambda r, i: (i + 1) / r), F.lit(0.0), lambda s, x: s + x
     )
-    known = F.col("relevant") > 0
-    return users.join(ranks, "user_id", "left").select(
+    any_hit = F.size("ranks") > 0
+    best = F.element_at(F.array(*ideal), F.least(F.col("relevant"), F.lit(k)).cast("int"))
+    return hits.join(truth, "user_id").select(
         "user_id",
-        (F.when(F.col("ranks").isNotNull(), F.size("ranks")).otherwise(0) / F.lit(float(k))).alias("precision"),
-        F.when(F.col("ranks").isNotNull() & known, F.size("ranks") / F.col("relevant")).otherwise(0.0).alias("recall"),
-        F.when(
-            F.col("ranks").isNotNull() & known,
-            gain / F.element_at(F.array(*ideal), F.least(F.col("relevant"), F.lit(k)).cast("int")),
-        ).otherwise(0.0).alias("ndcg"),
-        F.when(F.col("ranks").isNotNull() & known, precisions / F.col("relevant")).otherwise(0.0).alias("average_precision"),
+        (F.size("ranks") / F.lit(float(k))).alias("precision"),
+        F.when(any_hit, F.size("ranks") / F.col("relevant")).otherwise(0.0).alias("recall"),
+        F.when(any_hit, gain / best).otherwise(0.0).alias("ndcg"),
+        F.when(any_hit, precisions / F.col("relevant")).otherwise(0.0).alias("average_precision"),
     )
 
 

@@ -6,6 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from newsweave.functions.clicks import hash_fraction
+
+# Ranges whose bounds are written into the plan.
+MAX_CUT_POINTS = 256
+
 
 def top_k(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their rank from 1.
@@ -55,6 +60,7 @@ def row_numbers(
     group: Sequence[str] = (),
     out: str = "row_num",
     pieces: int | None = None,
+    piece: Column | None = None,
 ) -> DataFrame:
     """Row number from 1 in ascending ``order`` within ``group`` (or overall),
     without ever sorting a whole group in one task.
@@ -62,36 +68,48 @@ def row_numbers(
     The order columns are cut into ranges. A row's number is the count of rows
     in earlier ranges of its group plus its place in its own range. ``order``
     should identify a row, as ties are the only thing that cannot be split.
+    Cut points are sampled unless ``piece``, an int that never falls along the
+    order, says which of the ``pieces`` ranges a row is in.
     """
     order = [order] if isinstance(order, str) else list(order)
     group = list(group)
-    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.withColumn("_piece", _piece(order, _cut_points(df, order, pieces)))
-    sizes = placed.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    if pieces is None:
+        pieces = default_pieces(df)
+    if piece is None:
+        pieces = min(pieces, MAX_CUT_POINTS)
+        piece = _piece(order, _cut_points(df, order, pieces))
+    placed = df.withColumn("_piece", piece)
+    keys = [*group, "_piece"]
+    # At most ``pieces`` rows per group reach the window over the sizes.
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = (
+        Window.partitionBy(*(group or [F.lit(0)])).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = sizes.select(
+        *[F.col(c).alias(f"_of_{c}") for c in keys],
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+    )
+    if not group:
+        # One row per range.
+        offsets = F.broadcast(offsets)
     within = F.row_number().over(
-        Window.partitionBy(*group, "_piece").orderBy(*[F.asc_nulls_first(c) for c in order])
+        Window.partitionBy(*keys).orderBy(*[F.asc_nulls_first(c) for c in order])
     )
-    if group:
-        # At most ``pieces`` rows per group reach this window.
-        earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(
-            *[F.col(c).alias(f"_of_{c}") for c in [*group, "_piece"]],
-            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        )
-        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*group, "_piece"]]
-        placed = placed.join(offsets, same)
-        before = F.col("_before")
-    else:
-        counted = {row["_piece"]: row["_size"] for row in sizes.collect()}
-        offsets, total = [], 0
-        for number in range(max(counted, default=0) + 1):
-            offsets.append(total)
-            total += counted.get(number, 0)
-        before = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_piece") + 1)
-    numbered = placed.withColumn(out, (before + within).cast("bigint"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    numbered = placed.join(offsets, same).withColumn(out, (F.col("_before") + within).cast("bigint"))
     return numbered.select(*df.columns, out)
 
 
+def default_pieces(df: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_piece(key: Column, pieces: int) -> Column:
+    """The range of an md5 text among ``pieces`` equal ones."""
+    return F.floor(hash_fraction(key) * pieces).cast("int")
+
+
 def batch_numbers(df: DataFrame, order: str | Sequence[str], size: int, out: str = "batch") -> DataFrame:
     """Overall row number by ``order`` and the batch of ``size`` rows it is in."""
     return row_numbers(df, order).withColumn(out, F.floor((F.col("row_num") - 1) / size).cast("bigint"))
@@ -100,8 +118,9 @@ def batch_numbers(df: DataFrame, order: str | Sequence[str], size: int, out: str
 def distributed_index(df: DataFrame, key: str, batch_size: int) -> DataFrame:
     """A gapless index from 0 in the order of the key's hash, and its batch."""
     hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string")))
-    index = row_numbers(hashed, ["_hash", key]).drop("_hash")
+    pieces = default_pieces(df)
+    index = row_numbers(hashed, ["_hash", key], pieces=pieces, piece=hash_piece(F.col("_hash"), pieces))
     return (
-        index.withColumn("unique_id", F.col("row_num") - 1).drop("row_num")
+        index.withColumn("unique_id", F.col("row_num") - 1).drop("row_num", "_hash")
         .withColumn("batch_num", F.floor(F.col("unique_id") / batch_size).cast("bigint"))
     )

@@ -79,9 +79,13 @@ def with_label(recommendations: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def factor_ids(flat: DataFrame) -> DataFrame:
+def factor_ids(flat: DataFrame, keep_empty: bool = False) -> DataFrame:
     """String ids replaced by the int ids of the factor model; rows whose ids
-    have no such form are dropped."""
-    return flat.withColumn("user_id", numeric_id(F.col("user_id"), "U")).withColumn(
-        "news_id", numeric_id(F.col("news_id"), "N")
-    ).na.drop(subset=["user_id", "news_id"])
+    have no such form are dropped. ``keep_empty`` keeps rows whose item was
+    null before."""
+    item = numeric_id(F.col("news_id"), "N")
+    kept = flat.filter(item.isNotNull() | F.col("news_id").isNull()) if keep_empty else flat.filter(item.isNotNull())
+    return (
+        kept.withColumn("news_id", item).withColumn("user_id", numeric_id(F.col("user_id"), "U"))
+        .na.drop(subset=["user_id"])
+    )

@@ -28,6 +28,7 @@ from newsweave.constants import COARSE_CELLS, TOP_K
 from newsweave.functions.vectors import array_to_vector, unit_vector
 from newsweave.operators.joins import BROADCAST_BYTES, table_bytes
 from newsweave.operators.ranking import top_k
+from newsweave.session import cut_lineage
 
 # Scores are compared at this precision, so that the order in which a machine
 # adds up a product never decides a rank. Ties go to the lower article id.
@@ -257,13 +258,15 @@ def search_approximate(
 def search_exact(
     users: DataFrame, index: CellIndex, k: int = TOP_K, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Exact top ``k`` over the cells that can matter."""
-    users = users.select("user_id", "user_embedding")
-    first = _search_cells(_user_cells(users, index, "closest"), index, k, block_rows)
-    bounds = _ranked(first, k).filter(F.col("rank") == k).select("user_id", F.col("similarity_score").alias("bound"))
+    """Exact top ``k`` over the cells that can matter. Profiles and first hits
+    are each used several times, so they are written out once."""
+    users = cut_lineage(users.select("user_id", "user_embedding"))
+    closest = _user_cells(users, index, "closest")
+    first = cut_lineage(_ranked(_search_cells(closest, index, k, block_rows), k))
+    bounds = first.filter(F.col("rank") == k).select("user_id", F.col("similarity_score").alias("bound"))
     open_users = users.join(bounds, "user_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
     others = _search_cells(_user_cells(open_users, index, "reachable"), index, k, block_rows)
-    return _ranked(first.unionByName(others), k)
+    return _ranked(first.drop("rank").unionByName(others), k)
 
 
 def top_articles(

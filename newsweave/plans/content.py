@@ -76,6 +76,9 @@ def content_job(
         found = stored.select(F.col("userId").alias("user_id"), F.inline("recommendations")).select(
             "user_id", F.col("newsId").alias("news_id"), F.col("rating").alias("similarity_score"), "rank"
         )
+    else:
+        # The search would otherwise run once per metric.
+        found = cut_lineage(found)
     truth = truth_pairs(tables.valid)
     return ContentResult(
         profiles, found, similarity_errors(found, truth),
