@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newsweave.catalog.registry import VIEWS
 from newsweave.operators.joins import lookup_join
 from newsweave.operators.text_vectors import cleaned, tokenised
+from newsweave.session import new_folder
+from newsweave.sources.tables import spread
 
 SPLIT_DAY = "2024-01-24"
 # Events of a user and day are logged as one impression row per this many event
@@ -127,7 +129,7 @@ def news(spark: SparkSession, folder: str) -> DataFrame:
     abstract, null when there is none."""
     title = F.substring_index("text", "\n", 1)
     rest = F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)")
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.concat(F.lit("N"), F.col("doc_id")).alias("news_id"),
         F.col("source").alias("category"), F.col("lang").alias("subcategory"),
         title.alias("title"), F.nullif(rest, F.lit("")).alias("abstract"),
@@ -174,15 +176,18 @@ def token_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """A vector for every word of three or more letters, picked among the
-    embeddings by the word's hash."""
+    embeddings by the word's hash, as a stored table."""
     vectors = table(spark, folder, "embeddings")
     rows = vectors.count()
     words = token_lists(spark, folder).select(F.explode("tokens").alias("token")).distinct()
     number = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint"), F.lit(rows))
-    picked = words.filter(F.length("token") >= 3).withColumn("vec_id", number)
-    return lookup_join(picked, vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(
+    cores = spark.sparkContext.defaultParallelism
+    picked = words.filter(F.length("token") >= 3).withColumn("vec_id", number).repartition(cores, "token")
+    path = new_folder(spark, "tokens")
+    lookup_join(picked, vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(
         "token", "vector"
-    )
+    ).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 VIEWS["token_numbers"] = """

@@ -193,8 +193,7 @@ def embedded(spark, folder):
 def stream(spark, folder):
     root = new_folder(spark, "stream")
     news(spark, folder).repartition(4, "news_id").write.parquet(f"{root}/articles")
-    token_vectors(spark, folder).write.parquet(f"{root}/tokens")
-    tokens = spark.read.parquet(f"{root}/tokens")
+    tokens = token_vectors(spark, folder)
     embed_arriving(
         spark, f"{root}/articles", f"{root}/vectors", tokens, f"{root}/checkpoint", STOP_WORDS, files_per_batch=2
     ).awaitTermination()

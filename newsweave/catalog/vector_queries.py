@@ -149,7 +149,7 @@ def _click_profiles(spark, folder):
 def exact_by_cells(spark, folder):
     articles = _numbered_articles(spark, folder)
     return _shown_recs(similarity.top_articles(
-        _click_profiles(spark, folder), articles, budget=0, cells=8, block_rows=128
+        _click_profiles(spark, folder), articles, budget=0, cells=8
     ))
 
 

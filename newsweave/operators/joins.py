@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Largest side that is sent whole to every executor.
-BROADCAST_BYTES = 64 << 20
+# Largest side that is sent whole to every executor, where its tasks share it.
+BROADCAST_BYTES = 256 << 20
 # A key with more rows than this on the large side is spread over several tasks.
 HOT_ROWS = 1_000_000
 SALTS = 64

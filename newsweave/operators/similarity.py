@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newsweave.constants import COARSE_CELLS, TOP_K
 from newsweave.functions.vectors import array_to_vector, unit_vector
-from newsweave.operators.joins import BROADCAST_BYTES, table_bytes
+from newsweave.operators.joins import table_bytes
 from newsweave.operators.ranking import top_k
 from newsweave.session import cut_lineage
 
@@ -35,6 +35,8 @@ from newsweave.session import cut_lineage
 SCORE_DECIMALS = 9
 SLICE_ROWS = 1024
 BLOCK_ROWS = 8192
+# Largest article matrix that every Python worker holds on its own.
+MATRIX_BYTES = 64 << 20
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -273,7 +275,7 @@ def top_articles(
     users: DataFrame,
     articles: DataFrame,
     k: int = TOP_K,
-    budget: int = BROADCAST_BYTES,
+    budget: int = MATRIX_BYTES,
     cells: int = COARSE_CELLS,
     seed: int = 42,
     block_rows: int = BLOCK_ROWS,

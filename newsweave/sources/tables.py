@@ -16,6 +16,13 @@ def read_table(spark: SparkSession, path: str | None = None, format: str = "parq
     return spark.read.format(format).options(**options).load(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, for work that is heavy per row, when the table has
+    fewer files than there are cores. A large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def read_tsv(
     spark: SparkSession, path: str | list[str], schema: T.StructType, null_tokens: Sequence[str] = ()
 ) -> DataFrame:
