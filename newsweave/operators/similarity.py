@@ -34,7 +34,9 @@ from newsweave.session import cut_lineage
 # adds up a product never decides a rank. Ties go to the lower article id.
 SCORE_DECIMALS = 9
 SLICE_ROWS = 1024
-BLOCK_ROWS = 8192
+# Articles a task holds at a time, and users that stream past them.
+BLOCK_ROWS = 32768
+USER_BLOCK_ROWS = 1_000_000
 # Largest article matrix that every Python worker holds on its own.
 MATRIX_BYTES = 64 << 20
 
@@ -154,7 +156,8 @@ def build_cells(articles: DataFrame, cells: int = COARSE_CELLS, seed: int = 42)
     model = KMeans(k=cells, seed=seed, featuresCol="features").fit(features)
     features.unpersist()
     centroids = _unit_rows(np.vstack(model.clusterCenters()))
-    assigned = _assigned(unit, centroids)
+    # Written out once; every search reads it several times.
+    assigned = cut_lineage(_assigned(unit, centroids))
     cosines = np.ones(len(centroids))
     for row in assigned.groupBy("cell").agg(F.min("cosine").alias("cosine")).collect():
         cosines[row["cell"]] = row["cosine"]
@@ -203,49 +206,74 @@ def _user_cells(users: DataFrame, index: CellIndex, how: str, probes: int = 1) -
 def _search_cells(user_cells: DataFrame, index: CellIndex, k: int, block_rows: int) -> DataFrame:
     """The ``k`` best articles of every (user, cell) pair, before merging.
 
-    A cell with more than ``block_rows`` articles or users is cut into blocks
-    by a hash of the id, and every user block meets every article block of its
-    cell in one task. The block counts are at most one row per cell.
+    A cell with more than ``block_rows`` articles, or more than
+    ``USER_BLOCK_ROWS`` users, is cut into blocks by a hash of the id, and every
+    user block meets every article block of its cell in one task. There, the
+    articles of a block come first and are held as a matrix; the users stream
+    past it in Arrow batches. The block counts are one row per cell.
     """
-    count = lambda df, out: df.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(out)
-    )
+    def blocks(df: DataFrame, rows: int, out: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(out))
+
     counts = F.broadcast(
-        count(index.articles, "article_blocks").join(count(user_cells, "user_blocks"), "cell")
-    )
-    span = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
-    left = (
-        user_cells.join(counts, "cell")
-        .withColumn("user_block", F.pmod(F.xxhash64("user_id"), F.col("user_blocks")).cast("int"))
-        .withColumn("article_block", span("article_blocks"))
-        .select("cell", "user_block", "article_block", "user_id", "user_embedding")
+        blocks(index.articles, block_rows, "article_blocks").join(
+            blocks(user_cells, USER_BLOCK_ROWS, "user_blocks"), "cell"
+        )
     )
-    right = (
-        index.articles.join(counts, "cell")
-        .withColumn("article_block", F.pmod(F.xxhash64("news_id"), F.col("article_blocks")).cast("int"))
-        .withColumn("user_block", span("user_blocks"))
-        .select("cell", "user_block", "article_block", "news_id", "embedding")
-    )
-    schema = _result_schema(user_cells, index.articles)
 
-    def search(users: pd.DataFrame, articles: pd.DataFrame) -> pd.DataFrame:
-        if users.empty or articles.empty:
-            return pd.DataFrame({name: [] for name in schema.names})
-        articles = articles.sort_values("news_id")
-        items = np.vstack(articles["embedding"].to_numpy())
-        parts = []
-        for start in range(0, len(users), SLICE_ROWS):
-            part = users.iloc[start:start + SLICE_ROWS]
-            rows, columns, values = _best(np.vstack(part["user_embedding"].to_numpy()), items, k)
-            parts.append(pd.DataFrame({
-                "user_id": part["user_id"].to_numpy()[rows],
-                "news_id": articles["news_id"].to_numpy()[columns],
-                "similarity_score": values,
-            }))
-        return pd.concat(parts)
+    def chosen(key: str, count: str):
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
+    schema = _result_schema(user_cells, index.articles)
     keys = ["cell", "user_block", "article_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+    articles = (
+        index.articles.join(counts, "cell")
+        .withColumn("article_block", chosen("news_id", "article_blocks"))
+        .withColumn("user_block", every("user_blocks"))
+        .select(*keys, F.lit(0).alias("kind"), F.lit(None).cast(schema["user_id"].dataType).alias("user_id"),
+                "news_id", F.col("embedding").alias("vector"))
+    )
+    users = (
+        user_cells.join(counts, "cell")
+        .withColumn("user_block", chosen("user_id", "user_blocks"))
+        .withColumn("article_block", every("article_blocks"))
+        .select(*keys, F.lit(1).alias("kind"), "user_id",
+                F.lit(None).cast(schema["news_id"].dataType).alias("news_id"), F.col("user_embedding").alias("vector"))
+    )
+    meeting = articles.unionByName(users).repartition(*keys).sortWithinPartitions(*keys, "kind", "news_id")
+    names = schema.names
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, parts, matrix = None, [], [], None
+        for batch in batches:
+            marks = np.column_stack([np.asarray(batch.column(c)) for c in (*keys, "kind")])
+            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *edges], [*edges, batch.num_rows]):
+                if start == end:
+                    continue
+                part, mark = batch.slice(start, end - start), tuple(marks[start])
+                if mark[:3] != block:
+                    block, ids, parts, matrix = mark[:3], [], [], None
+                if mark[3] == 0:
+                    ids.append(part.column("news_id"))
+                    parts.append(_matrix(part.column("vector")))
+                    continue
+                if not parts:
+                    continue
+                if matrix is None:
+                    matrix, block_ids = np.vstack(parts), pa.concat_arrays(ids)
+                for first in range(0, part.num_rows, SLICE_ROWS):
+                    piece = part.slice(first, SLICE_ROWS)
+                    rows, columns, values = _best(_matrix(piece.column("vector")), matrix, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column("user_id").take(pa.array(rows)), block_ids.take(pa.array(columns)), pa.array(values)],
+                        names=names,
+                    )
+
+    return meeting.mapInArrow(search, schema)
 
 
 def search_approximate(
