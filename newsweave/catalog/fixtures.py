@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsweave.catalog.registry import VIEWS
 from newsweave.operators.joins import lookup_join
-from newsweave.operators.text_vectors import cleaned, tokenised
+from newsweave.operators.text_vectors import cleaned, token_rows, tokenised
 from newsweave.session import new_folder
 from newsweave.sources.tables import spread
 
@@ -179,7 +179,7 @@ def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
     embeddings by the word's hash, as a stored table."""
     vectors = table(spark, folder, "embeddings")
     rows = vectors.count()
-    words = token_lists(spark, folder).select(F.explode("tokens").alias("token")).distinct()
+    words = token_rows(token_lists(spark, folder)).select("token").distinct()
     number = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint"), F.lit(rows))
     cores = spark.sparkContext.defaultParallelism
     picked = words.filter(F.length("token") >= 3).withColumn("vec_id", number).repartition(cores, "token")

@@ -24,11 +24,15 @@ def renamed_behaviors(behaviors: DataFrame) -> DataFrame:
 
 def shown_items(behaviors: DataFrame) -> DataFrame:
     """One row per item shown, with its place in the impression list. Rows
-    without an impression list give none."""
+    without an impression list give none.
+
+    The outer form and the filter after it keep Spark from splitting the list a
+    second time just to see whether it is empty.
+    """
     return behaviors.select(
         "impression_id", "user_id",
-        F.posexplode(F.split("impressions", " ")).alias("position", "impression"),
-    )
+        F.posexplode_outer(F.split("impressions", " ")).alias("position", "impression"),
+    ).filter(F.col("position").isNotNull())
 
 
 def labelled_items(shown: DataFrame) -> DataFrame:
@@ -121,8 +125,8 @@ def repeatable_split(
 def history_items(behaviors: DataFrame) -> DataFrame:
     """One row per item in the reading history, repeats kept."""
     return behaviors.select(
-        "impression_id", "user_id", F.explode(words(F.col("history"))).alias("news_id")
-    )
+        "impression_id", "user_id", F.explode_outer(words(F.col("history"))).alias("news_id")
+    ).filter(F.col("news_id").isNotNull())
 
 
 def first_behaviors(behaviors: DataFrame) -> DataFrame:
