@@ -11,7 +11,7 @@ from newsweave.catalog.registry import query
 from newsweave.constants import CRAWLED_COLUMNS
 from newsweave.functions.intervals import interval_number, intervals_of
 from newsweave.functions.text import clean_text, combined_text, tokens, without_stop_words
-from newsweave.operators import corpus, ranking, text_vectors
+from newsweave.operators import corpus, ranking, text_vectors, vectors
 from newsweave.sources.tables import latest_news
 
 
@@ -93,7 +93,8 @@ def token_level(spark, folder):
 def fitted_stages(spark, folder):
     articles = news(spark, folder)
     model = text_vectors.text_pipeline(fx.STOP_WORDS, vector_size=16).fit(articles)
-    return model.transform(articles).select("news_id", F.size("tokens").alias("words"), "embedding")
+    found = vectors.from_ml_vector(model.transform(articles), "embedding", "embedding")
+    return found.select("news_id", F.size("tokens").alias("words"), "embedding")
 
 
 @query("txt7_new_document_vectors", f"""
