@@ -37,21 +37,25 @@ def _cut_points(df: DataFrame, order: list[str], pieces: int) -> list[tuple]:
     return sorted(set(picks))
 
 
+def _at_or_after(order: list[str], cut: tuple) -> Column:
+    """Whether the row's key is at or after ``cut``, column by column. A null
+    column makes this null, which counts as before."""
+    result = F.col(order[-1]) >= F.lit(cut[-1])
+    for name, value in zip(order[-2::-1], cut[-2::-1]):
+        result = (F.col(name) > F.lit(value)) | ((F.col(name) == F.lit(value)) & result)
+    return result
+
+
 def _piece(order: list[str], cuts: list[tuple]) -> Column:
-    """How many cut points are at or below the row's key, by bisection."""
-    if len(order) == 1:
-        key, points = F.col(order[0]), [F.lit(c[0]) for c in cuts]
-    else:
-        key = F.struct(*order)
-        points = [F.struct(*[F.lit(v).alias(n) for v, n in zip(c, order)]) for c in cuts]
+    """How many cut points are at or before the row's key, by bisection."""
 
     def bisect(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(key >= points[middle], bisect(middle + 1, high)).otherwise(bisect(low, middle))
+        return F.when(_at_or_after(order, cuts[middle]), bisect(middle + 1, high)).otherwise(bisect(low, middle))
 
-    return bisect(0, len(points))
+    return bisect(0, len(cuts))
 
 
 def row_numbers(
