@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from newsweave.llm import simhash
+from pyspark.sql import functions as F
+
+from newsweave.llm import linededup, simhash
 from newsweave.llm.common import read
 
 QUERIES = {}
@@ -23,3 +25,28 @@ def query(name: str, sql: str | None = None):
 def simhash_components(spark, folder):
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+_LINES = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) place
+  from documents),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key
+  from lines),
+common as (
+  select key, max(doc_id) last_doc from keyed where length(key) >= 40
+  group by key having count(distinct doc_id) >= 5),
+judged as (
+  select k.*, c.key is not null and k.doc_id <> c.last_doc gone from keyed k left join common c on k.key = c.key)
+select doc_id, count(*) n_lines, sum(gone::int)::bigint n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) kept_sha256
+from judged group by doc_id"""
+
+
+@query("op4_line_dedup", _LINES)
+def line_dedup(spark, folder):
+    kept = linededup.deduplicated(read(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
