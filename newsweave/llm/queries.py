@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweave.llm import linededup, simhash
+from newsweave.llm import linededup, simhash, toxicity
 from newsweave.llm.common import read
 
 QUERIES = {}
@@ -50,3 +50,8 @@ from judged group by doc_id"""
 def line_dedup(spark, folder):
     kept = linededup.deduplicated(read(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op8_toxicity")
+def toxicity_scores(spark, folder):
+    return toxicity.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
