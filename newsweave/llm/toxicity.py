@@ -222,7 +222,9 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
                 rows = []
                 for text in part.column(1):
                     own = words_of(text.as_py() or "")
-                    rows.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int64, len(own)))
+                    row = np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int64, len(own))
+                    # A word repeated over and over is no more evidence than the word.
+                    rows.append(row[np.concatenate(([True], row[1:] != row[:-1]))] if len(row) else row)
                 known = list(numbers)
                 values = shared.value.of_words(known)
                 lengths = np.fromiter((len(w) + 1 for w in known), np.int64, len(known))
