@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweave.llm import linededup, simhash, toxicity
+from newsweave.llm import decontamination, linededup, simhash, toxicity
 from newsweave.llm.common import read
 
 QUERIES = {}
@@ -55,3 +55,8 @@ def line_dedup(spark, folder):
 @query("op8_toxicity")
 def toxicity_scores(spark, folder):
     return toxicity.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op1_benchmark_overlaps")
+def benchmark_overlaps(spark, folder):
+    return decontamination.overlaps(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
