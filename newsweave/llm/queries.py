@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontamination, linededup, simhash, toxicity
+from newsweave.llm import decontamination, linededup, sentencepieces, simhash, toxicity
 from newsweave.llm.common import read
 
+# Where the public tokenizers' files are.
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES = {}
 SQL = {}
 
@@ -60,3 +63,14 @@ def toxicity_scores(spark, folder):
 @query("op1_benchmark_overlaps")
 def benchmark_overlaps(spark, folder):
     return decontamination.overlaps(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op2_sentencepiece")
+def sentencepiece_ids(spark, folder, tokenizers=TOKENIZERS):
+    model = sentencepieces.model_bytes(f"{tokenizers}/piece_bpe_32k.model")
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    back = sentencepieces.decode(sentencepieces.encode(docs, model), model)
+    return back.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.col("text"), F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
