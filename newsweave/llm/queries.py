@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontamination, linededup, sentencepieces, simhash, toxicity
+from newsweave.llm import decontamination, linededup, secrets, sentencepieces, simhash, toxicity
 from newsweave.llm.common import read
 
 # Where the public tokenizers' files are.
@@ -74,3 +74,8 @@ def sentencepiece_ids(spark, folder, tokenizers=TOKENIZERS):
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.col("text"), F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+@query("op10_secrets")
+def secret_spans(spark, folder):
+    return secrets.report(secrets.scan(read(spark, folder, "documents")))
