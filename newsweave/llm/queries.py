@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontamination, linededup, secrets, sentencepieces, simhash, toxicity
+from newsweave.llm import (
+    decontamination, linededup, personal, secrets, sentencepieces, simhash, tokencounts, toxicity,
+)
 from newsweave.llm.common import read
+from newsweave.session import new_folder
 
 # Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -79,3 +82,16 @@ def sentencepiece_ids(spark, folder, tokenizers=TOKENIZERS):
 @query("op10_secrets")
 def secret_spans(spark, folder):
     return secrets.report(secrets.scan(read(spark, folder, "documents")))
+
+
+@query("op7_personal_data")
+def personal_spans(spark, folder):
+    return personal.report(personal.scan(read(spark, folder, "documents")))
+
+
+@query("op9_token_counts")
+def token_totals(spark, folder, tokenizers=TOKENIZERS):
+    versions = {v: tokencounts.rank_bytes(f"{tokenizers}/{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    rollup = tokencounts.TokenRollup(spark, new_folder(spark, "tokens"))
+    rollup.apply("0", read(spark, folder, "documents"), versions)
+    return rollup.totals()
