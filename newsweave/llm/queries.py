@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave.llm import (
-    decontamination, linededup, personal, secrets, sentencepieces, simhash, tokencounts, toxicity,
+    decontamination, linededup, pagetext, personal, secrets, sentencepieces, simhash, tokencounts, toxicity,
 )
 from newsweave.llm.common import read
 from newsweave.session import new_folder
@@ -95,3 +95,9 @@ def token_totals(spark, folder, tokenizers=TOKENIZERS):
     rollup = tokencounts.TokenRollup(spark, new_folder(spark, "tokens"))
     rollup.apply("0", read(spark, folder, "documents"), versions)
     return rollup.totals()
+
+
+@query("op6_page_text")
+def page_text(spark, folder):
+    found = pagetext.extract(read(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
