@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave.llm import (
-    decontamination, linededup, pagetext, personal, secrets, sentencepieces, simhash, tokencounts, toxicity,
+    decontamination, linededup, neighbours, pagetext, personal, secrets, sentencepieces, simhash, tokencounts,
+    toxicity,
 )
 from newsweave.llm.common import read
 from newsweave.session import new_folder
@@ -101,3 +102,8 @@ def token_totals(spark, folder, tokenizers=TOKENIZERS):
 def page_text(spark, folder):
     found = pagetext.extract(read(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_nearest_vectors")
+def nearest_vectors(spark, folder):
+    return neighbours.nearest(read(spark, folder, "embeddings"))
