@@ -143,6 +143,18 @@ def last_wins(spark, folder):
     return corpus.last_wins(both, "news_id", ["source_order"]).select("news_id", "subcategory", "title")
 
 
+@query("agg5_last_wins_among_ties", """
+with rows as (select doc_id % 50 key, lang, source, n_chars from documents),
+marked as (select *, md5(concat_ws(chr(31), key::varchar, coalesce(lang, chr(30)), coalesce(source, chr(30)), n_chars::varchar)) m from rows)
+select key, lang, source, n_chars from (
+  select *, row_number() over (partition by key order by lang desc, m desc) r from marked) where r = 1""")
+def last_wins_among_ties(spark, folder):
+    rows = table(spark, folder, "documents").select(
+        (F.col("doc_id") % 50).alias("key"), "lang", "source", "n_chars"
+    )
+    return corpus.last_wins(rows, "key", ["lang"])
+
+
 @query("agg6_any_row_per_key", "select distinct news_id from news_train")
 def any_row(spark, folder):
     both = corpus.union_all(news(spark, folder), news_valid(spark, folder))
@@ -170,7 +182,8 @@ def row_counts(spark, folder):
 
 def _paged(spark, folder):
     return clicks(spark, folder).select(
-        "event_id", F.col("event_type").alias("topic"),
+        # Some groups have no topic.
+        "event_id", F.nullif("event_type", F.lit("view")).alias("topic"),
         F.date_format("d", "yyyy-MM").alias("interval"),
         F.when(F.col("user_id") % 7 > 0, F.concat(F.lit("site"), F.col("user_id") % 7)).alias("source"),
         F.md5(F.col("event_id").cast("string")).alias("relevance"),
@@ -179,7 +192,7 @@ def _paged(spark, folder):
 
 _PAGED = """
 with paged as (
-  select event_id, event_type topic, strftime(d, '%Y-%m') "interval",
+  select event_id, nullif(event_type, 'view') topic, strftime(d, '%Y-%m') "interval",
          case when user_id % 7 > 0 then 'site' || (user_id % 7) end source, md5(event_id::varchar) relevance
   from clicks),
 numbered as (
@@ -225,7 +238,7 @@ select i "interval", strftime(s + to_seconds(i * len), '%Y-%m-%d %H:%M:%S') inte
 from l""")
 def intervals(spark, folder):
     bounds = _bounds(spark, folder)
-    return intervals_of(bounds, 10)
+    return intervals_of(bounds, 10).select("interval", "interval_start", "interval_end")
 
 
 def _bounds(spark, folder):

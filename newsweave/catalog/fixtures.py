@@ -12,9 +12,6 @@ from newsweave.session import new_folder
 from newsweave.sources.tables import spread
 
 SPLIT_DAY = "2024-01-24"
-# Events of a user and day are logged as one impression row per this many event
-# numbers, so that no row grows without bound.
-CHUNK = 65536
 # A short stop-word list that both engines are given.
 STOP_WORDS = [
     "a", "an", "and", "are", "as", "at", "be", "by", "der", "die", "el", "en", "for", "from", "in",
@@ -37,19 +34,18 @@ def rounded_sql(value: str, digits: int = 6) -> str:
 
 
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
-    """Events with their item number, day and chunk."""
+    """Events with their item number and day."""
     return table(spark, folder, "events").select(
         "user_id", "event_id", "event_type", "ts",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         F.col("ts").cast("date").alias("d"),
-        F.expr(f"event_id div {CHUNK}").alias("chunk"),
         F.col("event_type").isin("click", "purchase").alias("positive"),
     )
 
 
-VIEWS["clicks"] = f"""
+VIEWS["clicks"] = """
 select user_id, event_id, event_type, ts, cast(json_extract_string(props, '$.k') as bigint) k,
-       cast(ts as date) d, event_id // {CHUNK} chunk, event_type in ('click', 'purchase') positive
+       cast(ts as date) d, event_type in ('click', 'purchase') positive
 from events"""
 
 
@@ -59,12 +55,14 @@ def _joined_items(text: Column) -> Column:
 
 
 def behaviors(spark: SparkSession, folder: str) -> DataFrame:
-    """The click log: a row per user, day and chunk. The history is what the
-    user clicked the day before, null if nothing."""
+    """The click log: a row per user and day, as long as what one user sees in one
+    day. The history is what the user clicked the day before, null if nothing. The
+    first row of users with an odd number has its own day's clicks as history, as
+    if they had been here before; that of the others has none."""
     event = clicks(spark, folder)
     item = F.concat(F.lit("N"), F.col("k"))
     shown = F.concat(item, F.when(F.col("positive"), "-1").otherwise("-0"))
-    days = event.groupBy("user_id", "d", "chunk").agg(
+    days = event.groupBy("user_id", "d").agg(
         F.min("event_id").alias("impression_id"),
         _joined_items(shown).alias("impressions"),
         F.array_join(F.transform(F.array_sort(F.collect_list(
@@ -72,9 +70,14 @@ def behaviors(spark: SparkSession, folder: str) -> DataFrame:
         )), lambda x: x["item"]), " ").alias("clicks"),
     )
     before = days.filter(F.col("clicks") != "").select(
-        "user_id", F.date_add("d", 1).alias("d"), "chunk", F.col("clicks").alias("history")
+        "user_id", F.date_add("d", 1).alias("d"), F.col("clicks").alias("history")
     )
-    return days.join(before, ["user_id", "d", "chunk"], "left").select(
+    firsts = days.groupBy("user_id").agg(F.min("impression_id").alias("impression_id")).select(
+        "user_id", "impression_id", (F.col("user_id") % 2 == 1).alias("_known")
+    )
+    own = F.when(F.col("_known"), F.nullif("clicks", F.lit("")))
+    logged = days.join(before, ["user_id", "d"], "left").join(firsts, ["user_id", "impression_id"], "left")
+    return logged.withColumn("history", F.when(F.col("_known").isNull(), F.col("history")).otherwise(own)).select(
         "impression_id",
         F.concat(F.lit("U"), F.col("user_id")).alias("user_id"),
         F.concat(F.date_format("d", "M/d/yyyy"), F.lit(" 12:00:00 AM")).alias("time"),
@@ -83,14 +86,17 @@ def behaviors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 VIEWS["days"] = """
-select user_id, d, chunk, min(event_id) impression_id,
+select user_id, d, min(event_id) impression_id,
        string_agg('N' || k || (case when positive then '-1' else '-0' end), ' ' order by event_id) impressions,
        string_agg('N' || k, ' ' order by event_id) filter (where positive) clicked_items
-from clicks group by 1, 2, 3"""
+from clicks group by 1, 2"""
 VIEWS["behaviors"] = """
 select a.impression_id, 'U' || a.user_id user_id, strftime(a.d, '%-m/%-d/%Y') || ' 12:00:00 AM' "time",
-       b.clicked_items history, a.impressions, a.d
-from days a left join days b on a.user_id = b.user_id and a.chunk = b.chunk and a.d = b.d + 1"""
+       case when f.impression_id is null then b.clicked_items when a.user_id % 2 = 1 then a.clicked_items end history,
+       a.impressions, a.d
+from days a left join days b on a.user_id = b.user_id and a.d = b.d + 1
+left join (select user_id, min(impression_id) impression_id from days group by 1) f
+  on a.user_id = f.user_id and a.impression_id = f.impression_id"""
 
 
 def behaviors_train(spark: SparkSession, folder: str) -> DataFrame:
@@ -241,7 +247,7 @@ select user_id, list(m order by pos) p from (
   select user_id, pos, avg(v) m from (
     select h.user_id, unnest(a.embedding) v, unnest(range(1, len(a.embedding) + 1)) pos
     from history_rows h join article_vectors a using (news_id)
-    where h.impression_id in (select min(impression_id) from behaviors_train where history is not null group by user_id)
+    where h.impression_id in (select min(impression_id) from behaviors_train group by user_id)
   ) group by 1, 2) group by 1"""
 VIEWS["content_recs"] = """
 select user_id, news_id, similarity_score, "rank" from (
@@ -266,15 +272,10 @@ def popular_recs(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(counted, "user_id", [F.desc("similarity_score"), F.col("news_id")], 10)
 
 
-def logged_with_history(spark: SparkSession, folder: str) -> DataFrame:
-    """Training rows that have a history, as the first row of a user has none."""
-    return behaviors_train(spark, folder).filter(F.col("history").isNotNull())
-
-
 def content_profiles(spark: SparkSession, folder: str) -> DataFrame:
     from newsweave.operators.profiles import profiles_from_first_row
 
-    return profiles_from_first_row(logged_with_history(spark, folder), article_vectors(spark, folder))
+    return profiles_from_first_row(behaviors_train(spark, folder), article_vectors(spark, folder))
 
 
 def content_recs(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave.catalog.fixtures import (
-    article_vectors, behaviors_train, behaviors_valid, logged_with_history, news, news_valid, positions,
-    rounded, rounded_sql, table, token_vectors, STOP_WORDS,
+    article_vectors, behaviors_train, behaviors_valid, news, news_valid, positions, rounded,
+    rounded_sql, table, token_vectors, STOP_WORDS,
 )
 from newsweave.catalog.registry import query
 from newsweave.operators import clustering, factorization
@@ -122,7 +122,8 @@ select ({_BY_LENGTH})::integer "cluster", count(*) filter (where lang = 'de') de
 from documents group by 1""")
 def category_table(spark, folder):
     counts = clustering.category_counts(_grouped_documents(spark, folder))
-    return clustering.category_table(counts, ["de", "en", "es", "fr"])
+    # The categories are read from the counts, so that none is left out.
+    return clustering.category_table(counts)
 
 
 @query("fn20_plane", f"""
@@ -149,7 +150,7 @@ def clustered(spark, folder):
 def _content_input(spark, folder):
     return ContentInput(
         serialised(article_vectors(spark, folder).select("news_id", "embedding")),
-        logged_with_history(spark, folder), behaviors_valid(spark, folder),
+        behaviors_train(spark, folder), behaviors_valid(spark, folder),
     )
 
 

@@ -11,6 +11,7 @@ from newsweave.catalog.fixtures import (
 )
 from newsweave.catalog.registry import query
 from newsweave.functions.vectors import cosine
+from newsweave.operators.joins import lookup_join
 from newsweave.operators import profiles, recommendations, similarity, vectors
 from newsweave.session import new_folder
 
@@ -33,15 +34,17 @@ def vector_text(spark, folder):
 
 
 @query("fn13_parsed_vectors", f"""
-with texts as (select vec_id, case when label = 3 then '0.1,zz,3' when label = 5 then '' else vec_id || ',0.5,1.25' end t
+with texts as (select vec_id, case when label = 3 then '0.1,zz,3' when label = 5 then '' when label = 6 then 'NaN,1,2'
+                      when label = 7 then '1,Infinity,2' when label = 8 then null else vec_id || ',0.5,1.25' end t
                from embeddings),
 parts as (select vec_id, list_transform(string_split(t, ','), lambda x: try_cast(x as float)) v from texts)
 select vec_id, len(v)::bigint dimension, {rounded_sql('list_sum(list_transform(v, lambda x: x::double))')} total
-from parts where len(list_filter(v, lambda x: x is null)) = 0""")
+from parts where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0""")
 def parsed(spark, folder):
     texts = _embeddings(spark, folder).select(
         "vec_id",
-        F.when(F.col("label") == 3, "0.1,zz,3").when(F.col("label") == 5, "")
+        F.when(F.col("label") == 3, "0.1,zz,3").when(F.col("label") == 5, "").when(F.col("label") == 6, "NaN,1,2")
+        .when(F.col("label") == 7, "1,Infinity,2").when(F.col("label") == 8, F.lit(None))
         .otherwise(F.concat("vec_id", F.lit(",0.5,1.25"))).alias("embedding_string"),
     )
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -123,12 +126,12 @@ def all_rows_shuffled(spark, folder):
 
 @query("sim1_cosine_of_pairs", f"""
 select event_id, {rounded_sql('list_cosine_similarity(a.embedding::double[], b.embedding::double[])')} similarity
-from clicks c join embeddings a on c.k = a.vec_id join embeddings b on c.user_id % 500 = b.vec_id""")
+from clicks c join embeddings a on c.k = a.vec_id join embeddings b on c.user_id % (select count(*) from embeddings) = b.vec_id""")
 def cosine_pairs(spark, folder):
     left = _embeddings(spark, folder).select(F.col("vec_id").alias("k"), F.col("embedding").alias("a"))
     right = _embeddings(spark, folder).select(F.col("vec_id").alias("other"), F.col("embedding").alias("b"))
-    pairs = fx.clicks(spark, folder).withColumn("other", F.col("user_id") % 500)
-    return pairs.join(left, "k").join(right, "other").select(
+    pairs = fx.clicks(spark, folder).withColumn("other", F.col("user_id") % left.count())
+    return lookup_join(lookup_join(pairs, left, "k"), right, "other").select(
         "event_id", rounded(cosine(F.col("a"), F.col("b"))).alias("similarity")
     )
 
@@ -148,9 +151,14 @@ def _click_profiles(spark, folder):
 @query("sim2_exact_by_cells", _EXACT)
 def exact_by_cells(spark, folder):
     articles = _numbered_articles(spark, folder)
-    return _shown_recs(similarity.top_articles(
-        _click_profiles(spark, folder), articles, budget=0, cells=8
-    ))
+    index = similarity.build_cells(articles, cells=8)
+    return _shown_recs(similarity.search_exact(_click_profiles(spark, folder), index))
+
+
+@query("sim2_exact_by_blocks", _EXACT)
+def exact_by_blocks(spark, folder):
+    articles = _numbered_articles(spark, folder)
+    return _shown_recs(similarity.top_articles(_click_profiles(spark, folder), articles, budget=0))
 
 
 @query("sim5_small_blocks", _EXACT)
@@ -190,7 +198,7 @@ select user_id, news_id, category, {rounded_sql('similarity_score')} similarity_
 from content_recs join article_vectors using (news_id)""")
 def article_of_hit(spark, folder):
     categories = article_vectors(spark, folder).select("news_id", "category")
-    return _shown_recs(content_recs(spark, folder)).join(categories, "news_id")
+    return lookup_join(_shown_recs(content_recs(spark, folder)), categories, "news_id")
 
 
 @query("jn8_users_and_articles", _RECS.format(score=rounded_sql("similarity_score"), view="content_recs"))
@@ -241,16 +249,29 @@ def recommended_ids(spark, folder):
 
 
 @query("agg4_predictions_per_user", """
+with scored as (select "userId", "newsId", count(*)::double prediction from items group by 1, 2)
+select "userId", "newsId", prediction, row_number() over (partition by "userId" order by prediction desc, "newsId") "rank"
+from scored""")
+def predictions(spark, folder):
+    from newsweave.operators.behaviors import interactions
+
+    scored = interactions(behaviors_train(spark, folder)).groupBy("userId", "newsId").agg(
+        F.count(F.lit(1)).cast("double").alias("prediction")
+    )
+    return recommendations.ranked_predictions(scored).select("userId", "newsId", "prediction", "rank")
+
+
+@query("agg4_best_predictions_nested", """
 with scored as (select "userId", "newsId", count(*)::double prediction from items group by 1, 2),
 best as (select *, row_number() over (partition by "userId" order by prediction desc, "newsId") r from scored)
 select "userId", string_agg("newsId", ' ' order by r) predictions from best where r <= 10 group by 1""")
-def predictions(spark, folder):
+def best_predictions(spark, folder):
     from newsweave.operators.behaviors import interactions
 
     scored = interactions(behaviors_train(spark, folder)).groupBy("userId", "newsId").agg(
         F.count(F.lit(1)).cast("double").alias("prediction")
     )
-    found = recommendations.predictions_per_user(scored)
+    found = recommendations.predictions_per_user(scored, 10)
     return found.select("userId", F.array_join(F.col("predictions.newsId"), " ").alias("predictions"))
 
 

@@ -15,21 +15,24 @@ def interval_seconds(start: Column, end: Column, pieces: int) -> Column:
 
 
 def interval_number(ts: Column, start: Column, end: Column, pieces: int) -> Column:
-    """The interval an instant falls in, from 0; the last one takes the rest."""
+    """The interval an instant falls in, from 0; the last one takes the rest. In a
+    range of fewer seconds than pieces all but the last have no length."""
     passed = F.unix_timestamp(ts) - F.unix_timestamp(start)
-    return F.least(F.floor(passed / interval_seconds(start, end, pieces)), F.lit(pieces - 1))
+    length = interval_seconds(start, end, pieces)
+    return F.when(length > 0, F.least(F.floor(passed / F.nullif(length, F.lit(0))), F.lit(pieces - 1))).otherwise(pieces - 1)
 
 
 def intervals_of(bounds: DataFrame, pieces: int, start: str = "start", end: str = "end") -> DataFrame:
-    """One row per interval for each row of ``bounds``; an interval ends one
-    second before the next begins, the last one ends with the range."""
+    """One row per interval for each row of ``bounds``, whose columns stay; an
+    interval ends one second before the next begins, the last one ends with the
+    range."""
     length = interval_seconds(F.col(start), F.col(end), pieces)
     begin = F.col(start) + F.make_dt_interval(secs=(F.col("number") * length))
     until = F.when(F.col("number") == pieces - 1, F.col(end)).otherwise(
         F.col(start) + F.make_dt_interval(secs=((F.col("number") + 1) * length - 1))
     )
     return bounds.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).select(
-        F.col("number").cast("bigint").alias("interval"),
+        *bounds.columns, F.col("number").cast("bigint").alias("interval"),
         F.date_format(begin, INTERVAL_FORMAT).alias("interval_start"),
         F.date_format(until, INTERVAL_FORMAT).alias("interval_end"),
     )
@@ -38,4 +41,4 @@ def intervals_of(bounds: DataFrame, pieces: int, start: str = "start", end: str
 def time_intervals(spark: SparkSession, start: datetime, end: datetime, pieces: int) -> DataFrame:
     """Intervals between two given instants."""
     bounds = spark.range(1).select(F.lit(start).alias("start"), F.lit(end).alias("end"))
-    return intervals_of(bounds, pieces)
+    return intervals_of(bounds, pieces).drop("start", "end")

@@ -22,8 +22,9 @@ def parsed_vector(text: Column, kind: str = "float") -> Column:
 
 
 def well_formed(vector: Column) -> Column:
-    """True for a vector with at least one number and no unreadable one."""
-    return (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    """True for a vector with at least one number, all of them readable and finite."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
 
 
 def dot(left: Column, right: Column) -> Column:

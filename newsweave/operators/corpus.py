@@ -25,13 +25,19 @@ def in_order(*tables: DataFrame) -> DataFrame:
     return union_all(*[t.withColumn("source_order", F.lit(i)) for i, t in enumerate(tables)])
 
 
-def last_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per key, the one that comes last in ``order``. Rows without a
-    key are left out."""
+def row_mark(columns: Sequence[str]) -> Column:
+    """A hash of a row's values as text, which orders rows that nothing else does."""
+    return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns]))
+
+
+def last_wins(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """One row per key, the one that comes last in ``order``; among rows that tie,
+    the one with the greatest hash of its values, so that no partitioning changes
+    the result. Rows without a key are left out."""
     rows = df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
     return (
         rows.groupBy(F.col(key).alias("_key"))
-        .agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
+        .agg(F.max_by(F.struct(*df.columns), F.struct(*order, row_mark(df.columns))).alias("_row")).select("_row.*")
     )
 
 
@@ -110,7 +116,7 @@ def capped_sources(
         top_k(with_source.select(*group, source, "_place", "page"), [*group, source], [F.col("_place")], cap + 1)
         .filter(F.col("rank") == cap + 1).select(*group, source, F.col("page").alias("_last"))
     )
-    kept = salted_join(with_source, last_page, [*group, source], "left").filter(
+    kept = salted_join(with_source, last_page, [*group, source], "left", null_safe=True).filter(
         F.col("_last").isNull() | (F.col("page") <= F.col("_last"))
     )
     return union_all(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsweave.constants import TOP_K
 from newsweave.operators.recommendations import of_known_users, with_label
+from newsweave.session import cut_lineage
 
 
 def regression_metrics(predictions: DataFrame, label: str = "clicked", prediction: str = "prediction") -> DataFrame:
@@ -71,6 +72,8 @@ def compared(recommenders: dict[str, DataFrame], pairs: DataFrame, k: int = TOP_
     side, one row each. All tables use the same kind of ids."""
     rows = None
     for name, flat in recommenders.items():
+        # Two metrics read it, and it may be a whole search.
+        flat = cut_lineage(flat)
         ranking = mean_ranking_metrics(ranking_metrics(flat, pairs, k))
         errors = similarity_errors(flat, pairs)
         row = ranking.withColumn("recommender", F.lit(name)).join(

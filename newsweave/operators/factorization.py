@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsweave.constants import (
     ALS_PARAMS, GRID_ALPHAS, GRID_FOLDS, GRID_PARALLELISM, GRID_RANKS, GRID_REG_PARAMS, TOP_K,
 )
+from newsweave.session import shared_folder
 from newsweave.operators.evaluation import (
     mean_ranking_metrics, ranking_metrics, regression_metrics,
 )
@@ -19,10 +20,17 @@ from newsweave.operators.evaluation import (
 
 def als_estimator(seed: int = 47, **params) -> ALS:
     """The factor model to fit; ``params`` override the defaults. The rank has to
-    stay below the numbers of users and of items, or the solver may fail."""
+    stay below the numbers of users and of items, or the solver may fail. Factors
+    are held in as many blocks as there are cores, and cut from their lineage in
+    the shared folder every ten iterations."""
+    spark = SparkSession.active()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+    blocks = max(10, context.defaultParallelism)
     return ALS(
         userCol="userId", itemCol="newsId", ratingCol="clicked", implicitPrefs=True,
-        coldStartStrategy="drop", seed=seed, **{**ALS_PARAMS, **params},
+        coldStartStrategy="drop", seed=seed, **{"numUserBlocks": blocks, "numItemBlocks": blocks, **ALS_PARAMS, **params},
     )
 
 

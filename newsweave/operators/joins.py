@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from newsweave.session import cut_lineage
+
 # Largest side that is sent whole to every executor, where its tasks share it.
 BROADCAST_BYTES = 256 << 20
-# A key with more rows than this on the large side is spread over several tasks.
+# A key with more rows than this on the large side is spread over several tasks,
+# one for each so many rows.
 HOT_ROWS = 1_000_000
-SALTS = 64
+# Rows whose key is null match nothing, and are spread over this many tasks.
+NULL_SALTS = 64
+# Hot keys that are sent whole to every executor.
+HOT_KEYS = 100_000
 
 
 def _field_bytes(column: Column, kind: T.DataType) -> Column:
@@ -39,27 +47,40 @@ def salted_join(
     keys: str | list[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join in which hot keys of ``big`` are split over ``salts`` tasks.
+    """Equi-join in which a hot key of ``big`` is split over one task for each
+    ``hot_rows`` of its rows.
 
     ``small`` holds a key at most once. Its rows for hot keys are repeated once
-    per salt, all others stay single. The hot-key table has fewer than
-    rows(big) / ``hot_rows`` rows, which is what bounds its broadcast. The salt
-    hashes the row, so a task that runs again sends it to the same place.
+    per salt, all others stay single. With ``null_safe`` a null key equals a null
+    key; else its rows match nothing and are spread as well. The hot keys are
+    counted once and broadcast if there are at most HOT_KEYS. The salt hashes the
+    row, so a task that runs again sends it to the same place.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = (
-        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*keys, F.lit(salts).alias("_salts"))
+    hot = cut_lineage(
+        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+        .select(*[F.col(c).alias(f"_hot_{c}") for c in keys], F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
     )
+    hint = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
-    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_salts")).cast("int"))
+    unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in keys])
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")).cast("int"))
+    if not null_safe:
+        salt = F.when(unmatched, F.pmod(row_hash, F.lit(NULL_SALTS)).cast("int")).otherwise(salt)
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    left = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
-    right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+    def marked(side: DataFrame) -> DataFrame:
+        return side.join(hint, [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in keys], "left").drop(*[f"_hot_{c}" for c in keys])
+
+    left = marked(big).withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
+    right = marked(small).withColumn("_salt", F.explode(copies)).drop("_salts")
+    if not null_safe:
+        return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in [*keys, "_salt"] else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in [*keys, "_salt"]]
+    return left.join(renamed, same, how).drop("_salt", *[f"_right_{c}" for c in [*keys, "_salt"]])
 
 
 def lookup_join(

@@ -27,21 +27,21 @@ def mean_vectors(
     """Mean vector per group over its items, an item counting once per row.
     Items without a vector are ignored, groups without any are dropped.
 
-    While the vectors can be broadcast, each task sums up its own rows and one
-    partial vector per task and group is shuffled. Beyond that the repeats of
-    an item are counted first, and those counts go to the vectors.
+    The repeats of an item are counted first. While the vectors can be broadcast,
+    the counts are shuffled by group and meet the vectors there, so that no vector
+    is shuffled; a group holds an item once, so there are no more rows of it than
+    vectors. Beyond that the counts go to the vectors.
     """
     table = vectors.filter(F.col(vector).isNotNull()).select(
         F.col(item), array_to_vector(F.col(vector).cast("array<double>")).alias("_vector")
     )
     mean = Summarizer.metrics("mean")
+    weights = pairs.groupBy(group, item).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
     if table_bytes(vectors.select(item, vector)) <= budget:
-        joined = pairs.select(group, item).join(F.broadcast(table), item)
-        summary = mean.summary(F.col("_vector"))
+        joined = weights.repartition(group).join(F.broadcast(table), item)
     else:
-        weights = pairs.groupBy(group, item).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
         joined = salted_join(weights, table, item)
-        summary = mean.summary(F.col("_vector"), F.col("_weight"))
+    summary = mean.summary(F.col("_vector"), F.col("_weight"))
     return joined.groupBy(group).agg(summary.alias("_summary")).select(
         group, vector_to_array("_summary.mean").alias(out)
     )

@@ -7,17 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsweave.functions.clicks import hash_fraction
+from newsweave.session import cut_lineage
 
-# Ranges whose bounds are written into the plan.
+# Ranges whose bounds are written into the plan; more are cut by Spark itself.
 MAX_CUT_POINTS = 256
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_k(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group with their rank from 1.
 
     The comparison with ``k`` on ``row_number`` lets Spark cut every group to
-    ``k`` rows before the shuffle, so a hot group never travels whole.
+    ``k`` rows before the shuffle, so a hot group never travels whole. Spark does
+    so up to a threshold, which is raised to ``k`` where it is lower.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(_GROUP_LIMIT, "1000")) < k:
+        conf.set(_GROUP_LIMIT, str(k))
     group = [group] if isinstance(group, str) else list(group)
     position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return (
@@ -73,16 +79,19 @@ def row_numbers(
     in earlier ranges of its group plus its place in its own range. ``order``
     should identify a row, as ties are the only thing that cannot be split.
     Cut points are sampled unless ``piece``, an int that never falls along the
-    order, says which of the ``pieces`` ranges a row is in.
+    order, says which of the ``pieces`` ranges a row is in. Up to MAX_CUT_POINTS
+    ranges are an expression; more are a range shuffle, written out so that the
+    sizes and the numbers see the same ranges.
     """
     order = [order] if isinstance(order, str) else list(order)
     group = list(group)
     if pieces is None:
         pieces = default_pieces(df)
-    if piece is None:
-        pieces = min(pieces, MAX_CUT_POINTS)
-        piece = _piece(order, _cut_points(df, order, pieces))
-    placed = df.withColumn("_piece", piece)
+    if piece is None and pieces > MAX_CUT_POINTS:
+        ranged = df.repartitionByRange(pieces, *[F.asc_nulls_first(c) for c in order])
+        placed = cut_lineage(ranged.withColumn("_piece", F.spark_partition_id()))
+    else:
+        placed = df.withColumn("_piece", _piece(order, _cut_points(df, order, pieces)) if piece is None else piece)
     keys = [*group, "_piece"]
     # At most ``pieces`` rows per group reach the window over the sizes.
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsweave.constants import TOP_K
 from newsweave.functions.clicks import numeric_id
-from newsweave.operators.ranking import top_k
+from newsweave.operators.ranking import row_numbers, top_k
 
 
 def nested(flat: DataFrame) -> DataFrame:
@@ -48,9 +47,16 @@ def recommended_ids(recommendations: DataFrame) -> DataFrame:
     )
 
 
-def predictions_per_user(predictions: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The ``k`` best (prediction, newsId) pairs of each user, best first, ties
-    by item. A ranking metric at ``k`` reads no further."""
+def ranked_predictions(predictions: DataFrame) -> DataFrame:
+    """Every prediction of every user with its rank from 1, best first, ties by
+    item. The ranking stays in rows, as one user's may not fit into one of them."""
+    keyed = predictions.withColumn("_low", -F.col("prediction"))
+    return row_numbers(keyed, ["_low", "newsId"], ["userId"], out="rank").drop("_low")
+
+
+def predictions_per_user(predictions: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best (prediction, newsId) pairs of each user as one row, best
+    first, ties by item. ``k`` bounds the row."""
     best = top_k(predictions, "userId", [F.desc("prediction"), F.col("newsId")], k)
     return best.groupBy("userId").agg(
         F.transform(

@@ -1,10 +1,11 @@
 """Nearest articles to each user profile by cosine similarity.
 
-Three ways, of which the first two give the same, exact result:
+Four ways, of which the first three give the same, exact result:
 
 * the article matrix is small enough to broadcast: every task multiplies its
   own users with it, and users are not shuffled at all;
-* beyond that, articles are grouped into cells around learned centroids. A
+* beyond that, blocks of users meet blocks of articles;
+* over an index, articles are grouped into cells around learned centroids. A
   user first searches the closest cell. A further cell is visited only if the
   angle between user and centroid, less the cell's own angle, could still beat
   the user's k-th best score (triangle inequality on the sphere);
@@ -16,7 +17,7 @@ Users meet articles through equi-joins on the cell, in blocks of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from newsweave.constants import COARSE_CELLS, TOP_K
-from newsweave.functions.vectors import array_to_vector, unit_vector
+from newsweave.functions.vectors import array_to_vector, unit_vector, well_formed
 from newsweave.operators.joins import table_bytes
 from newsweave.operators.ranking import top_k
 from newsweave.session import cut_lineage
@@ -34,6 +35,8 @@ from newsweave.session import cut_lineage
 # adds up a product never decides a rank. Ties go to the lower article id.
 SCORE_DECIMALS = 9
 SLICE_ROWS = 1024
+# Bytes of scores that one product of users and articles may take.
+PRODUCT_BYTES = 64 << 20
 # Articles a task holds at a time, and users that stream past them.
 BLOCK_ROWS = 32768
 USER_BLOCK_ROWS = 1_000_000
@@ -57,14 +60,26 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 def _best(users: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, score) of the ``k`` best columns for each row of
-    ``users @ items.T``, best first; ties go to the lower column."""
+    ``users @ items.T``, best first; ties go to the lower column. The product is
+    taken in pieces of at most PRODUCT_BYTES, and the best of each are merged."""
+    width = max(k, PRODUCT_BYTES // (8 * max(1, len(users))))
+    if len(items) > width:
+        parts = []
+        for start in range(0, len(items), width):
+            rows, columns, values = _best(users, items[start : start + width], k)
+            parts.append((rows, columns + start, values))
+        rows, columns, values = (np.concatenate(x) for x in zip(*parts))
+        return _first_k(rows, columns, values, k)
     scores = np.round(users @ items.T, SCORE_DECIMALS) + 0.0
     if scores.shape[1] > k:
         kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         rows, columns = np.nonzero(scores >= kth[:, None])
     else:
         rows, columns = np.indices(scores.shape).reshape(2, -1)
-    values = scores[rows, columns]
+    return _first_k(rows, columns, scores[rows, columns], k)
+
+
+def _first_k(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((columns, -values, rows))
     rows, columns, values = rows[order], columns[order], values[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -72,6 +87,11 @@ def _best(users: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return rows[keep], columns[keep], values[keep]
 
 
+def usable(vectors: DataFrame, column: str) -> DataFrame:
+    """Rows whose vector is there and finite; others have no similarity."""
+    return vectors.filter(well_formed(F.col(column)))
+
+
 def _result_schema(users: DataFrame, articles: DataFrame) -> T.StructType:
     return T.StructType([
         users.schema["user_id"], articles.schema["news_id"], T.StructField("similarity_score", T.DoubleType()),
@@ -151,7 +171,7 @@ def _assigned(articles: DataFrame, centroids: np.ndarray) -> DataFrame:
 def build_cells(articles: DataFrame, cells: int = COARSE_CELLS, seed: int = 42) -> CellIndex:
     """Learn ``cells`` centroids on the normalised vectors and group by them.
     Centroids and cell angles are at most ``cells`` rows."""
-    unit = articles.select("news_id", unit_vector(F.col("embedding")).alias("embedding"))
+    unit = usable(articles, "embedding").select("news_id", unit_vector(F.col("embedding")).alias("embedding"))
     features = unit.select(array_to_vector("embedding").alias("features")).persist()
     model = KMeans(k=cells, seed=seed, featuresCol="features").fit(features)
     features.unpersist()
@@ -187,6 +207,7 @@ def _user_cells(users: DataFrame, index: CellIndex, how: str, probes: int = 1) -
                 rows = np.repeat(np.arange(len(vectors)), min(probes, len(centroids)))
                 cells = order[:, :probes].reshape(-1)
             else:
+                # Of the cells but the closest, those that may still hold a better one.
                 angle = np.arccos(np.clip(scores, -1.0, 1.0)) - spread
                 reach = np.cos(np.maximum(angle, 0.0)) + 1e-6
                 visit = reach >= batch["bound"].to_numpy()[:, None]
@@ -194,11 +215,13 @@ def _user_cells(users: DataFrame, index: CellIndex, how: str, probes: int = 1) -
                 visit |= ~vectors.any(axis=1)[:, None]
                 visit[np.arange(len(vectors)), order[:, 0]] = False
                 rows, cells = np.nonzero(visit)
-            yield pd.DataFrame({
-                "cell": cells.astype("int32"),
-                "user_id": batch["user_id"].to_numpy()[rows],
-                "user_embedding": list(vectors[rows]),
-            })
+            for start in range(0, len(rows), SLICE_ROWS * 8):
+                part = slice(start, start + SLICE_ROWS * 8)
+                yield pd.DataFrame({
+                    "cell": cells[part].astype("int32"),
+                    "user_id": batch["user_id"].to_numpy()[rows[part]],
+                    "user_embedding": list(vectors[rows[part]]),
+                })
 
     return users.mapInPandas(choose, schema)
 
@@ -281,8 +304,25 @@ def search_approximate(
 ) -> DataFrame:
     """Top ``k`` within the ``probes`` closest cells. Fewer than ``k`` rows per
     user are possible, since close cells may hold fewer articles."""
-    chosen = _user_cells(users.select("user_id", "user_embedding"), index, "closest", probes)
-    return _ranked(_search_cells(chosen, index, k, block_rows), k)
+    users = usable(users.select("user_id", "user_embedding"), "user_embedding")
+    chosen = cut_lineage(_user_cells(users, index, "closest", probes))
+    # At most one row per cell; a stored index then reads no other folder.
+    wanted = [row[0] for row in chosen.select("cell").distinct().collect()]
+    near = replace(index, articles=index.articles.filter(F.col("cell").isin(wanted)))
+    return _ranked(_search_cells(chosen, near, k, block_rows), k)
+
+
+def search_blocks(users: DataFrame, articles: DataFrame, k: int = TOP_K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top ``k`` of articles too many to broadcast: every block of users
+    meets every block of articles, and only the best of each meeting go on. In
+    many dimensions nearly all cells stay within reach of every user, so nothing
+    is gained by cells here."""
+    unit = usable(users.select("user_id", "user_embedding"), "user_embedding").select(
+        F.lit(0).alias("cell"), "user_id", unit_vector(F.col("user_embedding")).alias("user_embedding"))
+    whole = usable(articles.select("news_id", "embedding"), "embedding").select(
+        F.lit(0).alias("cell"), "news_id", unit_vector(F.col("embedding")).alias("embedding"))
+    index = CellIndex(cut_lineage(whole), np.zeros((1, 1)), np.ones(1))
+    return _ranked(_search_cells(cut_lineage(unit), index, k, block_rows), k)
 
 
 def search_exact(
@@ -290,7 +330,7 @@ def search_exact(
 ) -> DataFrame:
     """Exact top ``k`` over the cells that can matter. Profiles and first hits
     are each used several times, so they are written out once."""
-    users = cut_lineage(users.select("user_id", "user_embedding"))
+    users = cut_lineage(usable(users.select("user_id", "user_embedding"), "user_embedding"))
     closest = _user_cells(users, index, "closest")
     first = cut_lineage(_ranked(_search_cells(closest, index, k, block_rows), k))
     bounds = first.filter(F.col("rank") == k).select("user_id", F.col("similarity_score").alias("bound"))
@@ -304,16 +344,16 @@ def top_articles(
     articles: DataFrame,
     k: int = TOP_K,
     budget: int = MATRIX_BYTES,
-    cells: int = COARSE_CELLS,
-    seed: int = 42,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact top ``k`` articles per user: user_id, news_id, similarity_score,
     rank. ``users``: user_id, user_embedding. ``articles``: news_id, embedding.
-    Articles the user has read are not left out."""
+    Articles the user has read are not left out. Null vectors and such with
+    components that aren't finite numbers take no part on either side."""
+    users, articles = usable(users, "user_embedding"), usable(articles, "embedding")
     if table_bytes(articles.select("news_id", "embedding")) <= budget:
         return _search_broadcast(users, articles, k)
-    return search_exact(users, build_cells(articles, cells, seed), k, block_rows)
+    return search_blocks(users, articles, k, block_rows)
 
 
 def fingerprint(articles: DataFrame) -> str:
@@ -329,7 +369,10 @@ def save_cells(index: CellIndex, path: str, mark: str) -> None:
     """Articles partitioned by cell, centroids, and the fingerprint ``mark``,
     which is written last."""
     spark = index.articles.sparkSession
-    index.articles.repartition("cell", F.pmod(F.xxhash64("news_id"), F.lit(16))).write.mode("overwrite").partitionBy("cell").parquet(
+    # Files of about BLOCK_ROWS articles; a row per cell tells how many that takes.
+    sizes = index.articles.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_files"))
+    placed = index.articles.join(F.broadcast(sizes), "cell").withColumn("_file", F.pmod(F.xxhash64("news_id"), F.col("_files")))
+    placed.repartition("cell", "_file").drop("_files", "_file").write.mode("overwrite").partitionBy("cell").parquet(
         f"{path}/articles"
     )
     rows = [

@@ -13,6 +13,7 @@ from newsweave.operators.factorization import (
     convergence, flat_recommendations, predictions, recommendations, save_model,
 )
 from newsweave.operators.evaluation import regression_metrics
+from newsweave.session import cut_lineage
 from newsweave.sinks.writers import append
 from newsweave.sources.tables import require_ready
 
@@ -42,7 +43,8 @@ def collaborative_job(
     """Check the inputs, sample, fit with a convergence curve, score the
     validation sample, recommend, and store model and recommendations."""
     require_ready({"behaviors_train": train, "behaviors_valid": valid}, "impression_id")
-    train_sample, valid_sample = training_samples(train, valid, npratio)
+    # Fits and metrics all read the samples.
+    train_sample, valid_sample = (cut_lineage(x) for x in training_samples(train, valid, npratio))
     curve, model = convergence(train_sample, valid_sample, iterations, **params)
     metrics = regression_metrics(predictions(model, valid_sample))
     nested = recommendations(model, k)

@@ -59,7 +59,8 @@ def content_job(
     ``index_path`` the search is approximate over a stored index."""
     articles = tables.embeddings
     if "embedding_string" in articles.columns:
-        articles = parsed_checked(articles)
+        # Parsed once; the check, the reduction, the profiles and the search read it.
+        articles = cut_lineage(parsed_checked(articles).select("news_id", "embedding"))
     articles = articles.select("news_id", "embedding")
     if pca_components:
         reduced, _ = plain_pca(articles, pca_components)

@@ -1,11 +1,14 @@
 """Tables kept as numbered folders, so that a table can be rewritten from
-itself: readers use the newest complete folder, writers add the next one."""
+itself: readers use the newest complete folder, writers add the next one. A
+folder may be cut into buckets; then readers use the newest one of each bucket."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 PREFIX = "version="
+# A row's bucket as a column, and the name of its folder.
+BUCKET, FOLDER = "_bucket", "bucket"
 
 
 def _folder(spark: SparkSession, path: str):
@@ -28,16 +31,33 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(n for n in numbers if path_exists(spark, f"{root}/{PREFIX}{n}/_SUCCESS"))
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest version, or None when there is none yet."""
+def _buckets(spark: SparkSession, folder: str) -> list[int]:
+    """The buckets of one version, none if it isn't cut into them."""
+    files, target = _folder(spark, folder)
+    names = [status.getPath().getName() for status in files.listStatus(target)]
+    return [int(n.partition("=")[2]) for n in names if n.startswith(f"{FOLDER}=")]
+
+
+def read_current(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest version, or None when there is none yet. ``buckets`` are the
+    only ones to read, of a table that has some; None when none of them is there."""
     numbers = versions(spark, root)
-    return spark.read.parquet(f"{root}/{PREFIX}{numbers[-1]}") if numbers else None
+    if not numbers:
+        return None
+    newest = {b: n for n in numbers for b in _buckets(spark, f"{root}/{PREFIX}{n}")}
+    if not newest:
+        return spark.read.parquet(f"{root}/{PREFIX}{numbers[-1]}")
+    paths = [f"{root}/{PREFIX}{n}/{FOLDER}={b}" for b, n in sorted(newest.items()) if buckets is None or b in buckets]
+    return spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
 
 
-def write_next(df: DataFrame, root: str, expected: int | None = None) -> int:
+def write_next(df: DataFrame, root: str, expected: int | None = None, bucket: str | None = None) -> int:
     """Write ``df`` as the version after ``expected`` (the newest if None). Two
     writers of the same number: the second fails."""
     if expected is None:
         expected = max(versions(df.sparkSession, root), default=0)
-    df.write.mode("errorifexists").parquet(f"{root}/{PREFIX}{expected + 1}")
+    writer = df.write.mode("errorifexists")
+    if bucket:
+        writer = df.withColumnRenamed(bucket, FOLDER).write.mode("errorifexists").partitionBy(FOLDER)
+    writer.parquet(f"{root}/{PREFIX}{expected + 1}")
     return expected + 1

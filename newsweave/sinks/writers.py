@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsweave.operators.corpus import row_mark
 from newsweave.operators.joins import salted_join
 from newsweave.operators.recommendations import nested
 from newsweave.session import cut_lineage
-from newsweave.sinks.versions import path_exists, read_current, versions, write_next
+from newsweave.sinks.versions import BUCKET, path_exists, read_current, versions, write_next
+
+# Buckets of a table that is upserted, unless its first writer says otherwise.
+BUCKETS = 32
 
 
 def append(df: DataFrame, path: str | None = None, format: str = "parquet", **options: str) -> None:
@@ -65,13 +69,27 @@ def merged(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return both.select(*columns)
 
 
-def upsert(source: DataFrame, root: str, key: str) -> DataFrame:
-    """:func:`merged` with the newest version below ``root``, written as the
-    next one. Gives the table back."""
+def upsert(source: DataFrame, root: str, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """:func:`merged` with the newest rows below ``root``. Gives the table back.
+
+    Rows lie in buckets by a hash of the key. The next version holds the buckets
+    that the source touches and no others, whose files stay where they are. A key
+    that the source holds twice, or null, is an error; so the table never gets one.
+    ``buckets`` is fixed by the first call; a larger table wants more of them.
+    """
     spark = source.sparkSession
+    source = cut_lineage(source.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    bad = source.filter(F.col(key).isNull()).select(key).unionByName(key_violations(source, key).select(key)).first()
+    if bad is not None:
+        raise ValueError(f"the source of an upsert needs one row per key, found {bad[0]!r} more than once or null")
     known = max(versions(spark, root), default=0)
-    target = read_current(spark, root)
-    write_next(source if target is None else merged(target, source, key), root, known)
+    # One row for each bucket.
+    touched = [row[0] for row in source.select(BUCKET).distinct().collect()]
+    target = read_current(spark, root, touched)
+    rows = source if target is None else merged(target, source.drop(BUCKET), key).withColumn(
+        BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if touched or not known:
+        write_next(rows.repartition(BUCKET, F.pmod(F.xxhash64(F.lit(1), key), F.lit(8))), root, known, BUCKET)
     return read_current(spark, root)
 
 
@@ -92,12 +110,16 @@ def key_violations(df: DataFrame, key: str) -> DataFrame:
 def split_insert(
     rows: DataFrame, key: str, order: list[str], existing: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) rows of an insert that goes on past bad rows. The
-    first row of a key by ``order`` is accepted. Rejected rows say why:
-    a null key, a repeated key, or a key the table already has."""
-    keyed = rows.filter(F.col(key).isNotNull())
-    rejected = rows.filter(F.col(key).isNull()).withColumn("reason", F.lit("null key"))
-    firsts = keyed.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    """(accepted, rejected) rows of an insert that goes on past bad rows. Exactly
+    one row of a key is accepted: the first by ``order``, then by the hash of its
+    values; identical rows are told apart by their place. Rejected rows say why: a
+    null key, a repeated key, or a key the table already has. The rows are
+    numbered and written out once, as both results read them."""
+    numbered = cut_lineage(rows.withColumn("_place", F.monotonically_increasing_id()))
+    keyed = numbered.filter(F.col(key).isNotNull())
+    rejected = numbered.filter(F.col(key).isNull()).withColumn("reason", F.lit("null key"))
+    first = F.min_by("_place", F.struct(*order, row_mark(rows.columns), "_place"))
+    firsts = keyed.groupBy(key).agg(first.alias("_first"))
     if existing is not None:
         present = existing.select(key).distinct().withColumn("_present", F.lit(True))
         firsts = firsts.join(present, key, "left")
@@ -105,9 +127,9 @@ def split_insert(
         firsts = firsts.withColumn("_present", F.lit(None).cast("boolean"))
     judged = salted_join(keyed, firsts, key).withColumn(
         "reason",
-        F.when(F.col("_present"), "existing key").when(F.struct(*order) != F.col("_first"), "repeated key"),
+        F.when(F.col("_present"), "existing key").when(F.col("_place") != F.col("_first"), "repeated key"),
     )
-    judged = judged.select(*rows.columns, "reason")
+    judged = cut_lineage(judged.select(*rows.columns, "reason"))
     accepted = judged.filter(F.col("reason").isNull()).select(*rows.columns)
     return accepted, rejected.select(*rows.columns, "reason").unionByName(judged.filter(F.col("reason").isNotNull()))
 

@@ -20,7 +20,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows over all cores, for work that is heavy per row, when the table has
     fewer files than there are cores. A large table is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_tsv(
@@ -77,7 +77,8 @@ class ClusterInput:
 
 
 def latest_news(*tables: DataFrame) -> DataFrame:
-    """Unique articles of several tables; a later table wins."""
+    """Unique articles of several tables; a later table wins, and within a table
+    the rule of :func:`last_wins` for rows that tie."""
     columns = union_all(*tables).columns
     return last_wins(in_order(*tables), "news_id", ["source_order"]).select(*columns)
 

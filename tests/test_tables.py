@@ -28,7 +28,7 @@ def test_salted_join_equals_join(spark, how):
     )
     small = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
     expected = sorted(big.join(small, "k", how).collect())
-    assert sorted(joins.salted_join(big, small, "k", how, hot_rows=50, salts=8).collect()) == expected
+    assert sorted(joins.salted_join(big, small, "k", how, hot_rows=50).collect()) == expected
     for budget in (0, 1 << 20):
         assert sorted(joins.lookup_join(big, small, "k", how, budget=budget).collect()) == expected
 
@@ -36,7 +36,7 @@ def test_salted_join_equals_join(spark, how):
 def test_salts_spread_a_hot_key(spark):
     big = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
     small = spark.createDataFrame([(1, "a")], "k int, w string")
-    plan = joins.salted_join(big, small, "k", hot_rows=10, salts=16)
+    plan = joins.salted_join(big, small, "k", hot_rows=10)
     assert plan.count() == 1000
     salt = F.pmod(F.xxhash64("k", "v"), F.lit(16))
     assert big.select(salt).distinct().count() == 16

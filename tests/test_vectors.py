@@ -122,7 +122,7 @@ def test_broadcast_search_is_exact(sets):
 @pytest.mark.parametrize("block_rows", [8192, 7])
 def test_cell_search_is_exact(sets, block_rows):
     users, items, table, rows = sets
-    result = similarity.top_articles(table, rows, budget=0, cells=6, block_rows=block_rows)
+    result = similarity.top_articles(table, rows, budget=0, block_rows=block_rows)
     assert found(result) == brute_force(users, items, 10)
 
 
