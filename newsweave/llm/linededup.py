@@ -193,7 +193,9 @@ class LineStore:
 
 def without_lines(docs: DataFrame, dropped: DataFrame, least: int, lines: str = "n_lines", lost: str = "n_dropped") -> DataFrame:
     """``docs`` with the lines of their ``gone`` keys taken out of text, and two
-    counts. A list is never longer than its document has lines."""
+    counts, which replace columns of their names. A list is never longer than its
+    document has lines."""
+    docs = docs.drop(lines, lost)
     gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone_keys"))
     both = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
     place, names = docs.columns.index("text"), [*docs.columns, lines, lost]
@@ -218,8 +220,10 @@ def without_lines(docs: DataFrame, dropped: DataFrame, least: int, lines: str =
     return per_batch(both, run, f"{schema}, {lines} long, {lost} long")
 
 
-def deduplicated(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` after line dedup within itself, with ``n_lines`` and ``n_dropped``.
+def deduplicated(
+    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, lines: str = "n_lines", lost: str = "n_dropped"
+) -> DataFrame:
+    """``docs`` after line dedup within itself, with the counts ``lines`` and ``lost``.
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents
     keeps its lines in the document with the largest doc_id only. A null text is
@@ -229,4 +233,4 @@ def deduplicated(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     spark = docs.sparkSession
     store = LineStore(spark, new_folder(spark, "lines"), min_chars, min_docs)
     store.insert(docs, "0")
-    return without_lines(docs, store.dropped(docs), min_chars)
+    return without_lines(docs, store.dropped(docs), min_chars, lines, lost)

@@ -235,8 +235,8 @@ def chunks_of(text: str) -> list[str]:
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """``docs`` with ``piece_ids`` (array of int), the ids of each whole text in the
-    BPE model given by its file's bytes.
+    """``docs`` with ``piece_ids`` (array of int; a column of that name is replaced),
+    the ids of each whole text in the BPE model given by its file's bytes.
 
     The ids are those of the model's own library for models that keep the text as
     it is, put a blank first and fall back to bytes; other models are refused or
@@ -244,6 +244,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     chunks of its texts, sorts the suffixes, searches all pieces in them and merges
     along the edges found.
     """
+    docs = docs.drop("piece_ids")
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.parse(model))
     place, names = docs.columns.index("text"), [*docs.columns, "piece_ids"]
 
@@ -282,6 +283,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 def decode(encoded: DataFrame, model: bytes, out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ``piece_ids`` in ``out``; null ids give null.
     Bytes that are no UTF-8 become U+FFFD, control ids nothing."""
+    encoded = encoded.drop(out)
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.parse(model).texts)
     place, names = encoded.columns.index("piece_ids"), [*encoded.columns, out]
 

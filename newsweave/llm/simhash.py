@@ -14,6 +14,12 @@ from newsweave.session import cut_lineage
 SEGMENT = 32
 # Distinct fingerprints that share a variant are compared pair by pair up to here.
 SMALL_GROUP = 16
+# For near copies: bits of the SimHash, bits used of each 32-bit segment of it, the
+# most that may differ in a pair that is looked at, and ids that may be broadcast.
+WIDE = 256
+COPY_BITS = 24
+MOST_BITS = 72
+BROADCAST_IDS = 2_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -122,10 +128,131 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: in
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, that with the smallest
-    doc_id. Of rows that repeat a doc_id, all stay or none; a row without doc_id stays."""
-    found = near_duplicates(docs, words, distance)
+def sketch(text: bytes, words: int) -> tuple[bytes, list[int], int]:
+    """What stands for a text when near copies are sought: 128 bits of its word
+    sequence, a SimHash of WIDE bits over its distinct words, and how many
+    distinct shingles it has. An edit touches one word but several shingles, so
+    near copies lie closer together in words; shingles decide later on."""
+    tokens = text.translate(_LOWER).split()
+    joined = b" ".join(tokens)
+    exact = xxhash.xxh3_128_digest(joined)
+    kinds = list(set(tokens))
+    if not kinds:
+        return exact, [0] * (WIDE // 64), 0
+    digest = xxhash.xxh3_128_digest
+    data = b"".join([digest(w, 1) + digest(w, 2) for w in kinds])
+    bits = np.frombuffer(data, np.uint8).reshape(len(kinds), -1)
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(kinds), 1 << 14):
+        counts += np.unpackbits(bits[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    wide = np.packbits(counts * 2 > len(kinds), bitorder="little").view(np.int64).tolist()
+    return exact, wide, len(set(_shingles(tokens, words)))
+
+
+def _shingles(tokens: list[bytes], words: int) -> list[bytes]:
+    if len(tokens) <= words:
+        return [b" ".join(tokens)] if tokens else []
+    return [b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)]
+
+
+def shingle_set(text: bytes, words: int) -> list[int]:
+    """The hashes of a text's distinct shingles."""
+    tokens = text.translate(_LOWER).split()
+    hashes = {xxhash.xxh64_intdigest(x, 42) for x in _shingles(tokens, words)}
+    return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64).tolist()
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, e1, e2, wide, size) per row that has a doc_id."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [sketch(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
+        exact = np.frombuffer(b"".join(r[0] for r in rows), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+             pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "e1", "e2", "wide", "size"])
+
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return per_batch(known, run, "doc_id long, e1 long, e2 long, wide array<long>, size long")
+
+
+def _differing(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(WIDE // 64))
+
+
+def _candidates(kinds: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of ``kinds`` (low, wide, size) that share a one-wildcard
+    variant of a segment and may be similar by their sizes and their wide SimHash."""
+    segments = WIDE // SEGMENT
+    placed = kinds.select("low", "wide", "size", F.explode(F.sequence(F.lit(0), F.lit(segments * COPY_BITS - 1))).alias("place"))
+    segment = F.expr(
+        f"shiftrightunsigned(wide[place div {2 * COPY_BITS}], {SEGMENT} * ((place div {COPY_BITS}) % 2)) & {(1 << COPY_BITS) - 1}L")
+    variant = segment.bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1L, place % {COPY_BITS})")))
+    keyed = placed.where("size > 0").select("low", F.expr("shiftleft(cast(place as long), 32)").bitwiseOR(variant).alias("key"))
+    crowd = cut_lineage(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
+    small = crowd.where(F.col("n") <= SMALL_GROUP)
+    pairs = small.select("key", F.col("low").alias("a")).join(small.select("key", F.col("low").alias("b")), "key").where("a < b")
+    # In a crowded variant, each member is held against the one closest to what
+    # most of the members have in each bit, which is what copies were made from,
+    # and against its neighbour in the order of the fingerprints.
+    large = crowd.where(F.col("n") > SMALL_GROUP).join(kinds, "low").select("key", "low", "wide")
+    large = cut_lineage(large)
+    bits = [F.sum(F.expr(f"shiftrightunsigned(wide[{i // 64}], {i % 64}) & 1")).alias(f"s{i}") for i in range(WIDE)]
+    usual = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *bits)
+    longs = [" | ".join(f"if(2 * s{64 * w + i} > n, shiftleft(1L, {i}), 0L)" for i in range(64)) for w in range(WIDE // 64)]
+    usual = usual.select("key", F.array(*[F.expr(x) for x in longs]).alias("usual"))
+    away = large.join(usual, "key").withColumn("far", F.expr(_differing("wide", "usual")))
+    heads = away.groupBy("key").agg(F.min(F.struct("far", "low")).alias("head")).select("key", F.col("head.low").alias("head"))
+    beside = F.lag("low").over(Window.partitionBy("key").orderBy("wide", "low"))
+    led = large.join(heads, "key").select(F.col("low").alias("x"), F.col("head").alias("y"))
+    next_to = large.select(F.col("low").alias("x"), beside.alias("y"))
+    more = led.unionByName(next_to).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    sides = [kinds.select(F.col("low").alias(c), F.col("wide").alias(f"w{c}"), F.col("size").alias(f"n{c}")) for c in "ab"]
+    found = pairs.select("a", "b").unionByName(more).distinct().join(sides[0], "a").join(sides[1], "b")
+    return found.where(f"least(na, nb) >= {similarity} * greatest(na, nb) and {_differing('wa', 'wb')} <= {MOST_BITS}").select("a", "b")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) per row of ``docs`` (doc_id, text) that has a doc_id:
+    component_id is the smallest doc_id reachable over texts whose sets of
+    ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    64 bits and two of them differing, as in :func:`near_duplicates`, find few such
+    pairs: at 0.8 about ten of 64 bits differ. So the SimHash is WIDE here and cut
+    into more segments, of which a near pair has one with at most one bit differing
+    with a probability of about 0.99 at that similarity and more above it; equal
+    variants are candidates, and the shingle sets of the whole texts decide. Equal
+    word sequences are one entry. Texts without words are copies of each other.
+    """
+    rows = cut_lineage(_sketches(docs, words))
+    kinds = cut_lineage(rows.groupBy("e1", "e2").agg(
+        F.min("doc_id").alias("low"), F.min_by("wide", "doc_id").alias("wide"), F.min("size").alias("size")))
+    pairs = cut_lineage(_candidates(kinds, similarity))
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = cut_lineage(wanted)
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(side, "doc_id")
+    # Rows that repeat an id are one document, whose words are those of any of them.
+    sets = cut_lineage(per_batch(texts.dropDuplicates(["doc_id"]), run, "doc_id long, set array<long>"))
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    components = connected_components(alike).withColumnRenamed("node", "low")
+    named = kinds.join(components, "low", "left").select("e1", "e2", F.coalesce("root", "low").alias("component_id"))
+    return rows.join(named, ["e1", "e2"]).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each group of near copies,
+    that with the smallest doc_id. Rows that repeat a doc_id stay or go together; a
+    row without doc_id stays."""
+    found = near_copies(docs, words, similarity)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
 

@@ -237,10 +237,10 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 def logistic(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
     """Slope and intercept of P(toxic) from (value, ordinary, toxic) bins, by
     Newton's method with a weak pull to 0; both classes weigh the same. Without
-    rows of both classes, slope 1 and intercept 0."""
+    rows of both classes nothing is known, and slope 0 and intercept -1 say no."""
     x, n0, n1 = (np.array(c, float) for c in zip(*bins)) if bins else (np.zeros(0),) * 3
     if not bins or not n0.sum() or not n1.sum():
-        return 1.0, 0.0
+        return 0.0, -1.0
     n0, n1 = n0 / n0.sum(), n1 / n1.sum()
     w = np.zeros(2)
     rows = np.stack([x, np.ones_like(x)], axis=1)
