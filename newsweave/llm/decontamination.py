@@ -14,7 +14,8 @@ from newsweave.llm.common import pieces
 from newsweave.session import cut_lineage
 
 # The word places that each mask compares; the others are ignored.
-# Either mask alone meets every window of 13 words with up to two substitutions.
+# The first alone meets every window of 13 words with up to two substitutions; the
+# second finds many of them again.
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 3, 5))
 WINDOW = 13
 SIMILARITY = 0.8

@@ -205,9 +205,13 @@ def written(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def report(found: DataFrame) -> DataFrame:
     """The digest of ``scan``: counts, the hash of the plain spans, and all spans."""
-    counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    counts = [count_of(k).alias(f"n_{k}") for k in KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_disguised"))

@@ -25,6 +25,14 @@ FALSE_DISCOVERIES = 0.05
 _BINS = 20
 
 
+def _once(fields: dict[str, Column], build) -> Column:
+    """``build`` of a struct of ``fields``, each of which is computed a single time
+    however often it is used; an outer expression inside a lambda would be computed
+    again for every element."""
+    held = F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return F.element_at(F.transform(held, build), 1)
+
+
 def _running(values: Column) -> Column:
     """0 and the sums of the first 1, 2, ... values."""
     return F.aggregate(values, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
@@ -39,27 +47,35 @@ def _starts(lengths: Column) -> Column:
     square root of their number, as a sum that grows an array copies it each time."""
     count = F.size(lengths)
     block = F.ceil(F.sqrt(count.cast("double"))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / block).cast("int")),
-                         lambda b: F.slice(lengths, b * block + 1, block))
-    inner = F.transform(blocks, lambda b: F.slice(_running(b), F.lit(1), F.size(b)))
-    return F.flatten(F.zip_with(inner, F.slice(_running(F.transform(blocks, _total)), F.lit(1), F.size(blocks)),
-                                lambda own, before: F.transform(own, lambda x: x + before)))
+
+    def cut(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(s["lengths"]) - 1) / s["block"]).cast("int")),
+                           lambda b: F.slice(s["lengths"], b * s["block"] + 1, s["block"]))
+
+    def joined(s: Column) -> Column:
+        inner = F.transform(s["blocks"], lambda b: F.slice(_running(b), F.lit(1), F.size(b)))
+        before = F.slice(_running(F.transform(s["blocks"], _total)), F.lit(1), F.size(s["blocks"]))
+        return F.flatten(F.zip_with(inner, before, lambda own, first: F.transform(own, lambda x: x + first)))
+
+    return _once({"lengths": lengths, "block": block}, lambda s: _once({"blocks": cut(s)}, joined))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array of (start, end, text, group 2 if the pattern has one), in code points,
-    end exclusive: leftmost matches that do not overlap. What stands between
+    """array of (start, end, match, value: group 2 if the pattern has one), in code
+    points, end exclusive: leftmost matches that do not overlap. What stands between
     matches and the matches themselves take turns, and their lengths add up."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if pattern == ASSIGN else found
-    between = F.split(text, pattern, -1)
-    # The piece before each match and the match itself, as one length each.
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, own: F.length(gap) + F.length(own))
-    starts = F.zip_with(_starts(steps), between, lambda before, gap: F.struct(before.alias("before"), gap.alias("gap")))
-    rows = F.zip_with(F.zip_with(F.slice(starts, F.lit(1), F.size(found)), found, lambda a, own: F.struct(
-        (a["before"] + F.length(a["gap"])).alias("start"),
-        (a["before"] + F.length(a["gap"]) + F.length(own)).alias("end"), own.alias("match"))),
-        inner, lambda a, value: F.struct(a["start"].alias("start"), a["end"].alias("end"), a["match"].alias("match"), value.alias("value")))
+
+    def placed(s: Column) -> Column:
+        # The piece before each match and the match itself, as one length each.
+        gaps = F.transform(F.slice(s["between"], F.lit(1), F.size(s["found"])), F.length)
+        return _once({"gaps": gaps, "steps": F.zip_with(gaps, s["found"], lambda gap, own: gap + F.length(own))}, lambda t: F.transform(
+            F.arrays_zip(_starts(t["steps"]).alias("before"), t["gaps"].alias("gap"), s["found"].alias("match"), s["inner"].alias("value")),
+            lambda r: F.struct((r["before"] + r["gap"]).alias("start"), (r["before"] + r["gap"] + F.length(r["match"])).alias("end"),
+                               r["match"].alias("match"), r["value"].alias("value"))))
+
+    rows = _once({"found": found, "inner": inner, "between": F.split(text, pattern, -1)}, placed)
     return F.when(text.rlike(pattern), rows).otherwise(F.lit(None))
 
 
@@ -92,33 +108,41 @@ def _tests(token: Column) -> Column:
     """(n, p) of a token without padding: three tests of the hypothesis that its
     letters are drawn evenly and independently from the inferred alphabet. p is
     three times the least of their p-values, 1 at most; null without an alphabet."""
-    def measured(s: Column) -> Column:
-        n, size = F.size(s["places"]).cast("double"), F.length(s["alphabet"]).cast("double")
-        counts = F.transform(F.sequence(F.lit(1), F.length(s["alphabet"])),
-                             lambda a: F.size(F.filter(s["places"], lambda x: x == a)))
-        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c.cast("double") * c)
-        uneven = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-        high = F.size(F.filter(s["places"], lambda x: x * 2 > size)).cast("double")
-        low = n - high
-        follow = F.slice(s["places"], F.lit(2), F.size(s["places"]) - 1)
-        pairs = F.zip_with(F.slice(s["places"], F.lit(1), F.size(s["places"]) - 1), follow,
+    def counted(s: Column) -> dict[str, Column]:
+        places = s["places"]
+        pairs = F.zip_with(F.slice(places, F.lit(1), F.size(places) - 1), F.slice(places, F.lit(2), F.size(places) - 1),
                            lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = 1 + F.size(F.filter(pairs, lambda p: (p["a"] * 2 > size) != (p["b"] * 2 > size)))
+        add = lambda rows, value: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + value(x))
+        kinds = F.transform(F.sequence(F.lit(1), F.length(s["alphabet"])), lambda a: F.size(F.filter(places, lambda x: x == a)))
+        return {
+            "n": F.size(places).cast("double"), "size": F.length(s["alphabet"]).cast("double"),
+            "squares": add(kinds, lambda c: c.cast("long") * c).cast("double"),
+            "high": F.size(F.filter(places, lambda x: x * 2 > F.length(s["alphabet"]))).cast("double"),
+            "runs": 1 + add(pairs, lambda p: ((p["a"] * 2 > F.length(s["alphabet"])) != (p["b"] * 2 > F.length(s["alphabet"]))).cast("long")),
+            "total": add(places, lambda x: x.cast("long")).cast("double"),
+            "powers": add(places, lambda x: x.cast("long") * x).cast("double"),
+            "products": add(pairs, lambda p: p["a"].cast("long") * p["b"]).cast("double"),
+            "ends": F.element_at(places, 1).cast("double") + F.element_at(places, -1),
+        }
+
+    def measured(c: Column) -> Column:
+        n, size, high, low = c["n"], c["size"], c["high"], c["n"] - c["high"]
+        uneven = (size / n * c["squares"] - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
         spread = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
-        run_p = F.when(spread > 0, 2 * _tail(F.abs((runs - 1 - 2 * high * low / n) / F.sqrt(spread)))).otherwise(0.0)
-        mean = F.aggregate(s["places"], F.lit(0.0), lambda a, x: a + x) / n
-        squared = F.aggregate(s["places"], F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-        product = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
+        run_p = F.when(spread > 0, 2 * _tail(F.abs((c["runs"] - 1 - 2 * high * low / n) / F.sqrt(spread)))).otherwise(0.0)
+        mean = c["total"] / n
+        squared = c["powers"] - n * mean * mean
+        # The sums over all but the last and all but the first add up to this.
+        product = c["products"] - mean * (2 * c["total"] - c["ends"]) + (n - 1) * mean * mean
         serial_p = F.when(squared > 0, 2 * _tail(F.abs((product / squared + 1 / n) * F.sqrt(n)))).otherwise(0.0)
         least = F.least(_tail(uneven), run_p, serial_p)
         return F.struct(n.cast("int").alias("n"), F.least(3 * least, F.lit(1.0)).alias("p"))
 
     bare = F.regexp_replace(token, "=+$", "")
-    described = F.array(F.struct(bare.alias("bare"), _alphabet(bare).alias("alphabet")))
-    with_places = F.transform(described, lambda d: F.struct(
-        d["alphabet"].alias("alphabet"),
-        F.transform(F.split(d["bare"], ""), lambda c: F.instr(d["alphabet"], c)).alias("places")))
-    return F.element_at(F.transform(with_places, lambda s: F.when(s["alphabet"].isNotNull(), measured(s))), 1)
+    return _once({"bare": bare}, lambda s: _once({"bare": s["bare"], "alphabet": _alphabet(s["bare"])}, lambda t: F.when(
+        t["alphabet"].isNotNull(), _once({
+            "alphabet": t["alphabet"], "places": F.transform(F.split(t["bare"], ""), lambda c: F.instr(t["alphabet"], c)),
+        }, lambda u: _once(counted(u), measured)))))
 
 
 def candidates(text: Column) -> Column:
