@@ -220,7 +220,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     64 bits and two of them differing, as in :func:`near_duplicates`, find few such
     pairs: at 0.8 about ten of 64 bits differ. So the SimHash is WIDE here and cut
     into more segments, of which a near pair has one with at most one bit differing
-    with a probability of about 0.99 at that similarity and more above it; equal
+    with a probability of 0.97 or more, by measurement at one or two edits; equal
     variants are candidates, and the shingle sets of the whole texts decide. Equal
     word sequences are one entry. Texts without words are copies of each other.
     """
