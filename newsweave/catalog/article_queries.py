@@ -97,6 +97,13 @@ def fitted_stages(spark, folder):
     return found.select("news_id", F.size("tokens").alias("words"), "embedding")
 
 
+# What learned word vectors do not touch: each article's words and vector length.
+@query("txt6_words_of_fitted_stages", """
+select news_id, len(tokens)::integer words, 16::integer dimension from token_lists""")
+def words_of_fitted_stages(spark, folder):
+    return fitted_stages(spark, folder).select("news_id", "words", F.size("embedding").alias("dimension"))
+
+
 @query("txt7_new_document_vectors", f"""
 select news_id, pos, {rounded_sql('x')} "value" from document_values
 where news_id not in (select news_id from news_valid)""")

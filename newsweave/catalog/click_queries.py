@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsweave.catalog.fixtures import (
     behaviors, behaviors_train, behaviors_valid, clicks,
 )
-from newsweave.catalog.registry import query
+from newsweave.catalog.registry import VIEWS, query
 from newsweave.functions.clicks import (
     click_label, click_time, numeric_id, repeatable_key, shown_item,
 )
@@ -133,21 +133,24 @@ def training_sample(spark, folder):
     return ops.training_sample(behaviors_train(spark, folder))
 
 
-@query("ml1_training_samples", """
-with valid_items as (
+VIEWS["valid_items"] = """
   select try_cast(regexp_replace(user_id, '^U', '') as integer) "userId",
          try_cast(regexp_replace(split_part(i, '-', 1), '^N', '') as integer) "newsId",
          (case when suffix(i, '-1') then 1 else 0 end)::integer clicked, impression_id, "position"
   from (select impression_id, user_id, unnest(string_split(impressions, ' ')) i,
-               unnest(range(len(string_split(impressions, ' ')))) "position" from behaviors_valid)),
-valid_ranks as (
+               unnest(range(len(string_split(impressions, ' ')))) "position" from behaviors_valid)"""
+VIEWS["valid_ranks"] = """
   select *, row_number() over (partition by "userId" order by md5(concat_ws('|', '47', "userId"::varchar,
          "newsId"::varchar, impression_id::varchar, "position"::varchar)), impression_id, "position") r
-  from valid_items where clicked = 0)
+  from valid_items where clicked = 0"""
+VIEWS["samples"] = """
 select 'train' part, "userId", "newsId", clicked from items where clicked = 1
 union all select 'train', "userId", "newsId", clicked from negative_ranks where r <= 4
 union all select 'valid', "userId", "newsId", clicked from valid_items where clicked = 1
-union all select 'valid', "userId", "newsId", clicked from valid_ranks where r <= 4""")
+union all select 'valid', "userId", "newsId", clicked from valid_ranks where r <= 4"""
+
+
+@query("ml1_training_samples", "select part, \"userId\", \"newsId\", clicked from samples")
 def training_samples(spark, folder):
     train, valid = ops.training_samples(behaviors_train(spark, folder), behaviors_valid(spark, folder))
     return train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("valid")))

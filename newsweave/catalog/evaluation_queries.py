@@ -99,6 +99,16 @@ def compared(spark, folder):
     )
 
 
+# Which users are compared does not depend on the model's solver.
+@query("ev5_users_compared", """
+select 'collaborative' recommender, count(*) users from (
+  select distinct "userId" from samples where part = 'train' and "userId" in (
+    select try_cast(regexp_replace(user_id, '^U', '') as integer) from truth))
+union all select 'content', count(distinct user_id) from content_recs where user_id in (select user_id from truth)""")
+def users_compared(spark, folder):
+    return compared(spark, folder).select("recommender", "users")
+
+
 @query("jn6_recommendations_of_known_users", """
 select user_id, news_id, similarity_score, "rank" from popular_recs
 where user_id in (select user_id from truth where news_id is not null)""")

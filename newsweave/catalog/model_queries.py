@@ -199,3 +199,101 @@ def stream(spark, folder):
         spark, f"{root}/articles", f"{root}/vectors", tokens, f"{root}/checkpoint", STOP_WORDS, files_per_batch=2
     ).awaitTermination()
     return positions(spark.read.parquet(f"{root}/vectors"), "news_id", "embedding")
+
+
+# Parts of the models' results that do not depend on the solver, against SQL.
+
+
+@query("win5_ranks_of_every_user", """
+select "userId" user_id, least(10, (select count(distinct "newsId") from samples where part = 'train'))::bigint n,
+       1::bigint lowest, least(10, (select count(distinct "newsId") from samples where part = 'train'))::bigint highest
+from samples where part = 'train' group by 1""")
+def ranks_of_every_user(spark, folder):
+    return recommendations(spark, folder).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rank").alias("lowest"), F.max("rank").alias("highest"))
+
+
+@query("ml2_factors_of_every_id", """
+select 'user' side, count(distinct "userId") ids, 10::integer lowest, 10::integer highest from samples where part = 'train'
+union all select 'item', count(distinct "newsId"), 10::integer, 10::integer from samples where part = 'train'""")
+def factors_of_every_id(spark, folder):
+    return factor_model(spark, folder).groupBy("side").agg(
+        F.count(F.lit(1)).alias("ids"), F.min(F.size("features")).alias("lowest"), F.max(F.size("features")).alias("highest"))
+
+
+@query("ml3_pairs_and_factor_products", """
+select "userId", "newsId", clicked, 0.0::double difference from samples
+where part = 'valid' and "userId" in (select "userId" from samples where part = 'train')
+  and "newsId" in (select "newsId" from samples where part = 'train')""")
+def pairs_and_products(spark, folder):
+    _, valid = _samples(spark, folder)
+    model = _model(spark, folder)
+    users = model.userFactors.select(F.col("id").alias("userId"), F.col("features").alias("u"))
+    items = model.itemFactors.select(F.col("id").alias("newsId"), F.col("features").alias("i"))
+    scored = factorization.predictions(model, valid).join(users, "userId").join(items, "newsId")
+    product = F.aggregate(F.zip_with("u", "i", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    return scored.select("userId", "newsId", "clicked", rounded(F.col("prediction") - product, 4).alias("difference"))
+
+
+@query("ml4_iterations", "select unnest(range(1, 4))::integer iteration, true falls_short_of_one")
+def iterations(spark, folder):
+    curve = convergence(spark, folder)
+    return curve.select("iteration", ((F.col("rmse") > 0) & (F.col("rmse") < 1) & (F.col("mae") <= F.col("rmse"))).alias("falls_short_of_one"))
+
+
+@query("ml5_grid_points", """
+select r::integer "rank", 0.1::double reg_param, a::double alpha from (values (5), (10)) x(r), (values (1.0), (5.0)) y(a)""")
+def grid_points(spark, folder):
+    return grid(spark, folder).select("rank", "reg_param", "alpha")
+
+
+@query("ev4_users_evaluated", """
+select count(distinct "userId") users from samples
+where part = 'train' and "userId" in (select try_cast(regexp_replace(user_id, '^U', '') as integer) from truth)""")
+def users_evaluated(spark, folder):
+    return stored_model(spark, folder).select("users")
+
+
+@query("ml7_users_recommended_to", """select "userId" user_id, 10::bigint n from samples where part = 'train' group by 1""")
+def users_recommended_to(spark, folder):
+    return collaborative(spark, folder).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml8_means_and_total_variance", f"""
+select (select count(*) from article_vectors) "rows", 0.0::double largest_mean, {rounded_sql('sum(v)', 5)} total_variance
+from (select pos, var_samp(x) v from (
+  select unnest(embedding) x, unnest(range(1, len(embedding) + 1)) pos from article_vectors) group by 1)""")
+def means_and_variance(spark, folder):
+    # With all components the projection only turns the vectors.
+    turned = clustering.centred_pca(article_vectors(spark, folder), 64)[0]
+    by_place = turned.select("news_id", F.posexplode("pca_embedding").alias("pos", "x")).groupBy("pos").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("v"))
+    return by_place.agg(
+        F.max("n").alias("rows"), rounded(F.max(F.abs("mean"))).alias("largest_mean"), rounded(F.sum("v"), 5).alias("total_variance"))
+
+
+@query("ml8_lengths_after_rotation", f"""
+select news_id, {rounded_sql('sqrt(list_sum(list_transform(embedding, lambda x: x * x)))', 5)} length from article_vectors""")
+def lengths_after_rotation(spark, folder):
+    turned = clustering.plain_pca(article_vectors(spark, folder), 64)[0]
+    squares = F.aggregate(F.transform("embedding_pca", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    return turned.select("news_id", rounded(F.sqrt(squares), 5).alias("length"))
+
+
+@query("ml9_categories_of_all_clusters", """
+select category, count(*) articles, true in_range from article_vectors group by 1""")
+def categories_of_all_clusters(spark, folder):
+    return clusters(spark, folder).groupBy("category").agg(
+        F.count(F.lit(1)).alias("articles"), ((F.min("cluster") >= 0) & (F.max("cluster") < 3)).alias("in_range"))
+
+
+@query("ml10_categories_of_all_clusters", """
+select coalesce(t.category, 'unknown') category, count(*)::bigint articles
+from article_vectors a left join news_train t using (news_id) group by 1""")
+def categories_of_the_job(spark, folder):
+    return clustered(spark, folder).groupBy("category").agg(F.sum("count").alias("articles"))
+
+
+@query("ml11_users_of_the_reduced_job", """select user_id, 10::bigint n from train_profiles group by 1""")
+def users_of_the_reduced_job(spark, folder):
+    return content_reduced(spark, folder).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from newsweave.catalog import fixtures as fx
@@ -10,7 +11,7 @@ from newsweave.catalog.fixtures import (
     popular_recs, positions, rounded, rounded_sql, table,
 )
 from newsweave.catalog.registry import query
-from newsweave.functions.vectors import cosine
+from newsweave.functions.vectors import cosine, unit_vector
 from newsweave.operators.joins import lookup_join
 from newsweave.operators import profiles, recommendations, similarity, vectors
 from newsweave.session import new_folder
@@ -179,6 +180,34 @@ def approximate(spark, folder):
     return similarity.search_approximate(_click_profiles(spark, folder), index, probes=2)
 
 
+# With given centroids, here the mean directions of the labels, both the choice of
+# cells and the search in them are exact.
+@query("sim3_given_centroids", f"""
+with unit as (
+  select vec_id, label, list_transform(embedding::double[], lambda x: x / sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y)))) e
+  from embeddings),
+centroids as (
+  select label, list(m order by pos) c from (
+    select label, pos, avg(x) m from (select label, unnest(e) x, unnest(range(1, len(e) + 1)) pos from unit) group by 1, 2) group by 1),
+placed as (
+  select vec_id, e, arg_max(centroids.label, list_cosine_similarity(e, c)) cell from unit, centroids group by 1, 2),
+chosen as (
+  select user_id, p, label from (
+    select user_id, p, label, row_number() over (partition by user_id order by list_cosine_similarity(p, c) desc) r
+    from click_profiles, centroids) where r <= 2)
+select user_id, news_id, {rounded_sql('similarity_score')} similarity_score, "rank" from (
+  select *, row_number() over (partition by user_id order by similarity_score desc, news_id) "rank" from (
+    select user_id, vec_id news_id, round(list_cosine_similarity(p, e), 9) similarity_score
+    from chosen join placed on label = cell)) where "rank" <= 10""")
+def given_centroids(spark, folder):
+    # One row per label.
+    rows = _embeddings(spark, folder).select("label", F.posexplode(unit_vector(F.col("embedding"))).alias("pos", "x")).groupBy(
+        "label", "pos").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c"))
+    centroids = np.array([[x["m"] for x in row["c"]] for row in rows.orderBy("label").collect()])
+    index = similarity.cells_around(_numbered_articles(spark, folder), centroids)
+    return _shown_recs(similarity.search_approximate(_click_profiles(spark, folder), index, probes=2))
+
+
 @query("sim4_stored_cells", _EXACT)
 def stored_cells(spark, folder):
     path = new_folder(spark, "cells")

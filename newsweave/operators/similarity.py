@@ -175,7 +175,13 @@ def build_cells(articles: DataFrame, cells: int = COARSE_CELLS, seed: int = 42)
     features = unit.select(array_to_vector("embedding").alias("features")).persist()
     model = KMeans(k=cells, seed=seed, featuresCol="features").fit(features)
     features.unpersist()
-    centroids = _unit_rows(np.vstack(model.clusterCenters()))
+    return cells_around(articles, np.vstack(model.clusterCenters()))
+
+
+def cells_around(articles: DataFrame, centroids: np.ndarray) -> CellIndex:
+    """Articles grouped around given centroids, each in the cell of the closest."""
+    unit = usable(articles, "embedding").select("news_id", unit_vector(F.col("embedding")).alias("embedding"))
+    centroids = _unit_rows(centroids)
     # Written out once; every search reads it several times.
     assigned = cut_lineage(_assigned(unit, centroids))
     cosines = np.ones(len(centroids))
