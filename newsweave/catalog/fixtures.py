@@ -19,6 +19,9 @@ STOP_WORDS = [
 ]
 
 
+_TOKEN_TABLES: dict[tuple[str, str], str] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -182,7 +185,10 @@ def token_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """A vector for every word of three or more letters, picked among the
-    embeddings by the word's hash, as a stored table."""
+    embeddings by the word's hash, as a table that is stored once per application."""
+    known = (spark.sparkContext.applicationId, folder)
+    if known in _TOKEN_TABLES:
+        return spark.read.parquet(_TOKEN_TABLES[known])
     vectors = table(spark, folder, "embeddings")
     rows = vectors.count()
     words = token_rows(token_lists(spark, folder)).select("token").distinct()
@@ -193,6 +199,7 @@ def token_vectors(spark: SparkSession, folder: str) -> DataFrame:
     lookup_join(picked, vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(
         "token", "vector"
     ).write.parquet(path)
+    _TOKEN_TABLES[known] = path
     return spark.read.parquet(path)
 
 
