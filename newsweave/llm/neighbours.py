@@ -23,8 +23,9 @@ GRAPH_NEIGHBOURS = 16
 IMBALANCE = 1.1
 HIDDEN = 128
 EPOCHS = 20
-# Rows and queries that meet in one task at once.
-BLOCK_ROWS = 8_192
+# Rows and queries that meet in one task at once. Parts share a block up to this
+# size, so that a query brings its best from all of them together.
+BLOCK_ROWS = 16_384
 _SLICE = 256
 
 
@@ -187,8 +188,11 @@ def _routed(vectors: DataFrame, partition: Partition, probes: int) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, embedding array<double>, parts array<int>")
 
 
-def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k best rows of a block. A matrix product picks those within
+def best_in_block(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, open_=None
+) -> pd.DataFrame:
+    """Each query's k best rows of a block, among those that it visits: ``open_`` of
+    two places gives the mask of the queries between them. A matrix product picks those within
     rounding of the k-th best, then each is summed alone, so that equal vectors get
     equal scores and ties go to the smaller id."""
     found = []
@@ -197,6 +201,8 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
         part = queries[at : at + _SLICE]
         scores = part @ rows.T
         scores[query_ids[at : at + _SLICE, None] == ids[None, :]] = -np.inf
+        if open_ is not None:
+            scores[~open_(at, at + _SLICE)] = -np.inf
         least = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
         for i in range(len(part)):
             near = np.flatnonzero((scores[i] >= least[i] - reach * np.abs(part[i]).max()) & (scores[i] > -np.inf))
@@ -209,6 +215,20 @@ def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
         "score": np.concatenate([s for _, _, s in found]) if found else np.zeros(0)})
 
 
+def packed(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """The bin of each part, and how many blocks each bin is cut into: parts in
+    turn share a bin while they fit into one block."""
+    bins, held, number = {}, 0, -1
+    totals: dict[int, int] = {}
+    for part, rows in sorted(sizes.items()):
+        if number < 0 or held + rows > BLOCK_ROWS:
+            number, held = number + 1, 0
+        bins[part] = number
+        held += rows
+        totals[number] = held
+    return bins, {b: -(-n // BLOCK_ROWS) for b, n in totals.items()}
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id,
     embedding) whose vec_id is divisible by ``every``, the k other rows with the
@@ -216,9 +236,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     vec_id. With k rows or fewer besides it, a query gets all of its parts.
 
     The partition is learned from SAMPLE_ROWS rows at most, those with the least
-    hashes; every row is indexed. A part is cut into blocks of about BLOCK_ROWS
-    rows by the id's hash, as are the queries that visit it, so a part that a third
-    of all rows fall into is many tasks. Rows that repeat a vec_id are one
+    hashes; every row is indexed. Small parts share a block of up to BLOCK_ROWS
+    rows. A larger part is cut into blocks by the id's hash, as are the queries that
+    visit it, so a part that a third of all rows fall into is many tasks. Rows that repeat a vec_id are one
     candidate for each row, and never the neighbours of their own id.
     """
     sound = cut_lineage(taking_part(vectors))
@@ -233,29 +253,42 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
         partition.probes = partition.parts
     index = _routed(sound, partition, 1).select("vec_id", "embedding", F.element_at("parts", 1).alias("part"))
     asking = _routed(sound.where(F.col("vec_id") % every == 0), partition, partition.probes).select(
-        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("parts").alias("part"))
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "parts")
     index, asking = cut_lineage(index), cut_lineage(asking)
     # A row for each part: PART_SAMPLE bounds their number.
-    rows = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("row_blocks"))
-    visits = asking.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("query_blocks"))
-    blocks = F.broadcast(rows.join(visits, "part"))
+    bins, blocks = packed({r["part"]: r["count"] for r in index.groupBy("part").count().collect()})
+    bin_of = F.create_map(*[F.lit(x) for pair in bins.items() for x in pair])
+    visits = asking.select("query_id", "query", "parts", F.explode(
+        F.array_distinct(F.filter(F.transform("parts", lambda p: bin_of[p]), lambda b: b.isNotNull()))).alias("bin"))
+    query_blocks = {r["bin"]: -(-r["count"] // BLOCK_ROWS) for r in visits.groupBy("bin").count().collect()}
+    if not query_blocks:
+        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+    row_count = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("bin")]
+    query_count = F.coalesce(F.create_map(*[F.lit(x) for pair in query_blocks.items() for x in pair])[F.col("bin")], F.lit(0))
+
+    def block(key: str, count):
+        return F.pmod(F.xxhash64(key), count).cast("int")
 
-    def block(key: str, count: str):
-        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+    def every_block(count):
+        return F.explode(F.sequence(F.lit(0), count - 1))
 
-    left = index.join(blocks, "part").select(
-        "part", block("vec_id", "row_blocks").alias("row_block"),
-        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "vec_id", "embedding")
-    right = asking.join(blocks, "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("row_block"),
-        block("query_id", "query_blocks").alias("query_block"), "query_id", "query")
+    placed = index.withColumn("bin", bin_of[F.col("part")]).where(query_count > 0)
+    left = placed.select("bin", block("vec_id", row_count).alias("row_block"), every_block(query_count).alias("query_block"),
+                         "part", "vec_id", "embedding")
+    right = visits.select("bin", every_block(row_count).alias("row_block"), block("query_id", query_count).alias("query_block"),
+                          "parts", "query_id", "query")
+    parts = partition.parts
 
     def meet(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        return best_in_block(asked["query_id"].to_numpy(), _matrix(asked["query"]), own["vec_id"].to_numpy(), _matrix(own["embedding"]), k)
+        wanted = np.zeros((len(asked), parts), bool)
+        np.put_along_axis(wanted, _matrix(asked["parts"]).astype(np.int64), True, axis=1)
+        part = own["part"].to_numpy()
+        return best_in_block(asked["query_id"].to_numpy(), _matrix(asked["query"]), own["vec_id"].to_numpy(), _matrix(own["embedding"]),
+                             k, lambda a, b: wanted[a:b][:, part])
 
-    keys = ["part", "row_block", "query_block"]
+    keys = ["bin", "row_block", "query_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
     ranked = top_k(found, "query_id", [F.desc("score"), F.asc("vec_id")], k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
