@@ -60,11 +60,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application, so
-    that Python stages find it there."""
+    """Send this package to the Python workers, once per application, so that they
+    find it wherever they run."""
     context = spark.sparkContext
-    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-    if local or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="newsweave-"), "newsweave.zip")
