@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsweave.session import cut_lineage
 
-# The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
-SPACES = " \t\n\x0b\x0c\r"
-
-
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``function`` over the Arrow batches of ``df``, one at a time."""
 
@@ -40,11 +36,6 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a computed table dealt out evenly, whatever ``key`` holds."""
-    return df.repartition(F.xxhash64(F.col(key), F.monotonically_increasing_id()))
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the long pairs ``edges`` (a, b): root is the
     smallest node of its component.

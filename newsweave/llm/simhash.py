@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsweave.llm.common import connected_components, per_batch
 from newsweave.session import cut_lineage
 
-# Two segments: of two differing bits (or three), one segment holds at most one.
+# Two segments: of two differing bits, one segment holds at most one.
 SEGMENT = 32
 # Distinct fingerprints that share a variant are compared pair by pair up to here.
 SMALL_GROUP = 16
@@ -77,35 +77,36 @@ def _first_shared(a: Column, b: Column) -> Column:
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     """Edges (a, b) that connect every two values of ``distinct`` (fp) with at
-    most ``distance`` (1 to 3) differing bits, directly or through others linked alike.
+    most ``distance`` (1 or 2) differing bits, directly or through others linked alike.
 
     Each value stands in the index 64 times, once per bit left out of its segment.
     Values with an equal variant are joined and verified; a pair is taken at the
     first variant it shares. Where more than SMALL_GROUP values share a variant,
     pairs would grow with the square, so those values are linked another exact
     way: two values differ in at most two bits if and only if they have a value in
-    common among themselves and their 64 one-bit changes, and all that have it are
-    tied to the smallest. For distance 1 and 3 all pairs are compared.
+    common among themselves and their 64 one-bit changes, and in at most one bit if
+    they are equal without one and the same bit. All that meet are tied to the
+    smallest.
     """
-    if distance not in (1, 2, 3):
-        raise ValueError("distance must be 1, 2 or 3")
+    if distance not in (1, 2):
+        raise ValueError("distance must be 1 or 2")
     placed = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("place"))
     keyed = placed.select("fp", F.expr("shiftleft(cast(place as long), 32)").bitwiseOR(
         _masked(F.col("fp"), F.col("place"))).alias("key"))
     sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     sized = cut_lineage(sized)
-    most = SMALL_GROUP if distance == 2 else 2**31 - 1
-    small = sized.where(F.col("n") <= most)
+    small = sized.where(F.col("n") <= SMALL_GROUP)
     left, right = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
     pairs = left.join(right, "key").where(
         (F.col("a") < F.col("b")) & (F.expr("bit_count(a ^ b)") <= distance)
         & (F.shiftright("key", 32) == _first_shared("a", "b"))).select("a", "b")
-    if distance != 2:
-        return pairs
-    crowded = sized.where(F.col("n") > most).select("fp").distinct()
-    ball = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit")).select(
-        "fp", F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end").alias("point"))
-    tied = ball.withColumn("low", F.min("fp").over(Window.partitionBy("point"))).where("fp > low")
+    crowded = sized.where(F.col("n") > SMALL_GROUP).select("fp").distinct()
+    changed = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit"))
+    if distance == 2:
+        meeting = changed.select("fp", F.lit(0).alias("bit"), F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end").alias("point"))
+    else:
+        meeting = changed.where("bit >= 0").select("fp", "bit", F.expr("fp & ~shiftleft(1L, bit)").alias("point"))
+    tied = meeting.withColumn("low", F.min("fp").over(Window.partitionBy("bit", "point"))).where("fp > low")
     return pairs.unionByName(tied.select(F.col("low").alias("a"), F.col("fp").alias("b")))
 
 
@@ -202,10 +203,9 @@ def _candidates(kinds: DataFrame, similarity: float) -> DataFrame:
     longs = [" | ".join(f"if(2 * s{64 * w + i} > n, shiftleft(1L, {i}), 0L)" for i in range(64)) for w in range(WIDE // 64)]
     usual = usual.select("key", F.array(*[F.expr(x) for x in longs]).alias("usual"))
     away = large.join(usual, "key").withColumn("far", F.expr(_differing("wide", "usual")))
-    heads = away.groupBy("key").agg(F.min(F.struct("far", "low")).alias("head")).select("key", F.col("head.low").alias("head"))
-    beside = F.lag("low").over(Window.partitionBy("key").orderBy("wide", "low"))
-    led = large.join(heads, "key").select(F.col("low").alias("x"), F.col("head").alias("y"))
-    next_to = large.select(F.col("low").alias("x"), beside.alias("y"))
+    same = Window.partitionBy("key")
+    led = away.select(F.col("low").alias("x"), F.min(F.struct("far", "low")).over(same)["low"].alias("y"))
+    next_to = large.select(F.col("low").alias("x"), F.lag("low").over(same.orderBy("wide", "low")).alias("y"))
     more = led.unionByName(next_to).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     sides = [kinds.select(F.col("low").alias(c), F.col("wide").alias(f"w{c}"), F.col("size").alias(f"n{c}")) for c in "ab"]
     found = pairs.select("a", "b").unionByName(more).distinct().join(sides[0], "a").join(sides[1], "b")
