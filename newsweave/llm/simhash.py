@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsweave.llm.common import connected_components, per_batch
@@ -14,12 +18,13 @@ from newsweave.session import cut_lineage
 SEGMENT = 32
 # Distinct fingerprints that share a variant are compared pair by pair up to here.
 SMALL_GROUP = 16
-# For near copies: bits of the SimHash, bits used of each 32-bit segment of it, the
-# most that may differ in a pair that is looked at, and ids that may be broadcast.
+# For near copies: bits of the SimHash, the most ids that are broadcast, bits of the
+# table by which shingles are put in order, and how often crowds meet a head before
+# those that are still apart meet each other. None of them changes what is found.
 WIDE = 256
-COPY_BITS = 24
-MOST_BITS = 72
 BROADCAST_IDS = 2_000_000
+USAGE_BITS = 22
+HEAD_ROUNDS = 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -129,25 +134,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: in
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketch(text: bytes, words: int) -> tuple[bytes, list[int], int]:
+def sketch(text: bytes) -> tuple[bytes, list[int]]:
     """What stands for a text when near copies are sought: 128 bits of its word
-    sequence, a SimHash of WIDE bits over its distinct words, and how many
-    distinct shingles it has. An edit touches one word but several shingles, so
-    near copies lie closer together in words; shingles decide later on."""
+    sequence and a SimHash of WIDE bits over its distinct words."""
     tokens = text.translate(_LOWER).split()
-    joined = b" ".join(tokens)
-    exact = xxhash.xxh3_128_digest(joined)
+    exact = xxhash.xxh3_128_digest(b" ".join(tokens))
     kinds = list(set(tokens))
     if not kinds:
-        return exact, [0] * (WIDE // 64), 0
+        return exact, [0] * (WIDE // 64)
     digest = xxhash.xxh3_128_digest
     data = b"".join([digest(w, 1) + digest(w, 2) for w in kinds])
     bits = np.frombuffer(data, np.uint8).reshape(len(kinds), -1)
     counts = np.zeros(WIDE, np.int64)
     for at in range(0, len(kinds), 1 << 14):
         counts += np.unpackbits(bits[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    wide = np.packbits(counts * 2 > len(kinds), bitorder="little").view(np.int64).tolist()
-    return exact, wide, len(set(_shingles(tokens, words)))
+    return exact, np.packbits(counts * 2 > len(kinds), bitorder="little").view(np.int64).tolist()
 
 
 def _shingles(tokens: list[bytes], words: int) -> list[bytes]:
@@ -163,89 +164,176 @@ def shingle_set(text: bytes, words: int) -> list[int]:
     return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64).tolist()
 
 
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, e1, e2, wide, size) per row that has a doc_id."""
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, e1, e2, wide) per row that has a doc_id."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [sketch(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
+        rows = [sketch(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
         exact = np.frombuffer(b"".join(r[0] for r in rows), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-             pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "e1", "e2", "wide", "size"])
-
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return per_batch(known, run, "doc_id long, e1 long, e2 long, wide array<long>, size long")
-
-
-def _differing(a: str, b: str) -> str:
-    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(WIDE // 64))
-
-
-def _candidates(kinds: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of ``kinds`` (low, wide, size) that share a one-wildcard
-    variant of a segment and may be similar by their sizes and their wide SimHash."""
-    segments = WIDE // SEGMENT
-    placed = kinds.select("low", "wide", "size", F.explode(F.sequence(F.lit(0), F.lit(segments * COPY_BITS - 1))).alias("place"))
-    segment = F.expr(
-        f"shiftrightunsigned(wide[place div {2 * COPY_BITS}], {SEGMENT} * ((place div {COPY_BITS}) % 2)) & {(1 << COPY_BITS) - 1}L")
-    variant = segment.bitwiseAND(F.bitwise_not(F.expr(f"shiftleft(1L, place % {COPY_BITS})")))
-    keyed = placed.where("size > 0").select("low", F.expr("shiftleft(cast(place as long), 32)").bitwiseOR(variant).alias("key"))
-    crowd = cut_lineage(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
-    small = crowd.where(F.col("n") <= SMALL_GROUP)
-    pairs = small.select("key", F.col("low").alias("a")).join(small.select("key", F.col("low").alias("b")), "key").where("a < b")
-    # In a crowded variant, each member is held against the one closest to what
-    # most of the members have in each bit, which is what copies were made from,
-    # and against its neighbour in the order of the fingerprints.
-    large = crowd.where(F.col("n") > SMALL_GROUP).join(kinds, "low").select("key", "low", "wide")
-    large = cut_lineage(large)
-    bits = [F.sum(F.expr(f"shiftrightunsigned(wide[{i // 64}], {i % 64}) & 1")).alias(f"s{i}") for i in range(WIDE)]
-    usual = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *bits)
-    longs = [" | ".join(f"if(2 * s{64 * w + i} > n, shiftleft(1L, {i}), 0L)" for i in range(64)) for w in range(WIDE // 64)]
-    usual = usual.select("key", F.array(*[F.expr(x) for x in longs]).alias("usual"))
-    away = large.join(usual, "key").withColumn("far", F.expr(_differing("wide", "usual")))
-    same = Window.partitionBy("key")
-    led = away.select(F.col("low").alias("x"), F.min(F.struct("far", "low")).over(same)["low"].alias("y"))
-    next_to = large.select(F.col("low").alias("x"), F.lag("low").over(same.orderBy("wide", "low")).alias("y"))
-    more = led.unionByName(next_to).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    sides = [kinds.select(F.col("low").alias(c), F.col("wide").alias(f"w{c}"), F.col("size").alias(f"n{c}")) for c in "ab"]
-    found = pairs.select("a", "b").unionByName(more).distinct().join(sides[0], "a").join(sides[1], "b")
-    return found.where(f"least(na, nb) >= {similarity} * greatest(na, nb) and {_differing('wa', 'wb')} <= {MOST_BITS}").select("a", "b")
+            [batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
+            ["doc_id", "e1", "e2", "wide"])
+
+    return per_batch(docs, run, "doc_id long, e1 long, e2 long, wide array<long>")
+
+
+def _rolled(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each text, rolled from the
+    hashes of its words."""
+    known: dict[bytes, int] = {}
+    for text in texts.cast(pa.binary()):
+        tokens = (text.as_py() or b"").translate(_LOWER).split()
+        for w in set(tokens) - known.keys():
+            known[w] = xxhash.xxh64_intdigest(w, 7)
+        own = np.fromiter((known[w] for w in tokens), np.uint64, len(tokens))
+        count = max(len(own) - words + 1, min(len(own), 1))
+        rolled = np.zeros(count, np.uint64)
+        for i in range(min(words, len(own))):
+            rolled = (rolled ^ own[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
+            rolled ^= rolled >> np.uint64(29)
+        yield np.unique(rolled)
+
+
+def _usage(texts: DataFrame, words: int) -> np.ndarray:
+    """How many texts use the shingles of each of 2 ** USAGE_BITS buckets. It only
+    orders shingles: those that share a bucket count as common as both are."""
+    blocks = 1 << (USAGE_BITS - 12)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << USAGE_BITS, np.uint32)
+        for batch in batches:
+            for hashes in _rolled(batch.column(1), words):
+                np.add.at(held, (hashes & np.uint64(len(held) - 1)).astype(np.int64), 1)
+        if held.any():
+            parts = [x.tobytes() for x in held.reshape(blocks, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[block] = sums.get(block, 0) + np.frombuffer(part.as_py(), np.uint32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+
+    kind = "block int, counts binary"
+    total = np.zeros((blocks, 1 << 12), np.uint32)
+    for row in texts.mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).toArrow().to_pylist():
+        total[row["block"]] = np.frombuffer(row["counts"], np.uint32)
+    return total.reshape(-1)
+
+
+def _prefixes(texts: DataFrame, usage: Broadcast, words: int, similarity: float) -> DataFrame:
+    """(low, comp, size, place, key) for the rarest shingles of each text of
+    ``texts`` (low, text, comp): so many that two texts which are similar enough
+    have one of them in common. place is the shingle's place in the order."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, places, owners, sizes = [], [], [], []
+        for row, hashes in enumerate(_rolled(batch.column(1), words)):
+            most = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+            common = usage.value[(hashes & np.uint64(len(usage.value) - 1)).astype(np.int64)]
+            keys.append(hashes[np.argsort(common, kind="stable")[:most]])
+            places.append(np.arange(most))
+            owners.append(np.full(most, row))
+            sizes.append(np.full(most, len(hashes)))
+        owner = pa.array(np.concatenate(owners))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(owner), batch.column(2).take(owner), pa.array(np.concatenate(sizes), pa.int32()),
+             pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(keys).view(np.int64))],
+            ["low", "comp", "size", "place", "key"])
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) per row of ``docs`` (doc_id, text) that has a doc_id:
-    component_id is the smallest doc_id reachable over texts whose sets of
-    ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    return per_batch(texts, run, "low long, comp long, size int, place int, key long")
 
-    64 bits and two of them differing, as in :func:`near_duplicates`, find few such
-    pairs: at 0.8 about ten of 64 bits differ. So the SimHash is WIDE here and cut
-    into more segments, of which a near pair has one with at most one bit differing
-    with a probability of 0.97 or more, by measurement at one or two edits; equal
-    variants are candidates, and the shingle sets of the whole texts decide. Equal
-    word sequences are one entry. Texts without words are copies of each other.
-    """
-    rows = cut_lineage(_sketches(docs, words))
-    kinds = cut_lineage(rows.groupBy("e1", "e2").agg(
-        F.min("doc_id").alias("low"), F.min_by("wide", "doc_id").alias("wide"), F.min("size").alias("size")))
-    pairs = cut_lineage(_candidates(kinds, similarity))
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = cut_lineage(wanted)
+
+def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) whose whole shingle sets are similar."""
+    pairs = cut_lineage(pairs)
+    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(side, "doc_id")
     # Rows that repeat an id are one document, whose words are those of any of them.
-    sets = cut_lineage(per_batch(texts.dropDuplicates(["doc_id"]), run, "doc_id long, set array<long>"))
+    texts = docs.join(side, "doc_id").dropDuplicates(["doc_id"])
+    sets = cut_lineage(per_batch(texts, run, "doc_id long, set array<long>"))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    components = connected_components(alike).withColumnRenamed("node", "low")
-    named = kinds.join(components, "low", "left").select("e1", "e2", F.coalesce("root", "low").alias("component_id"))
-    return rows.join(named, ["e1", "e2"]).select("doc_id", "component_id")
+    return cut_lineage(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (low, ...) with comp, the component of low over ``edges``."""
+    components = connected_components(edges).select(F.col("node").alias("low"), "root")
+    return rows.drop("comp").join(components, "low", "left").withColumn("comp", F.coalesce("root", "low")).drop("root")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, n, head) per key that texts of several components share: how many
+    rows, and one of them, the same in every run."""
+    return rows.groupBy("key").agg(
+        F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n"),
+        F.min(F.struct(F.xxhash64("low", "comp").alias("by"), "low", "comp", "size", "place")).alias("head"),
+    ).where("least <> most").select("key", "n", "head")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) per row of ``docs`` (doc_id, text) that has a doc_id:
+    component_id is the smallest doc_id reachable over texts whose sets of
+    ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Every such link counts; none is left to chance. Equal word sequences are one
+    entry. Equal segments of a wide SimHash tie most members of a large group of
+    copies to a head first, so that the group need not be compared in pairs. What
+    that leaves is found by a prefix filter: with shingles in one order, the rarest
+    first, two similar texts have one in common among the first 1 - ``similarity``
+    of each. Texts of different components that share one are compared by their
+    whole sets, in crowded shingles with one head first, which joins components,
+    and then all that are still apart. Texts without words are copies of each other.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = cut_lineage(_sketches(docs))
+    kinds = cut_lineage(rows.groupBy("e1", "e2").agg(F.min("doc_id").alias("low"), F.min_by("wide", "doc_id").alias("wide")))
+    segments = kinds.select("low", F.posexplode(F.expr(
+        "flatten(transform(wide, x -> array(x & 4294967295L, shiftrightunsigned(x, 32))))")).alias("place", "segment"))
+    heads = segments.groupBy("place", "segment").agg(F.min("low").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    tied = segments.join(heads, ["place", "segment"]).where("low > a").select("a", F.col("low").alias("b")).distinct()
+    edges = _alike(docs, tied, words, similarity)
+    known = cut_lineage(_rooted(kinds.select("low").distinct(), edges))
+    side = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+    texts = docs.join(side, docs["doc_id"] == side["low"]).select("low", "text", "comp")
+    usage = docs.sparkSession.sparkContext.broadcast(_usage(docs, words))
+    prefixes = _prefixes(texts, usage, words, similarity)
+    open_rows = cut_lineage(prefixes.join(_mixed(prefixes).select("key"), "key", "left_semi"))
+    least = similarity / (1 + similarity)
+
+    def possible(a: str, b: str) -> str:
+        # What two texts may share from their first common shingle on.
+        return (f"{a}comp <> {b}comp and least({a}size - {a}place, {b}size - {b}place) >= "
+                f"{least!r} * ({a}size + {b}size) - 1e-6 and least({a}size, {b}size) >= {similarity!r} * greatest({a}size, {b}size) - 1e-6")
+
+    for _ in range(HEAD_ROUNDS):
+        mixed = cut_lineage(_mixed(open_rows))
+        crowded = mixed.where(F.col("n") > SMALL_GROUP)
+        if crowded.isEmpty():
+            break
+        pairs = open_rows.join(crowded, "key").where(possible("", "head.")).select(
+            F.least("low", "head.low").alias("a"), F.greatest("low", "head.low").alias("b")).distinct()
+        more = _alike(docs, pairs, words, similarity)
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        open_rows = cut_lineage(_rooted(open_rows.join(mixed.select("key"), "key", "left_semi"), edges))
+    left = open_rows.join(_mixed(open_rows).select("key"), "key", "left_semi").select(
+        "key", *[F.col(c).alias(f"a{c}") for c in ("low", "comp", "size", "place")])
+    right = left.select("key", *[F.col(f"a{c}").alias(f"b{c}") for c in ("low", "comp", "size", "place")])
+    apart = left.join(right, "key").where(f"alow < blow and {possible('a', 'b')}").select(
+        F.col("alow").alias("a"), F.col("blow").alias("b")).distinct()
+    known = _rooted(kinds.select("e1", "e2", "low"), edges.unionByName(_alike(docs, apart, words, similarity)))
+    return rows.join(known, ["e1", "e2"]).select("doc_id", F.col("comp").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -115,6 +115,20 @@ def test_near_copies_equal_comparing_all_pairs(spark):
     assert found == roots(alike, sets)
 
 
+def test_near_copies_of_ordinary_members_of_a_crowd(spark):
+    generator = random.Random(8)
+    template = [f"t{i}" for i in range(150)]
+    # Many texts share a template and are no copies; each of some has one near copy.
+    originals = [template + [f"own{generator.random()}" for _ in range(38)] for _ in range(1500)]
+    copies = {i: near(generator, originals[i], 3) for i in range(0, 1500, 5)}
+    rows = [(i, " ".join(x)) for i, x in enumerate(originals)] + [(10_000 + i, x) for i, x in copies.items()]
+    sets = {i: set(simhash.shingle_set(x.encode(), 5)) for i, x in rows}
+    wanted = [(i, 10_000 + i) for i in copies if len(sets[i] & sets[10_000 + i]) >= 0.8 * len(sets[i] | sets[10_000 + i])]
+    assert len(wanted) > 200
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, rows)).collect()}
+    assert found == roots(wanted, sets)
+
+
 def test_one_of_each_keeps_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(2, text), (1, text), (1, text), (None, text), (5, "other words"), (6, None), (7, "")]
