@@ -129,6 +129,32 @@ def test_near_copies_of_ordinary_members_of_a_crowd(spark):
     assert found == roots(wanted, sets)
 
 
+@pytest.mark.parametrize("case", ["added 5%", "added 10%", "added 15%", "added 23%", "cut", "moved", "edited"])
+def test_near_copies_with_passages_changed(spark, case):
+    generator = random.Random(case)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    zipf = [1 / (i + 1) for i in range(5000)]
+    draw = lambda n: generator.choices(vocabulary, zipf, k=n)
+    rows = []
+    for i in range(150):
+        base = draw(generator.randint(100, 300))
+        n, at = len(base), generator.randrange(len(base) * 2 // 3)
+        if case.startswith("added"):
+            other = base + draw(n * int(case[6:-1]) // 100)
+        elif case == "cut":
+            other = base[:at] + base[at + n // 7 :]
+        elif case == "moved":
+            other = base[:at] + base[at + n // 4 :] + base[at : at + n // 4]
+        else:
+            other = near(generator, base, max(1, n // 60)).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    sets = {i: set(simhash.shingle_set(t.encode(), 5)) for i, t in rows}
+    alike = [(i, i + 1) for i in range(0, 300, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(alike) > 50
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, rows)).collect()}
+    assert found == roots(alike, sets)
+
+
 def test_one_of_each_keeps_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(2, text), (1, text), (1, text), (None, text), (5, "other words"), (6, None), (7, "")]
