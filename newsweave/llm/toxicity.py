@@ -9,14 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsweave.llm.common import pieces
+from newsweave.llm.common import per_batch, pieces
+from newsweave.operators.joins import lookup_join
 from newsweave.session import cut_lineage
 
 ORDER = 5
 DISCOUNT = 0.75
 # Words in a passage; a document counts as toxic as its worst passage is.
 PASSAGE = 5
-# n-grams that may be broadcast, 12 bytes each; beyond it rarer ones count as unseen.
+# n-grams that may be broadcast, 12 bytes each; beyond it words are joined with them.
 MOST_GRAMS = 4_000_000
 # Labels that may be broadcast; beyond it they are joined by shuffling.
 BROADCAST_LABELS = 2_000_000
@@ -166,20 +167,14 @@ def _sorted_table(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, n
     return hashes[order], values[order].astype(np.float32)
 
 
-def fit(labelled: DataFrame) -> Model:
-    """The model of labelled texts (text, toxic). What it keeps is bounded by
-    MOST_GRAMS: while there are more n-grams, the least count that is kept doubles."""
+def fit(labelled: DataFrame) -> Model | tuple[DataFrame, DataFrame]:
+    """The model of labelled texts (text, toxic), with every n-gram: up to MOST_GRAMS
+    as tables in memory, beyond it as the tables of :func:`ratios`."""
     counts = cut_lineage(gram_counts(labelled))
     grams, contexts = (cut_lineage(x) for x in ratios(counts))
-    least = 1
-    while grams.where(F.col("n") >= least).count() > MOST_GRAMS:
-        least *= 2
-    least_context = 1 if contexts.count() <= MOST_GRAMS else least
-    kept = grams.where(F.col("n") >= least).select("gram", "ratio").toArrow()
-    if least_context > 1:
-        used = grams.where(F.col("n") >= least).select(F.substring("gram", 1, ORDER - 1).alias("context")).distinct()
-        contexts = contexts.join(used, "context", "left_semi")
-    around = contexts.select("context", "ratio").toArrow()
+    if grams.count() > MOST_GRAMS:
+        return grams, contexts
+    kept, around = grams.select("gram", "ratio").toArrow(), contexts.select("context", "ratio").toArrow()
 
     def hashed(texts: list[str], place: int) -> np.ndarray:
         # A context is hashed as the start of an n-gram with any last letter.
@@ -211,27 +206,80 @@ def worst_passage(values: np.ndarray, lengths: np.ndarray) -> float:
     return float(((sums[size:] - sums[:-size]) / (letters[size:] - letters[:-size])).max())
 
 
-def passages(docs: DataFrame, model: Model) -> DataFrame:
+def _numbered(text: str, numbers: dict[str, int]) -> np.ndarray:
+    own = words_of(text)
+    row = np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int64, len(own))
+    # A word repeated over and over is no more evidence than the word.
+    return row[np.concatenate(([True], row[1:] != row[:-1]))] if len(row) else row
+
+
+def _word_values(words: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(word, value) per distinct word: its log-likelihood ratio, as :class:`Model` has it."""
+    padded = F.concat(F.lit(_START * (ORDER - 1)), "word", F.lit(_END))
+    at = words.select("word", padded.alias("padded"), F.explode(F.sequence(F.lit(1), F.length("word") + 1)).alias("at"))
+    at = at.select("word", "at", F.expr(f"substring(padded, at, {ORDER})").alias("gram"))
+    found = lookup_join(at, grams.select("gram", F.col("ratio").cast("float").alias("seen")), "gram", "left")
+    found = found.withColumn("context", F.substring("gram", 1, ORDER - 1))
+    found = lookup_join(found, contexts.select("context", F.col("ratio").cast("float").alias("other")), "context", "left")
+    each = F.coalesce("seen", "other", F.lit(0.0).cast("float"))
+    lists = found.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", each.alias("ratio"))))["ratio"].alias("each"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = [np.add.reduceat(np.array(x.as_py(), np.float64), [0])[0] for x in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["word", "value"])
+
+    return per_batch(lists, run, "word string, value double")
+
+
+def _joined_passages(docs: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """What :func:`passages` gives, with the model left in Spark: the distinct words
+    are joined with its n-grams, the distinct words of each text with their values."""
+    docs = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = cut_lineage(docs.groupBy("key").agg(F.first(F.coalesce("text", F.lit(""))).alias("text")))
+
+    def split(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                words = list(dict.fromkeys(words_of(text.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(words), pa.string()), pa.array(words, pa.string())], ["key", "word"])
+
+    words = cut_lineage(texts.mapInArrow(split, "key string, word string"))
+    values = cut_lineage(_word_values(words.select("word").distinct(), grams, contexts))
+    own = lookup_join(words, values, "word").groupBy("key").agg(F.collect_list(F.struct("word", "value")).alias("own"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        worst = []
+        for text, pairs in zip(batch.column(1), batch.column(2)):
+            numbers: dict[str, int] = {}
+            row = _numbered(text.as_py(), numbers)
+            known = {p["word"]: p["value"] for p in pairs.as_py() or ()}
+            lengths = np.fromiter((len(w) + 1 for w in numbers), np.int64, len(numbers))
+            worst.append(worst_passage(np.array([known[w] for w in numbers], np.float64)[row], lengths[row]))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(worst, pa.float64())], ["key", "worst"])
+
+    found = per_batch(texts.join(own, "key", "left").select("key", "text", "own"), run, "key string, worst double")
+    return lookup_join(docs.select("doc_id", "key"), cut_lineage(found), "key").select("doc_id", "worst")
+
+
+def passages(docs: DataFrame, model: Model | tuple[DataFrame, DataFrame]) -> DataFrame:
     """(doc_id, worst) for every row of ``docs``, from its whole text."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if not isinstance(model, Model):
+        return _joined_passages(docs, *model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", _SLICE_BYTES) if batch.num_rows else ():
                 numbers: dict[str, int] = {}
-                rows = []
-                for text in part.column(1):
-                    own = words_of(text.as_py() or "")
-                    row = np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int64, len(own))
-                    # A word repeated over and over is no more evidence than the word.
-                    rows.append(row[np.concatenate(([True], row[1:] != row[:-1]))] if len(row) else row)
+                rows = [_numbered(text.as_py() or "", numbers) for text in part.column(1)]
                 known = list(numbers)
                 values = shared.value.of_words(known)
                 lengths = np.fromiter((len(w) + 1 for w in known), np.int64, len(known))
                 worst = [worst_passage(values[r], lengths[r]) for r in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(worst, pa.float64())], ["doc_id", "worst"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, worst double")
+    return docs.mapInArrow(run, "doc_id long, worst double")
 
 
 def logistic(bins: list[tuple[float, float, float]]) -> tuple[float, float]:

@@ -155,6 +155,16 @@ def test_held_out_toxicity(spark):
     assert {None} | {i for i, t in labels if not t and zlib.crc32(str(i).encode()) % 5} <= {r.doc_id for r in kept.collect()}
 
 
+def test_scores_do_not_depend_on_how_many_grams_may_be_broadcast(spark, monkeypatch):
+    rows, labels = toxic_corpus(random.Random(6))
+    side = spark.createDataFrame(labels, "doc_id long, toxic int")
+    given = docs(spark, rows + ODD)
+    scores = lambda: sorted((r.doc_id or -1, r.score) for r in toxicity.scored(given, side).collect())
+    broadcast = scores()
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 50)
+    assert scores() == broadcast
+
+
 def test_nothing_learned_rejects_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.scored(docs(spark, ODD), empty).collect()} == {0}
