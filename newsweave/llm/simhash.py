@@ -25,6 +25,8 @@ WIDE = 256
 BROADCAST_IDS = 2_000_000
 USAGE_BITS = 22
 HEAD_ROUNDS = 3
+# Words whose hashes a task keeps from one text to the next.
+KNOWN_WORDS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -183,8 +185,11 @@ def _rolled(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     known: dict[bytes, int] = {}
     for text in texts.cast(pa.binary()):
         tokens = (text.as_py() or b"").translate(_LOWER).split()
-        for w in set(tokens) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w, 7)
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for w in set(tokens):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, 7)
         own = np.fromiter((known[w] for w in tokens), np.uint64, len(tokens))
         count = max(len(own) - words + 1, min(len(own), 1))
         rolled = np.zeros(count, np.uint64)
@@ -306,7 +311,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     side = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
     texts = docs.join(side, docs["doc_id"] == side["low"]).select("low", "text", "comp")
     usage = docs.sparkSession.sparkContext.broadcast(_usage(docs, words))
-    prefixes = _prefixes(texts, usage, words, similarity)
+    prefixes = cut_lineage(_prefixes(texts, usage, words, similarity))
     open_rows = cut_lineage(prefixes.join(_mixed(prefixes).select("key"), "key", "left_semi"))
     least = similarity / (1 + similarity)
 
