@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave.llm import (
-    decontamination, linededup, neighbours, pagetext, personal, secrets, sentencepieces, simhash, tokencounts,
-    toxicity,
+    conversations, decontamination, linededup, neighbours, packing, pagetext, personal, secrets, sentencepieces, simhash,
+    tokencounts, toxicity,
 )
 from newsweave.llm.common import read
 from newsweave.session import new_folder
@@ -107,3 +107,13 @@ def page_text(spark, folder):
 @query("op5_nearest_vectors")
 def nearest_vectors(spark, folder):
     return neighbours.nearest(read(spark, folder, "embeddings"))
+
+
+@query("op11_packed_sequences")
+def packed_sequences(spark, folder, tokenizers=TOKENIZERS):
+    return packing.pack(read(spark, folder, "documents"), tokencounts.rank_bytes(f"{tokenizers}/byte_bpe_50k.tiktoken"))
+
+
+@query("op12_repaired_conversations")
+def repaired_conversations(spark, folder):
+    return conversations.report(read(spark, folder, "conversations"))
