@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsweave.llm import (
     conversations, decontamination, linededup, neighbours, packing, pagetext, personal, secrets, sentencepieces, simhash,
-    tokencounts, toxicity,
+    spellings, tokencounts, toxicity,
 )
 from newsweave.llm.common import read
 from newsweave.session import new_folder
@@ -117,3 +117,8 @@ def packed_sequences(spark, folder, tokenizers=TOKENIZERS):
 @query("op12_repaired_conversations")
 def repaired_conversations(spark, folder):
     return conversations.report(read(spark, folder, "conversations"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark, folder):
+    return spellings.variants(read(spark, folder, "documents"))
