@@ -51,21 +51,32 @@ class Vocabulary:
                    [byte_ids.get(v, model.unk_id()) for v in range(256)], model.unk_id(), texts)
 
 
-def _packed(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The next 16 letter numbers from each start, four to a word, most significant first."""
-    found = np.zeros((len(starts), _DEPTH // 4), np.uint64)
+def _packed(codes: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """The next 16 letter numbers from each start in as few words as hold them, most
+    significant first."""
+    each = 64 // bits
+    found = np.zeros((len(starts), -(-_DEPTH // each)), np.uint64)
     for i in range(_DEPTH):
-        found[:, i // 4] |= codes[starts + i].astype(np.uint64) << np.uint64(48 - 16 * (i % 4))
+        found[:, i // each] |= codes[starts + i].astype(np.uint64) << np.uint64(bits * (each - 1 - i % each))
     return found
 
 
-def suffix_array(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(codes: np.ndarray, starts: np.ndarray, bits: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """``starts`` in the order of their next 16 letters, which is as far as a
-    piece reaches, and those letters."""
-    keys = _packed(codes, starts)
-    order = np.argsort(keys[:, -1], kind="stable")
-    for column in range(keys.shape[1] - 2, -1, -1):
-        order = order[np.argsort(keys[order, column], kind="stable")]
+    piece reaches, and those letters. After the first word only ties are sorted on."""
+    keys = _packed(codes, starts, bits)
+    order = np.argsort(keys[:, 0])
+    tied = np.ones(len(order), bool)
+    for column in range(1, keys.shape[1]):
+        held = keys[order, column - 1]
+        same = (held[1:] == held[:-1]) & (tied[1:] & tied[:-1] if column == 1 else joined)
+        joined = same
+        tied = np.append(same, False) | np.insert(same, 0, False)
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        group = np.cumsum(np.insert(~same, 0, True)[: len(order)])[at]
+        order[at] = order[at][np.lexsort((keys[order[at], column], group))]
     return starts[order], keys[order]
 
 
@@ -98,11 +109,8 @@ class Matcher:
             raise ValueError("too many different letters")
         # 0 stands between chunks and for letters of no piece.
         self.letters = np.array([ord(c) for c in letters], np.uint32)
-        lengths = np.array([len(p) for p in vocabulary.pieces])
-        flat = self.numbers("".join(p.ljust(_DEPTH, "\0") for p in vocabulary.pieces)).astype(np.uint64)
-        low = _packed(flat, np.arange(len(lengths)) * _DEPTH)
-        high = _packed(np.where(flat == 0, 65_535, flat), np.arange(len(lengths)) * _DEPTH)
-        self.low, self.high, self.lengths = low, high, lengths
+        self.lengths = np.array([len(p) for p in vocabulary.pieces])
+        self.flat = self.numbers("".join(p.ljust(_DEPTH, "\0") for p in vocabulary.pieces)).reshape(-1, _DEPTH)
 
     def numbers(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -111,12 +119,28 @@ class Matcher:
 
     def edges(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces occur: sorted start * 32 + length, and the piece's number."""
-        places, keys = suffix_array(codes, starts)
-        low, high = _bound(keys, self.low, False), _bound(keys, self.high, True)
-        counts = high - low
+        # Letters are numbered anew among those of the text, so that more of them fit a
+        # word; pieces with other letters have no edges.
+        used = np.union1d([0], codes)
+        bits = 8 if len(used) < 256 else 16
+        known = np.zeros(len(self.letters) + 1, np.int64)
+        known[used] = np.arange(len(used))
+        own = known[self.flat]
+        there = ((own > 0) | (self.flat == 0)).all(axis=1)
+        wanted = np.flatnonzero(there)
+        own = own[wanted].astype(np.uint64)
+        begins = np.arange(len(wanted)) * _DEPTH
+        least = _packed(own.reshape(-1), begins, bits)
+        most = _packed(np.where(own == 0, (1 << bits) - 1, own).reshape(-1), begins, bits)
+        places, keys = suffix_array(known[codes], starts, bits)
+        low, high = _bound(keys, least, False), _bound(keys, most, True)
+        counts = np.zeros(len(self.lengths), np.int64)
+        counts[wanted] = high - low
+        first = np.zeros(len(self.lengths), np.int64)
+        first[wanted] = low
         piece = np.repeat(np.arange(len(counts)), counts)
         within = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = places[np.repeat(low, counts) + within] * 32 + self.lengths[piece]
+        at = places[np.repeat(first, counts) + within] * 32 + self.lengths[piece]
         order = np.argsort(at)
         return at[order], piece[order]
 
@@ -146,28 +170,42 @@ class Matcher:
             spans[number] = self._merged_alone(int(begins[number]), int(sizes[number]), piece_of)
         live = ~long[owner]
         start, chunk = starts[live], owner[live]
+        limits = begins + sizes
         done_start, done_chunk = [], []
+
+        def value_of(start: np.ndarray, chunk: np.ndarray, pair: np.ndarray) -> np.ndarray:
+            # What merging the symbol at each place with the next one scores.
+            after = np.append(start[2:], [0, 0])[pair]
+            chunk_after = np.append(chunk[2:], [-1, -1])[pair]
+            end = np.where(chunk_after == chunk[pair], after, limits[chunk[pair]])
+            inside = np.append(chunk[1:], -1)[pair] == chunk[pair]
+            found = piece_of(start[pair], end - start[pair])
+            return np.where(inside & (found >= 0), scores[found], -np.inf)
+
+        value = value_of(start, chunk, np.arange(len(start)))
         while len(start):
-            ends = np.append(start[1:], 0)
-            last = np.append(chunk[1:] != chunk[:-1], True)
-            ends[last] = (begins + sizes)[chunk[last]]
-            after = np.append(ends[1:], 0)
-            pair = np.flatnonzero(~last)
-            found = piece_of(start[pair], after[pair] - start[pair])
-            value = np.where(found >= 0, scores[found], -np.inf)
-            order = np.lexsort((pair, -value, chunk[pair]))
-            order = order[np.isfinite(value[order])]
-            first = np.concatenate(([True], chunk[pair[order]][1:] != chunk[pair[order]][:-1])) if len(order) else np.zeros(0, bool)
-            chosen = pair[order[first]]
+            heads = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+            best = np.maximum.reduceat(value, heads)
+            lengths = np.diff(np.append(heads, len(start)))
+            ended = np.repeat(~np.isfinite(best), lengths)
+            if ended.any():
+                done_start.append(start[ended])
+                done_chunk.append(chunk[ended])
+                start, chunk, value = start[~ended], chunk[~ended], value[~ended]
+                best, lengths = best[np.isfinite(best)], lengths[np.isfinite(best)]
+                if not len(start):
+                    break
+            # The leftmost of the best in each chunk.
+            at = np.flatnonzero(value == np.repeat(best, lengths))
+            chosen = at[np.append(True, chunk[at][1:] != chunk[at][:-1])]
             keep = np.ones(len(start), bool)
             keep[chosen + 1] = False
-            going = np.zeros(len(chunks), bool)
-            going[chunk[chosen]] = True
-            ended = ~going[chunk]
-            done_start.append(start[ended])
-            done_chunk.append(chunk[ended])
-            keep &= ~ended
-            start, chunk = start[keep], chunk[keep]
+            start, chunk, value = start[keep], chunk[keep], value[keep]
+            # A merge takes one symbol out of each chunk, and changes its own pair and the one before.
+            merged = chosen - np.arange(len(chosen))
+            before = merged[(merged > 0) & (chunk[merged - 1] == chunk[merged])] - 1
+            changed = np.concatenate([merged, before])
+            value[changed] = value_of(start, chunk, changed)
         for number, at in spans.items():
             done_start.append(at)
             done_chunk.append(np.full(len(at), number))
