@@ -16,7 +16,7 @@ from newsweave.operators.vectors import serialised
 from newsweave.plans.cluster import cluster_job
 from newsweave.plans.collaborative import collaborative_job
 from newsweave.plans.content import content_job, content_job_reduced, embed_new_articles
-from newsweave.session import new_folder
+from newsweave.session import cut_lineage, new_folder
 from newsweave.sources.tables import ClusterInput, ContentInput, latest_news
 from newsweave.streaming.incremental import embed_arriving
 
@@ -46,7 +46,7 @@ def predictions(spark, folder):
 
 @query("win5_factor_recommendations")
 def recommendations(spark, folder):
-    return factorization.flat_recommendations(factorization.recommendations(_model(spark, folder)))
+    return factorization.best_of_users(_model(spark, folder)).drop("blocks")
 
 
 @query("ml4_convergence")
@@ -213,6 +213,21 @@ def ranks_of_every_user(spark, folder):
         F.count(F.lit(1)).alias("n"), F.min("rank").alias("lowest"), F.max("rank").alias("highest"))
 
 
+_TEN = """least(10, (select count(distinct "newsId") from samples where part = 'train'))::bigint"""
+
+
+@query("win5_equal_to_all_products", f"""
+select "userId" user_id, {_TEN} n, 0::bigint differing from samples where part = 'train' group by 1""")
+def equal_to_all_products(spark, folder):
+    model = _model(spark, folder)
+    # Scores are compared place by place, as equal ones may come in another order.
+    whole = factorization.flat_recommendations(factorization.recommendations(model)).select(
+        "user_id", "rank", F.col("similarity_score").alias("other"))
+    both = factorization.best_of_users(model).join(whole, ["user_id", "rank"], "full")
+    differs = F.coalesce(F.abs(F.col("similarity_score") - F.col("other")) > 1e-5, F.lit(True))
+    return both.groupBy("user_id").agg(F.count("similarity_score").alias("n"), F.count_if(differs).alias("differing"))
+
+
 @query("ml2_factors_of_every_id", """
 select 'user' side, count(distinct "userId") ids, 10::integer lowest, 10::integer highest from samples where part = 'train'
 union all select 'item', count(distinct "newsId"), 10::integer, 10::integer from samples where part = 'train'""")
@@ -254,6 +269,88 @@ def users_evaluated(spark, folder):
     return stored_model(spark, folder).select("users")
 
 
+def _scored(model, pairs):
+    """The pairs with the product of their factors, worked out anew."""
+    users = model.userFactors.select(F.col("id").alias("userId"), F.col("features").alias("u"))
+    items = model.itemFactors.select(F.col("id").alias("newsId"), F.col("features").alias("i"))
+    product = F.aggregate(F.zip_with("u", "i", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    return pairs.join(users, "userId").join(items, "newsId").withColumn("score", product)
+
+
+@query("ml4_last_error_recomputed", "select 3::integer iteration, 0.0::double rmse_difference, 0.0::double mae_difference")
+def last_error(spark, folder):
+    train, valid = _samples(spark, folder)
+    curve, model = factorization.convergence(train, valid, iterations=3, rank=10)
+    error = F.col("clicked") - F.col("score")
+    anew = _scored(model, valid).agg(F.sqrt(F.avg(error * error)).alias("r"), F.avg(F.abs(error)).alias("m"))
+    return curve.where("iteration = 3").crossJoin(F.broadcast(anew)).select(
+        "iteration", rounded(F.col("rmse") - F.col("r"), 4).alias("rmse_difference"), rounded(F.col("mae") - F.col("m"), 4).alias("mae_difference"))
+
+
+@query("ml5_errors_recomputed", """
+select r::integer "rank", 0.1::double reg_param, a::double alpha, 0.0::double difference from (values (5), (10)) x(r), (values (1.0), (5.0)) y(a)""")
+def grid_errors(spark, folder):
+    train = cut_lineage(training_sample(behaviors_train(spark, folder)))
+    table_, _ = factorization.grid_search(train, [5, 10], [0.1], [1.0, 5.0], folds=2, maxIter=3)
+    folds = cut_lineage(factorization.with_fold(train, 2, 47))
+    rows = []
+    for rank in (5, 10):
+        for alpha in (1.0, 5.0):
+            errors = []
+            for fold in range(2):
+                model = factorization.als_estimator(rank=rank, regParam=0.1, alpha=alpha, maxIter=3).fit(folds.where(F.col("_fold") != fold).drop("_fold"))
+                error = F.col("clicked") - F.col("score")
+                errors.append(_scored(model, folds.where(F.col("_fold") == fold)).agg(F.sqrt(F.avg(error * error))).first()[0])
+            rows.append((rank, 0.1, alpha, sum(errors) / 2))
+    anew = spark.createDataFrame(rows, "rank int, reg_param double, alpha double, anew double")
+    return table_.join(anew, ["rank", "reg_param", "alpha"], "full").select(
+        "rank", "reg_param", "alpha", rounded(F.col("rmse") - F.col("anew"), 3).alias("difference"))
+
+
+@query("ev4_metrics_recomputed", """
+select count(distinct "userId") users, 0.0::double precision_difference, 0.0::double recall_difference,
+       0.0::double ndcg_difference, 0.0::double map_difference
+from samples where part = 'train' and "userId" in (select try_cast(regexp_replace(user_id, '^U', '') as integer) from truth)""")
+def metrics_recomputed(spark, folder):
+    path = new_folder(spark, "model")
+    factorization.save_model(_model(spark, folder), path)
+    pairs = cut_lineage(factor_ids(truth_pairs(behaviors_valid(spark, folder)), keep_empty=True))
+    found = factorization.evaluated(spark, path, pairs)
+    # The same once more in plain SQL over the stored model's rows, hit by hit.
+    factorization.best_of_users(factorization.load_model(path)).createOrReplaceTempView("_ev4_shown")
+    pairs.createOrReplaceTempView("_ev4_truth")
+    anew = spark.sql("""
+        with truth as (select user_id, count(distinct news_id) relevant from _ev4_truth group by user_id),
+        hits as (
+          select s.user_id, s.rank, row_number() over (partition by s.user_id order by s.rank) nth
+          from _ev4_shown s join (select distinct user_id, news_id from _ev4_truth where news_id is not null) t
+            on s.user_id = t.user_id and s.news_id = t.news_id),
+        sums as (select user_id, count(*) n, sum(1 / log2(rank + 1)) gain, sum(nth / rank) precisions from hits group by user_id),
+        ideal as (select t.user_id, sum(1 / log2(place + 1)) best from truth t lateral view explode(sequence(1, 10)) p as place
+                  where place <= t.relevant group by t.user_id),
+        each as (
+          select coalesce(n, 0) / 10 p, coalesce(n / relevant, 0) r, coalesce(gain / best, 0) g, coalesce(precisions / relevant, 0) a
+          from truth left join sums using (user_id) left join ideal using (user_id)
+          where user_id in (select user_id from _ev4_shown))
+        select count(*) u, avg(p) p, avg(r) r, avg(g) g, avg(a) a from each""")
+    return found.crossJoin(F.broadcast(anew)).where("users = u").select(
+        "users", rounded(F.col("precision_at_k") - F.col("p")).alias("precision_difference"), rounded(F.col("recall_at_k") - F.col("r")).alias("recall_difference"),
+        rounded(F.col("ndcg_at_k") - F.col("g")).alias("ndcg_difference"), rounded(F.col("mean_average_precision") - F.col("a")).alias("map_difference"))
+
+
+@query("ml9_cheapest_start_chosen", "select 3::bigint starts, true chosen_is_cheapest, 0.0::double difference")
+def cheapest_start(spark, folder):
+    reduced = cut_lineage(clustering.centred_pca(article_vectors(spark, folder), 50)[0])
+    labelled, _, costs = clustering.best_kmeans(reduced, starts=3)
+    # Squared distances to the means of the clusters, from the labels alone.
+    values = labelled.select("cluster", F.posexplode("pca_embedding").alias("pos", "x"))
+    spread = values.groupBy("cluster", "pos").agg((F.count(F.lit(1)) * F.var_pop("x")).alias("s")).agg(F.sum("s").alias("cost"))
+    # A centre is the mean of its cluster only once nothing moves any more.
+    return spread.select(
+        F.lit(len(costs)).cast("bigint").alias("starts"), (F.col("cost") <= min(costs) * (1 + 1e-6)).alias("chosen_is_cheapest"),
+        rounded(F.greatest(F.lit(0.0), F.abs(F.col("cost") / min(costs) - 1) - 0.01), 4).alias("difference"))
+
+
 @query("ml7_users_recommended_to", """select "userId" user_id, 10::bigint n from samples where part = 'train' group by 1""")
 def users_recommended_to(spark, folder):
     return collaborative(spark, folder).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -13,8 +13,8 @@ from newsweave.catalog.fixtures import (
 from newsweave.catalog.registry import query
 from newsweave.functions.vectors import cosine, unit_vector
 from newsweave.operators.joins import lookup_join
-from newsweave.operators import profiles, recommendations, similarity, vectors
-from newsweave.session import new_folder
+from newsweave.operators import profiles, quantised, recommendations, similarity, vectors
+from newsweave.session import cut_lineage, new_folder
 
 
 def _embeddings(spark, folder):
@@ -180,6 +180,41 @@ def approximate(spark, folder):
     return similarity.search_approximate(_click_profiles(spark, folder), index, probes=2)
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def quantised_index(spark, folder):
+    """The index of the test table, stored once per application."""
+    path = _INDEXES.setdefault((spark.sparkContext.applicationId, folder), new_folder(spark, "quantised"))
+    return quantised.load_or_build(_numbered_articles(spark, folder), path)
+
+
+@query("sim3_quantised_top_k")
+def quantised_top_k(spark, folder):
+    index, users = quantised_index(spark, folder), _click_profiles(spark, folder)
+    probes = quantised.measured_probes(users, _numbered_articles(spark, folder), index)
+    return quantised.search(users, index, probes=probes)
+
+
+# All cells visited and all articles on the short list: then the result is exact.
+@query("sim3_quantised_without_limits", _EXACT)
+def quantised_without_limits(spark, folder):
+    index = quantised_index(spark, folder)
+    return _shown_recs(quantised.search(_click_profiles(spark, folder), index, probes=len(index.fine), short=10**6))
+
+
+@query("sim4_quantised_recall", """
+select count(distinct user_id) users, count(*) wanted, true recall_reached, true cells_follow_rows from nearest""")
+def quantised_recall(spark, folder):
+    articles, users = _numbered_articles(spark, folder), cut_lineage(_click_profiles(spark, folder))
+    index = quantised_index(spark, folder)
+    probes = quantised.measured_probes(users, articles, index)
+    found = quantised.recall(quantised.search(users, index, probes=probes), similarity.top_articles(users, articles))
+    wanted = articles.count() ** 0.5
+    return found.select("users", "wanted", (F.col("recall") >= 0.9).alias("recall_reached"),
+                        F.lit(wanted / 2 <= len(index.fine) <= wanted * 2).alias("cells_follow_rows"))
+
+
 # With given centroids, here the mean directions of the labels, both the choice of
 # cells and the search in them are exact.
 @query("sim3_given_centroids", f"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler
@@ -14,6 +17,9 @@ from newsweave.constants import (
 )
 from newsweave.operators.joins import lookup_join
 
+# Starts of a clustering that run at the same time.
+PARALLEL_STARTS = 4
+
 
 def with_category(vectors: DataFrame, news: DataFrame) -> DataFrame:
     """Vectors with the article's category; ``unknown`` for an article that is
@@ -55,14 +61,18 @@ def best_kmeans(
     column: str = "pca_embedding",
 ) -> tuple[DataFrame, KMeansModel, list[float]]:
     """Cluster labels from the start with the lowest cost, its model, and the
-    costs of all starts."""
+    costs of all starts. The starts are submitted together, up to PARALLEL_STARTS."""
     features = vectors.select(array_to_vector(column).alias("features")).persist()
-    best, costs = None, []
-    for start in range(starts):
-        model = KMeans(k=clusters, seed=seed + start, featuresCol="features").fit(features)
-        costs.append(model.summary.trainingCost)
-        if costs[-1] == min(costs):
-            best = model
+    # Filled once, before the starts ask for it at the same time.
+    features.count()
+
+    def fit(start: int) -> KMeansModel:
+        return KMeans(k=clusters, seed=seed + start, featuresCol="features").fit(features)
+
+    with ThreadPool(max(min(starts, PARALLEL_STARTS), 1)) as pool:
+        models = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(starts))
+    costs = [model.summary.trainingCost for model in models]
+    best = models[costs.index(min(costs))]
     features.unpersist()
     labelled = best.setPredictionCol("cluster").transform(
         vectors.withColumn("features", array_to_vector(column))

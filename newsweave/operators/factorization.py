@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsweave.constants import (
     ALS_PARAMS, GRID_ALPHAS, GRID_FOLDS, GRID_PARALLELISM, GRID_RANKS, GRID_REG_PARAMS, TOP_K,
 )
+from newsweave.operators.inner_products import best_items
 from newsweave.session import shared_folder
 from newsweave.operators.evaluation import (
     mean_ranking_metrics, ranking_metrics, regression_metrics,
@@ -54,6 +55,13 @@ def flat_recommendations(nested: DataFrame) -> DataFrame:
     )
 
 
+def best_of_users(model: ALSModel, k: int = TOP_K) -> DataFrame:
+    """The same as rows user_id, news_id, similarity_score, rank, without a product of
+    all users and items: see :func:`best_items`. Ties go to the lower id. ``blocks``
+    tells how many blocks of items a user was compared with."""
+    return best_items(model.userFactors, model.itemFactors, k)
+
+
 def save_model(model: ALSModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -81,6 +89,11 @@ def convergence(
     return spark.createDataFrame(curve, "iteration int, rmse double, mae double"), model
 
 
+def with_fold(rows: DataFrame, folds: int, seed: int) -> DataFrame:
+    """``rows`` with the number of the fold each is held out in."""
+    return rows.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(folds)).cast("int"))
+
+
 def grid_search(
     train: DataFrame,
     ranks: Sequence[int] = GRID_RANKS,
@@ -92,17 +105,18 @@ def grid_search(
     **params,
 ) -> tuple[DataFrame, CrossValidatorModel]:
     """Cross-validated error of every parameter combination, best first, and
-    the fitted search. Feedback is implicit here too, so alpha has an effect."""
+    the fitted search. Feedback is implicit here too, so alpha has an effect. A row's
+    fold follows from its values (:func:`with_fold`), so the errors can be checked."""
     als = als_estimator(seed, **params)
     grid = (
         ParamGridBuilder().addGrid(als.rank, list(ranks)).addGrid(als.regParam, list(reg_params))
         .addGrid(als.alpha, list(alphas)).build()
     )
     search = CrossValidator(
-        estimator=als, estimatorParamMaps=grid, numFolds=folds, parallelism=parallelism, seed=seed,
+        estimator=als, estimatorParamMaps=grid, numFolds=folds, parallelism=parallelism, seed=seed, foldCol="_fold",
         evaluator=RegressionEvaluator(metricName="rmse", labelCol="clicked", predictionCol="prediction"),
     )
-    train = train.persist()
+    train = with_fold(train, folds, seed).persist()
     found = search.fit(train)
     train.unpersist()
     rows = [
@@ -117,5 +131,5 @@ def grid_search(
 def evaluated(spark: SparkSession, path: str, pairs: DataFrame, k: int = TOP_K) -> DataFrame:
     """Ranking metrics of a saved model against (user_id, news_id) pairs with
     the model's int ids."""
-    flat = flat_recommendations(recommendations(load_model(path), k))
+    flat = best_of_users(load_model(path), k)
     return mean_ranking_metrics(ranking_metrics(flat, pairs, k))

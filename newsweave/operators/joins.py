@@ -33,12 +33,17 @@ def _field_bytes(column: Column, kind: T.DataType) -> Column:
     return F.coalesce(size, F.lit(8)).cast("bigint")
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size of the rows of ``df`` in memory, measured in one aggregate."""
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row of ``df`` in memory."""
     total = F.lit(0).cast("bigint")
     for field in df.schema.fields:
         total = total + _field_bytes(F.col(field.name), field.dataType)
-    return df.agg(F.sum(total).alias("bytes")).first()["bytes"] or 0
+    return total
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Size of the rows of ``df`` in memory, measured in one aggregate."""
+    return df.agg(F.sum(row_bytes(df)).alias("bytes")).first()["bytes"] or 0
 
 
 def salted_join(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from newsweave.operators.corpus import row_mark
-from newsweave.operators.joins import salted_join
+from newsweave.operators.joins import BROADCAST_BYTES, row_bytes, salted_join
 from newsweave.operators.recommendations import nested
 from newsweave.session import cut_lineage
-from newsweave.sinks.versions import BUCKET, path_exists, read_current, versions, write_next
+from newsweave.sinks.versions import BUCKET, current, path_exists, read_current, write_next
 
-# Buckets of a table that is upserted, unless its first writer says otherwise.
-BUCKETS = 32
+# Bytes of a bucket of a table that is upserted, its least number of them, and files of
+# a bucket beyond which its rows are dealt anew.
+BUCKET_BYTES = 64 << 20
+MIN_BUCKETS = 8
+MOST_FILES = 4
 
 
 def append(df: DataFrame, path: str | None = None, format: str = "parquet", **options: str) -> None:
@@ -69,27 +73,73 @@ def merged(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return both.select(*columns)
 
 
-def upsert(source: DataFrame, root: str, key: str, buckets: int = BUCKETS) -> DataFrame:
+def _bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _wider(target: StructType, source: StructType) -> StructType:
+    """The schema of a table after an upsert: all columns can be null."""
+    fields = {f.name: StructField(f.name, f.dataType, True) for f in [*target.fields, *source.fields] if f.name != BUCKET}
+    return StructType(list(fields.values()))
+
+
+def upsert(source: DataFrame, root: str, key: str, budget: int = BROADCAST_BYTES) -> DataFrame:
     """:func:`merged` with the newest rows below ``root``. Gives the table back.
 
-    Rows lie in buckets by a hash of the key. The next version holds the buckets
-    that the source touches and no others, whose files stay where they are. A key
-    that the source holds twice, or null, is an error; so the table never gets one.
-    ``buckets`` is fixed by the first call; a larger table wants more of them.
+    Rows lie in buckets by a hash of the key, as many as the table's bytes want. The
+    next version holds the buckets that the source touches and no others, whose files
+    stay where they are. A key that the source holds twice, or null, is an error; so
+    the table never gets one. A source within ``budget`` bytes is broadcast to the
+    target's buckets, which are rewritten where they are read: no row of the target
+    is shuffled. Only beyond that, when buckets have outgrown BUCKET_BYTES or fallen
+    into many files, the rows are dealt anew.
     """
     spark = source.sparkSession
-    source = cut_lineage(source.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
-    bad = source.filter(F.col(key).isNull()).select(key).unionByName(key_violations(source, key).select(key)).first()
-    if bad is not None:
-        raise ValueError(f"the source of an upsert needs one row per key, found {bad[0]!r} more than once or null")
-    known = max(versions(spark, root), default=0)
-    # One row for each bucket.
-    touched = [row[0] for row in source.select(BUCKET).distinct().collect()]
-    target = read_current(spark, root, touched)
-    rows = source if target is None else merged(target, source.drop(BUCKET), key).withColumn(
-        BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    if touched or not known:
-        write_next(rows.repartition(BUCKET, F.pmod(F.xxhash64(F.lit(1), key), F.lit(8))), root, known, BUCKET)
+    now = current(spark, root)
+    size = row_bytes(source)
+    source = cut_lineage(source)
+    per_key = source.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    worst = F.max(F.struct("n", F.col(key).alias("key"))).alias("worst")
+    facts = per_key.agg(worst, F.coalesce(F.bool_or(F.col(key).isNull()), F.lit(False)).alias("nulls"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+                        F.collect_set(_bucket_of(key, now.buckets if now and now.buckets else 1)).alias("buckets")).first()
+    if facts["nulls"] or (facts["worst"] is not None and facts["worst"]["n"] > 1):
+        bad = None if facts["nulls"] else facts["worst"]["key"]
+        raise ValueError(f"the source of an upsert needs one row per key, found {bad!r} more than once or null")
+    if now is None:
+        buckets = max(MIN_BUCKETS, -(-facts["bytes"] // BUCKET_BYTES))
+        schema = _wider(StructType(), source.schema)
+        rows = source.withColumn(BUCKET, _bucket_of(key, buckets)).repartition(BUCKET)
+        write_next(rows, root, 0, schema, buckets)
+        return read_current(spark, root)
+    touched = set(facts["buckets"])
+    if not touched:
+        return read_current(spark, root)
+    schema = _wider(now.schema, source.schema)
+    stored = sum(size for size, _ in now.sizes.values())
+    wanted = max(MIN_BUCKETS, -(-stored // BUCKET_BYTES))
+    grown = wanted > 2 * now.buckets
+    buckets = wanted if grown else now.buckets
+    target = now.read(spark, None if grown else touched)
+    scattered = sum(now.sizes[b][1] for b in touched if b in now.sizes) > MOST_FILES * max(len(touched), 1)
+    in_place = facts["bytes"] <= budget and not grown and not scattered
+    if target is None:
+        rows = source
+    elif in_place:
+        keys = F.broadcast(source.select(key))
+        # At most the source's keys, so this side is within the bound as well.
+        known = target.select(key).join(keys, key, "left_semi")
+        fresh = source.join(F.broadcast(known), key, "left_anti")
+        set_columns = [c for c in source.columns if c != key]
+        renamed = F.broadcast(source.select(key, *[F.col(c).alias(f"_set_{c}") for c in set_columns], F.lit(True).alias("_set")))
+        changed = target.join(renamed, key, "left").select(*[
+            F.when(F.col("_set"), F.col(f"_set_{f.name}")).otherwise(F.col(f.name) if f.name in target.columns else F.lit(None)).alias(f.name)
+            if f.name in set_columns else F.col(f.name) for f in schema.fields])
+        fresh = fresh.withColumn(BUCKET, _bucket_of(key, buckets)).repartition(BUCKET).drop(BUCKET)
+        rows = changed.unionByName(fresh, allowMissingColumns=True)
+    else:
+        rows = merged(target, source, key)
+    rows = rows.withColumn(BUCKET, _bucket_of(key, buckets))
+    write_next(rows if in_place and target is not None else rows.repartition(BUCKET), root, now.version, schema, buckets, grown)
     return read_current(spark, root)
 
 

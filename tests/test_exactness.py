@@ -46,7 +46,7 @@ def test_upsert_leaves_other_buckets_alone(spark):
     table = writers.upsert(source, root, "k")
     after = files_of(root)
     assert before.items() <= after.items()
-    touched = {r[0] for r in source.select(F.pmod(F.xxhash64("k"), F.lit(writers.BUCKETS))).collect()}
+    touched = {r[0] for r in source.select(F.pmod(F.xxhash64("k"), F.lit(writers.MIN_BUCKETS))).collect()}
     assert {f.split("bucket=")[1].split("/")[0] for f in after.keys() - before.keys()} == {str(t) for t in touched}
     found = {r.k: (r.v, r.w) for r in table.collect()}
     assert len(found) == 201 and found[5] == ("new", 1) and found[900] == ("new", 2) and found[6] == ("old", None)
@@ -56,6 +56,54 @@ def test_upsert_leaves_other_buckets_alone(spark):
             writers.upsert(spark.createDataFrame(bad, "k long, v string"), root, "k")
 
 
+def test_a_broadcast_upsert_does_not_shuffle_the_target(spark, monkeypatch):
+    root = new_folder(spark, "upsert")
+    writers.upsert(spark.range(5000).select(F.col("id").alias("k"), F.lit("old").alias("v")), root, "k")
+    plans = []
+    write = writers.write_next
+    monkeypatch.setattr(writers, "write_next", lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *rest)))
+    source = spark.range(10).select((F.col("id") * 900).alias("k"), F.lit("new").alias("v"))
+    writers.upsert(source, root, "k")
+
+    def above_scans(plan):
+        # The operators above each file scan, up to the first exchange that shuffles.
+        lines, found = plan.splitlines(), []
+        for at, line in enumerate(lines):
+            if "FileScan" in line:
+                depth, own = line.index("FileScan"), []
+                for upper in reversed(lines[:at]):
+                    place = len(upper) - len(upper.lstrip(" :+-"))
+                    if place < depth and upper.strip(" :+-"):
+                        own.append(upper.strip(" :+-*()0123456789"))
+                        depth = place
+                found.append(own)
+        return found
+
+    (plan,) = plans
+    assert "FileScan" in plan
+    for own in above_scans(plan):
+        # Either rows on their way to be written, or the target's keys, cut to the source's first.
+        shuffled = [i for i, x in enumerate(own) if x.startswith("Exchange")]
+        semi = [i for i, x in enumerate(own) if "LeftSemi" in x]
+        assert not shuffled or (semi and semi[0] < shuffled[0])
+
+
+def test_upserts_of_any_size_agree(spark, monkeypatch):
+    """Broadcast, shuffled, and dealt anew over more buckets or because of many files."""
+    tables = []
+    for budget, bucket_bytes, files in ((1 << 28, 1 << 26, 4), (0, 1 << 26, 4), (1 << 28, 4000, 4), (1 << 28, 1 << 26, 0)):
+        monkeypatch.setattr(writers, "BUCKET_BYTES", bucket_bytes)
+        monkeypatch.setattr(writers, "MOST_FILES", files)
+        root = new_folder(spark, "upsert")
+        for step in range(4):
+            rows = spark.range(step * 400, step * 400 + 800).select(F.col("id").alias("k"), F.lit(f"step {step}").alias("v"))
+            rows = rows.withColumn("w", F.lit(step)) if step == 2 else rows
+            table = writers.upsert(rows, root, "k", budget)
+        tables.append(sorted(map(tuple, table.collect())))
+    assert len(tables[0]) == 2000 and all(t == tables[0] for t in tables)
+    assert (850, "step 2", 2) in tables[0] and (1300, "step 3", 2) in tables[0] and (0, "step 0", None) in tables[0]
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_null_keys_match_where_asked(spark, how):
     big = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)] * 50, "k string, n int")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import RankingEvaluator, RegressionEvaluator
 from pyspark.sql import functions as F
 
 from newsweave.catalog import fixtures as fx
-from newsweave.operators import clustering, evaluation, factorization
+from newsweave.operators import clustering, evaluation, factorization, inner_products
 from newsweave.operators.behaviors import training_samples
 from newsweave.plans.cluster import cluster_job
 from newsweave.plans.collaborative import collaborative_job
 from newsweave.session import new_folder
 from newsweave.sources.tables import ClusterInput
-from newsweave.streaming.incremental import embed_batch
+from newsweave.streaming import incremental
 
 
 @pytest.fixture(scope="module")
@@ -142,17 +143,79 @@ def test_cluster_job_reuses_only_the_same_input(spark, folder):
     assert len(list(spark._jvm.java.io.File(f"{root}/cache").list())) == 2
 
 
-def test_replayed_batch_changes_nothing(spark):
-    root = f"{new_folder(spark, 'stream')}/vectors"
+def test_stream_keeps_first_arrivals_through_replays_and_restarts(spark, monkeypatch):
+    root = new_folder(spark, "stream")
     tokens = spark.createDataFrame([("one", [1.0, 0.0]), ("two", [0.0, 1.0])], "token string, vector array<float>")
-    batch = spark.createDataFrame(
-        [("a", "One", "two"), ("b", "two!", None)], "news_id string, title string, abstract string"
-    )
-    later = spark.createDataFrame(
-        [("b", "one", None), ("c", "one", None)], "news_id string, title string, abstract string"
-    )
-    for number, rows in ((0, batch), (1, later), (0, batch), (1, later)):
-        embed_batch(rows, number, root, tokens)
-    found = {r.news_id: r.embedding for r in spark.read.parquet(root).collect()}
-    assert spark.read.parquet(root).count() == 3
-    assert found == {"a": [0.5, 0.5], "b": [0.0, 1.0], "c": [1.0, 0.0]}
+    schema = "news_id string, title string, abstract string"
+    fields = spark.createDataFrame([], schema).schema
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/articles")
+
+    def run():
+        incremental.embed_arriving(spark, f"{root}/articles", f"{root}/vectors", tokens, f"{root}/checkpoint", schema=fields,
+                                   files_per_batch=1, order=["title"]).awaitTermination()
+        return {r.news_id: r.embedding for r in spark.read.parquet(f"{root}/vectors").collect()}
+
+    arrive([("a", "One", "two"), ("b", "two!", None), ("b", "one", None), (None, "one", None), ("", "one", None)])
+    first = run()
+    assert first == {"a": [0.5, 0.5], "b": [0.0, 1.0]}
+    # A batch that breaks off is run again, and what it has written is replaced.
+    arrive([("b", "one", None), ("c", "one", None)])
+    whole = incremental.embed_batch
+
+    def broken(batch, number, *rest):
+        whole(batch, number, *rest)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(incremental, "embed_batch", broken)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    assert run() == {**first, "c": [1.0, 0.0]}
+    assert run() == {**first, "c": [1.0, 0.0]}
+    assert spark.read.parquet(f"{root}/vectors").count() == 3
+    with pytest.raises(ValueError, match="another checkpoint"):
+        incremental.embed_arriving(spark, f"{root}/articles", f"{root}/vectors", tokens, f"{root}/other", schema=fields)
+
+
+def test_input_of_a_batch_does_not_grow(spark):
+    root = new_folder(spark, "stream")
+    tokens = spark.createDataFrame([("one", [1.0])], "token string, vector array<float>")
+    schema = "news_id string, title string, abstract string"
+    for n in range(6):
+        spark.createDataFrame([(f"{n}-{i}", "one", None) for i in range(50)], schema).coalesce(1).write.mode("append").parquet(f"{root}/articles")
+    query = incremental.embed_arriving(spark, f"{root}/articles", f"{root}/vectors", tokens, f"{root}/checkpoint",
+                                       schema=spark.createDataFrame([], schema).schema, files_per_batch=1)
+    query.awaitTermination()
+    read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(read) == 6 and set(read) == {50}
+
+
+@pytest.mark.parametrize("portion", [1 << 20, 1])
+def test_best_items_equal_all_products(spark, portion):
+    rng = np.random.default_rng(7)
+    items = rng.normal(size=(300, 6)) * rng.pareto(1.5, size=(300, 1))
+    items[7] = items[3]
+    users = rng.normal(size=(40, 6))
+    users[5] = 0
+    frame = lambda m: spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)] + [(999, None)], "id int, features array<float>")
+    found = {}
+    visited = set()
+    for r in inner_products.best_items(frame(users), frame(items), 5, block_items=16, portion_bytes=portion).collect():
+        found.setdefault(r.user_id, []).append((r["rank"], r.news_id))
+        visited.add((r.user_id, r.blocks))
+    scores = users.astype("float32").astype(float) @ items.astype("float32").astype(float).T
+    for user in range(40):
+        order = sorted(range(300), key=lambda i: (-scores[user, i], i))[:5]
+        assert [i for _, i in sorted(found[user])] == order
+    blocks = dict(visited)
+    assert blocks[5] == 19 and sum(b for u, b in visited if u != 5) / 39 < 10
+
+
+def test_best_items_without_items_or_with_few(spark):
+    kind = "id int, features array<float>"
+    users = spark.createDataFrame([(1, [1.0, 0.0])], kind)
+    assert inner_products.best_items(users, spark.createDataFrame([], kind)).count() == 0
+    few = inner_products.best_items(users, spark.createDataFrame([(4, [2.0, 0.0]), (3, [2.0, 5.0])], kind)).collect()
+    assert [(r.news_id, r["rank"]) for r in few] == [(3, 1), (4, 2)]
