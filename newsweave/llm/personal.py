@@ -34,20 +34,29 @@ _NUMBER = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _SPELLED = re.compile(
     rf"\b(?:plus[ -]+)?(?:{_NUMBER})(?:[ ,-]+(?:{_POINTS})[ ,-]+(?:{_NUMBER})|[ ,-]+(?:{_NUMBER}))" r"{3,}\b", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(?P<plus>plus[ -]+)|(?P<point>[ ,-]+(?:{_POINTS})[ ,-]+)|(?P<digit>{_NUMBER})|[ ,-]+", re.IGNORECASE)
-_IN = r"[\[({<]\s*"
-_OUT = r"\s*[\])}>]"
-_BRACED_AT, _BRACED_DOT = rf"\s*{_IN}(?:at|arroba){_OUT}\s*", rf"\s*{_IN}(?:{_POINTS}){_OUT}\s*"
-_SPOKEN_AT, _SPOKEN_DOT = r"\s+(?:at|arroba)\s+", rf"\s+(?:{_POINTS})\s+"
-_NAME, _LABEL = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
-# At least one sign in brackets, or both signs spoken.
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_BRACED_DOT}){_NAME})*(?:"
-    rf"{_BRACED_AT}{_LABEL}(?:(?:\.|{_BRACED_DOT}|{_SPOKEN_DOT}){_LABEL})+"
-    rf"|\s*@\s*{_LABEL}(?:\.{_LABEL})*{_BRACED_DOT}{_LABEL}(?:(?:\.|{_BRACED_DOT}){_LABEL})*"
-    rf"|{_SPOKEN_AT}{_LABEL}(?:(?:{_BRACED_DOT}|{_SPOKEN_DOT}){_LABEL})+)", re.IGNORECASE)
-_SIGN = re.compile(rf"(?P<at>{_BRACED_AT}|{_SPOKEN_AT}|\s*@\s*)|(?P<dot>{_BRACED_DOT}|{_SPOKEN_DOT})", re.IGNORECASE)
+# Signs have at most four blanks on each side, names and labels 64 characters, and there
+# are at most 16 of them, so a look from a sign takes bounded time.
+_GAP, _REQUIRED_GAP = r"\s{0,4}", r"\s{1,4}"
+_IN, _OUT = rf"[\[({{<]{_GAP}", rf"{_GAP}[\])}}>]"
+_BRACED_AT, _BRACED_DOT = rf"{_IN}(?:at|arroba|@){_OUT}", rf"{_IN}(?:{_POINTS}|\.){_OUT}"
+_SPOKEN_DOT = rf"{_REQUIRED_GAP}(?:{_POINTS}){_REQUIRED_GAP}"
+_LABEL = r"[A-Za-z0-9-]{1,63}"
+_AT = re.compile(rf"(?P<braced>{_BRACED_AT})|(?P<spoken>\s(?:at|arroba)\s)|(?P<plain>@)", re.IGNORECASE)
+_ANY_DOT, _HIDDEN_DOT = rf"(?:\.|{_GAP}{_BRACED_DOT}{_GAP}|{_SPOKEN_DOT})", rf"(?:{_GAP}{_BRACED_DOT}{_GAP}|{_SPOKEN_DOT})"
+# What may follow each kind of sign: behind one in brackets any points, else disguised
+# ones only, or plain ones with one in brackets among them.
+_BRACED_DOMAIN = re.compile(rf"{_GAP}{_LABEL}(?:{_ANY_DOT}{_LABEL}){{1,16}}(?![A-Za-z0-9-])", re.IGNORECASE)
+_HIDDEN_DOMAIN = re.compile(rf"{_GAP}{_LABEL}(?:{_HIDDEN_DOT}{_LABEL}){{1,16}}(?![A-Za-z0-9-])", re.IGNORECASE)
+_MIXED_DOMAIN = re.compile(
+    rf"{_GAP}{_LABEL}(?:\.{_LABEL}){{0,8}}{_GAP}{_BRACED_DOT}{_GAP}{_LABEL}(?:(?:\.|{_GAP}{_BRACED_DOT}{_GAP}){_LABEL}){{0,8}}(?![A-Za-z0-9-])",
+    re.IGNORECASE)
+_DOT_BEFORE = re.compile(rf"(?:\.|{_GAP}{_BRACED_DOT}{_GAP})\Z", re.IGNORECASE)
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_SIGN = re.compile(rf"(?P<dot>{_GAP}{_BRACED_DOT}{_GAP}|{_SPOKEN_DOT})", re.IGNORECASE)
+# Four groups of digits with points of any kind between them, one disguised at least.
+_HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_ANY_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 # One cheap look decides whether a text holds anything to undo.
-_BRACED_ANY = re.compile(rf"{_IN}(?:at|arroba|{_POINTS}){_OUT}", re.IGNORECASE)
+_BRACED_ANY = re.compile(rf"{_IN}(?:at|arroba|@|{_POINTS}|\.){_OUT}", re.IGNORECASE)
 _SPOKEN_ANY = re.compile(rf"\s(?:{_POINTS})\s", re.IGNORECASE)
 _SPELLED_ANY = re.compile(rf"\b(?:{_NUMBER})[ ,-]+(?:{_NUMBER}|{_POINTS})\b", re.IGNORECASE)
 _COMPATIBLE = "！-～﹐-﹫⁰-ₜ①-⓿❶-➓\U0001d400-\U0001d7ff。"
@@ -104,22 +113,23 @@ class Tape:
         self.start = list(range(len(text)))
         self.end = list(range(1, len(text) + 1))
 
-    def rewrite(self, pattern: re.Pattern, change) -> None:
-        """Replace every match by the (text, start, end) parts ``change`` gives for
-        it; a part's characters all stand for its whole span."""
+    def rewrite(self, matches, change) -> None:
+        """Replace every one of the ``matches`` in order by the (text, start, end) parts
+        ``change`` gives for it; a part's characters all stand for its whole span."""
         texts, starts, ends, at = [], [], [], 0
-        for match in pattern.finditer(self.text):
+        for match in matches:
             parts = change(match)
             if parts is None:
                 continue
-            texts.append(self.text[at : match.start()])
-            starts += self.start[at : match.start()]
-            ends += self.end[at : match.start()]
+            begin, end = match.span() if isinstance(match, re.Match) else (parts[0][1], parts[-1][2])
+            texts.append(self.text[at:begin])
+            starts += self.start[at:begin]
+            ends += self.end[at:begin]
             for new, s, e in parts:
                 texts.append(new)
                 starts += [self.start[s]] * len(new)
                 ends += [self.end[e - 1]] * len(new)
-            at = match.end()
+            at = end
         if at:
             self.text = "".join(texts) + self.text[at:]
             self.start, self.end = starts + self.start[at:], ends + self.end[at:]
@@ -147,13 +157,59 @@ def _spoken_digits(match: re.Match) -> list:
     return parts
 
 
-def _signs(match: re.Match) -> list:
-    parts, at = [], 0
-    for m in _SIGN.finditer(match[0]):
-        parts += [(c, match.start() + i, match.start() + i + 1) for i, c in enumerate(match[0][at : m.start()], at)]
-        parts.append(("@" if m["at"] else ".", match.start() + m.start(), match.start() + m.end()))
+def _undotted(text: str, start: int, end: int) -> list:
+    """The part of ``text`` with plain points for disguised ones."""
+    parts, at = [], start
+    for m in _SIGN.finditer(text, start, end):
+        parts += [(text[i], i, i + 1) for i in range(at, m.start())]
+        parts.append((".", m.start(), m.end()))
         at = m.end()
-    return parts + [(c, match.start() + i, match.start() + i + 1) for i, c in enumerate(match[0][at:], at)]
+    return parts + [(text[i], i, i + 1) for i in range(at, end)]
+
+
+def _name_before(text: str, end: int, least: int) -> int:
+    """Where the local part that ends at ``end`` starts, not before ``least``; ``end`` if there is none."""
+    start = end
+    for _ in range(16):
+        at = start
+        while at > least and start - at < 64 and text[at - 1] in _NAME:
+            at -= 1
+        if at == start:
+            return end
+        dot = _DOT_BEFORE.search(text, max(at - 24, least), at)
+        if not dot or dot.start() == least or text[dot.start() - 1] not in _NAME:
+            return at if at == least or text[at - 1] not in _LOCAL else end
+        start = dot.start()
+    return end
+
+
+def _addresses(text: str) -> list[list]:
+    """The parts of every disguised address. From each at sign the domain is looked for
+    to the right and then the local part to the left, behind the address before."""
+    found, least = [], 0
+    at, sign = 0, _AT.search(text)
+    while sign:
+        at = sign.end() if not sign["spoken"] else sign.end() - 1
+        start, end = sign.span()
+        if start >= least:
+            patterns = [_BRACED_DOMAIN] if sign["braced"] else [_HIDDEN_DOMAIN] if sign["spoken"] else [_HIDDEN_DOMAIN, _MIXED_DOMAIN]
+            domain = next((m for m in (p.match(text, end) for p in patterns) if m), None)
+            if domain:
+                gap = start
+                while gap > max(least, start - 4) and text[gap - 1].isspace():
+                    gap -= 1
+                name = _name_before(text, gap, least)
+                if name < gap:
+                    body = domain.start() + len(domain[0]) - len(domain[0].lstrip())
+                    found.append([*_undotted(text, name, gap), ("@", gap, body), *_undotted(text, body, domain.end())])
+                    at = least = domain.end()
+        sign = _AT.search(text, at)
+    return found
+
+
+def _hidden_ip(match: re.Match) -> list | None:
+    parts = _undotted(match.string, *match.span())
+    return parts if len(parts) < match.end() - match.start() else None
 
 
 def disguised(text: str) -> bool:
@@ -163,14 +219,15 @@ def disguised(text: str) -> bool:
 
 def revealed(text: str) -> list[tuple[int, int, int]]:
     """Spans that show once disguises are undone and that no plain span of the
-    same kind covers, in source characters. Three transducers follow one another:
-    look-alike and invisible characters, digits as words, at and dot signs."""
+    same kind covers, in source characters. Transducers follow one another: look-alike
+    and invisible characters, digits as words, points between digits, at and dot signs."""
     if not disguised(text):
         return []
     tape = Tape(text)
-    tape.rewrite(_STRANGE, _plain_letter)
-    tape.rewrite(_SPELLED, _spoken_digits)
-    tape.rewrite(_DISGUISED, _signs)
+    tape.rewrite(_STRANGE.finditer(tape.text), _plain_letter)
+    tape.rewrite(_SPELLED.finditer(tape.text), _spoken_digits)
+    tape.rewrite(_HIDDEN_IP.finditer(tape.text), _hidden_ip)
+    tape.rewrite(_addresses(tape.text), list)
     if tape.text == text:
         return []
     plain = spans_of(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 
@@ -249,6 +250,24 @@ def test_clean_texts_stay_clean(text):
 
 # Token counts.
 
+@pytest.mark.parametrize("text, kind, shown", [
+    ("write to name[@]host[.]com now", 0, "name[@]host[.]com"), ("mail joe@host dot com", 0, "joe@host dot com"),
+    ("joe(.)x (at) a.b.c dot d", 0, "joe(.)x (at) a.b.c dot d"), ("ip 192[.]168[.]0[.]1 is", 1, "192[.]168[.]0[.]1"),
+    ("on 10 dot 0 dot 0 dot 1.", 1, "10 dot 0 dot 0 dot 1"),
+])
+def test_signs_in_brackets_and_points_between_digits(text, kind, shown):
+    assert [(k, text[s:e]) for s, k, e in personal.revealed(text)] == [(kind, shown)]
+
+
+@pytest.mark.parametrize("unit", ["a (dot) ", "a at b dot ", "at b dot c at ", "@", "1 dot ", "[at]", "one ", " ", "+1(", "a"])
+def test_two_megabytes_of_signs_take_linear_time(unit):
+    text = unit * (2_000_000 // len(unit))
+    start = time.process_time()
+    personal.spans_of(text)
+    personal.revealed(text)
+    assert time.process_time() - start < 60
+
+
 def test_token_rollup_follows_inserts_revisions_and_deletes(spark):
     import tiktoken
 
