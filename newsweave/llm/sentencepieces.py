@@ -14,7 +14,7 @@ from newsweave.llm.common import pieces
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 # Distinct chunks whose ids a task keeps, and symbols from which a chunk is merged on its own.
 _KEPT_CHUNKS = 300_000
 _LONG = 48
@@ -115,7 +115,7 @@ class Matcher:
     def numbers(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
-        return np.where(self.letters[at] == codes, at + 1, 0)
+        return np.where(self.letters[at] == codes, at + 1, 0).astype(np.int32)
 
     def edges(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces occur: sorted start * 32 + length, and the piece's number."""
@@ -123,7 +123,7 @@ class Matcher:
         # word; pieces with other letters have no edges.
         used = np.union1d([0], codes)
         bits = 8 if len(used) < 256 else 16
-        known = np.zeros(len(self.letters) + 1, np.int64)
+        known = np.zeros(len(self.letters) + 1, np.int32)
         known[used] = np.arange(len(used))
         own = known[self.flat]
         there = ((own > 0) | (self.flat == 0)).all(axis=1)
@@ -142,7 +142,7 @@ class Matcher:
         within = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = places[np.repeat(first, counts) + within] * 32 + self.lengths[piece]
         order = np.argsort(at)
-        return at[order], piece[order]
+        return at[order], piece[order].astype(np.int32)
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, one after another, and how many each has."""
