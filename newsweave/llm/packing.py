@@ -22,7 +22,7 @@ SHARD_ITEMS = 2048
 TASK_ITEMS = 16_384
 MOST_TASKS = 1 << 16
 # The seed's rarest tokens that are looked up, and BM25's usual constants.
-QUERY_TOKENS = 24
+QUERY_TOKENS = 16
 K1, B = 1.2, 0.75
 _SHIFT = 1 << 36
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -41,7 +41,7 @@ def _tokenized(docs: DataFrame, ranks: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("row", pa.int64()), ("first", pa.int64()),
-        ("crcs", pa.list_(pa.int64())), ("ids", pa.binary()), ("kinds", pa.binary()),
+        ("crcs", pa.list_(pa.int64())), ("ids", pa.binary()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,17 +53,17 @@ def _tokenized(docs: DataFrame, ranks: bytes) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(np.asarray(encoder.encode_to_numpy(text.as_py() or "", disallowed_special=()), np.uint32), np.uint32(END))
+                ids = np.array([*encoder.encode_ordinary(text.as_py() or ""), END], np.uint32)
                 whole = len(ids) // WINDOW
                 crcs = [zlib.crc32(ids[i * WINDOW : (i + 1) * WINDOW].tobytes()) for i in range(whole)]
                 rest = ids[whole * WINDOW :]
-                rows.append((doc, whole * WINDOW, len(ids), row, full, crcs, rest.tobytes(), np.unique(rest).tobytes()))
+                rows.append((doc, whole * WINDOW, len(ids), row, full, crcs, rest.tobytes()))
                 row, full = row + 1, full + whole
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, start long, doc_tokens long, row long, first long, crcs array<long>, ids binary, kinds binary")
+        run, "doc_id long, start long, doc_tokens long, row long, first long, crcs array<long>, ids binary")
 
 
 def _statistics(rest: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, float]:
@@ -73,16 +73,18 @@ def _statistics(rest: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, floa
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, items, length = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
-            for kinds, size in zip(batch.column(0), batch.column(1).to_pylist()):
-                held[np.frombuffer(kinds.as_py(), np.uint32)] += 1
-                items, length = items + 1, length + size
+            for data in batch.column(0):
+                ids = np.frombuffer(data.as_py(), np.uint32)
+                # A token that is repeated counts once here.
+                held[ids] += 1
+                items, length = items + 1, length + len(ids)
         token = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays(
             [pa.array([*token.tolist(), -1, -2], pa.int64()), pa.array([*held[token].tolist(), items, length], pa.int64())], ["token", "n"])
 
     frequency = np.zeros(vocabulary, np.int64)
     items = length = 0
-    counted = rest.select("kinds", (F.octet_length("ids") / 4).cast("long").alias("size")).mapInArrow(count, "token long, n long")
+    counted = rest.select("ids").mapInArrow(count, "token long, n long")
     for token, n in counted.groupBy("token").agg(F.sum("n").alias("n")).toArrow().to_pandas().itertuples(index=False):
         if token >= 0:
             frequency[token] = n
@@ -189,10 +191,11 @@ def pack(docs: DataFrame, ranks: bytes) -> DataFrame:
 
     A document's ids end with END; every id lies in one piece, and a sequence holds at
     most WINDOW ids without gaps. Full windows of long documents stand alone. What is
-    left over of each document is an item. Items in the order of their rarest tokens
-    (by the whole corpus) are dealt to tasks by ranges, so that a token many share is
-    cut by row; a task indexes SHARD_ITEMS at a time, and what fills no window goes on
-    to its next shard. So each task leaves at most one sequence that is not full.
+    left over of each document is an item. Items with the same rarest token (by the
+    whole corpus) go to one task, or to several by row if it is a frequent one. In the
+    order of their two rarest tokens a task indexes SHARD_ITEMS at a time, and what
+    fills no window goes on to its next shard. So each task leaves at most one
+    sequence that is not full.
     A null or empty text is the one id END. Rows that repeat an id, a null one too, are
     documents of their own; an empty table gives no rows.
     """
@@ -212,21 +215,27 @@ def pack(docs: DataFrame, ranks: bytes) -> DataFrame:
     idf = np.log1p((items - frequency + 0.5) / (frequency + 0.5))
     shared = spark.sparkContext.broadcast((idf, mean))
 
+    tasks = min(max(-(-items // TASK_ITEMS), 1), MOST_TASKS)
+    # A token stands first in no more items than it stands in, so this many shares of it are small enough.
+    shares = np.maximum(frequency // max(items // tasks // 4, 1), 1)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value[0]
         for batch in batches:
-            keys = []
-            for kinds in batch.column(4):
-                token = np.frombuffer(kinds.as_py(), np.uint32)
-                best = token[np.argsort(-weights[token], kind="stable")[:2]].tolist()
-                keys.append((best[0] << 32) | (best[1] if len(best) > 1 else 0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), batch.column(5), pa.array(keys, pa.int64())],
-                                             ["doc_id", "start", "doc_tokens", "row", "ids", "key"])
-
-    placed = rest.select("doc_id", "start", "doc_tokens", "row", "kinds", "ids").mapInArrow(
-        keyed, "doc_id long, start long, doc_tokens long, row long, ids binary, key long")
-    tasks = min(max(-(-items // TASK_ITEMS), 1), MOST_TASKS)
-    placed = placed.repartitionByRange(tasks, "key", F.xxhash64("row"), "row").sortWithinPartitions("key", F.xxhash64("row"), "row")
+            keys, salts = [], []
+            for data, row in zip(batch.column(4), batch.column(3).to_pylist()):
+                ids = np.frombuffer(data.as_py(), np.uint32)
+                weight = weights[ids]
+                best = int(ids[weight.argmax()])
+                second = int(ids[np.where(ids == best, -1.0, weight).argmax()])
+                keys.append((best << 32) | second)
+                salts.append(zlib.crc32(row.to_bytes(8, "little")) % int(shares[best]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(keys, pa.int64()), pa.array(salts, pa.int64())],
+                                             ["doc_id", "start", "doc_tokens", "row", "ids", "key", "salt"])
+
+    placed = rest.select("doc_id", "start", "doc_tokens", "row", "ids").mapInArrow(
+        keyed, "doc_id long, start long, doc_tokens long, row long, ids binary, key long, salt long")
+    placed = placed.repartition(tasks, F.shiftright("key", 32), "salt").sortWithinPartitions("key", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, length = shared.value
