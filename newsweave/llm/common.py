@@ -32,6 +32,14 @@ def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
     yield batch.slice(start)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from newsweave.llm.common import pieces
+from newsweave.llm.common import free_name, pieces
 from newsweave.session import cut_lineage
 
 # The word places that each mask compares; the others are ignored.
@@ -19,6 +19,8 @@ from newsweave.session import cut_lineage
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 3, 5))
 WINDOW = 13
 SIMILARITY = 0.8
+# Items of fewer words are everyday phrases and overlap nothing.
+MIN_WORDS = 6
 # Benchmark words whose seeds a task holds at once.
 BLOCK_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
@@ -52,6 +54,14 @@ def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarra
     return starts, hashes
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of which one meets an item of ``n`` words whichever words are substituted,
+    if 0.8 of them are left: with s substitutions, every (s + 1)-th word from each of
+    the first s + 1 on."""
+    step = n - -(-n * 8 // 10) + 1
+    return [tuple(range(first, n, step)) for first in range(step)]
+
+
 @dataclass
 class Block:
     """Some benchmark items: their words by number (from 1; 0 stands between
@@ -75,13 +85,16 @@ class Block:
         for number, (start, (_, words)) in enumerate(zip(starts.tolist(), items)):
             ids[start : start + len(words)] = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
             item[start : start + len(words)] = number
-        # Items shorter than a window are compared as wholes.
-        short = sorted({n for n in lengths.tolist() if 0 < n < WINDOW})
-        masks, tables = [*MASKS, *(tuple(range(n)) for n in short)], []
-        for mask in masks:
+        # Items shorter than a window are compared as wholes, with masks of their own from their first word.
+        short = sorted({n for n in lengths.tolist() if MIN_WORDS <= n < WINDOW})
+        sized = [*((mask, 0) for mask in MASKS), *((mask, n) for n in short for mask in short_masks(n))]
+        masks, tables = [mask for mask, _ in sized], []
+        for mask, n in sized:
             at, hashes = seeds(ids, mask)
-            size = lengths[item[at]]
-            use = size >= WINDOW if mask in MASKS else size == len(mask)
+            # A mask may begin on the word before an item's first one, which is none.
+            own = item[at]
+            size = np.where(own >= 0, lengths[own], 0)
+            use = size >= WINDOW if not n else (size == n) & (at == starts[own])
             at, hashes = at[use], hashes[use]
             order = np.argsort(hashes, kind="stable")
             at, hashes = at[order], hashes[order]
@@ -118,7 +131,7 @@ class Block:
             return None
         equal = ids[low:high] == self.ids[low - diagonal : high - diagonal]
         sums = np.concatenate(([0], np.cumsum(equal)))
-        need = -(-window * 8 // 10) if size >= WINDOW else window
+        need = -(-window * 8 // 10)
         good = np.flatnonzero(sums[window:] - sums[:-window] >= need)
         if not len(good):
             return None
@@ -169,8 +182,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Both are lower-case words of letters and digits. A seed hit fixes a diagonal.
     Along it, every 13 words in a row with at least 0.8 of them equal count, and the
-    overlap reaches from the first to the last equal word of such windows; an item
-    of fewer words must be found whole. Places are words of the document, end
+    overlap reaches from the first to the last equal word of such windows; of an item
+    of fewer words 0.8 must be equal, one below MIN_WORDS overlaps nothing. Places are words of the document, end
     exclusive. Items with the same words give a row each; one with no words, and
     null texts, overlap nothing. Rows that repeat give repeated rows, null ids stay.
     The benchmark is searched in blocks of BLOCK_WORDS words, whose seeds a task
@@ -201,5 +214,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that overlap a benchmark item. Rows that repeat a
     doc_id go if any of them does; a row without doc_id stays."""
-    gone = overlaps(docs, benchmark).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    name = free_name(docs, "_gone_id")
+    gone = overlaps(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

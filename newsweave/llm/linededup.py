@@ -10,15 +10,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsweave.llm.common import per_batch
+from newsweave.llm.common import free_name, per_batch
 from newsweave.llm.cuckoo import CuckooFilter
+from newsweave.operators.joins import lookup_join
 from newsweave.session import cut_lineage, new_folder
+from newsweave.sinks.versions import path_exists
 
 _SPACES = b" \t\n\x0b\x0c\r"
 # Keys a shard's filter is laid out for, and bytes of filters that may be broadcast.
 SHARD_KEYS = 500_000
 BROADCAST_BYTES = 64 << 20
+# References that meet a shard's filter in one task, beyond that bound.
+SHARD_ROWS = 5_000_000
 _KEY = "k1 long, k2 long"
+_STATE = "number long, version string, shards int"
 
 
 def _code_points(data: bytes) -> int:
@@ -118,15 +123,50 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, sha
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(update, "shard int, data binary")
 
 
+def screened_by_shard(found: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The references ``found`` whose key its shard's filter may hold. Each shard's
+    references go to the tasks that have its filter, one for every SHARD_ROWS of them."""
+    placed = cut_lineage(_with_shard(found, shards))
+    sizes = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("salts"))
+    # A row for each shard.
+    salted = placed.join(F.broadcast(sizes), "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "k2"), F.col("salts")).cast("int"))
+    copied = filters.join(F.broadcast(sizes), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    nothing = F.lit(None)
+    rows = copied.select("shard", "salt", F.lit(0).alias("kind"), nothing.cast("long").alias("k1"), nothing.cast("long").alias("k2"),
+                         nothing.cast("long").alias("doc_id"), "data").unionByName(
+        salted.select("shard", "salt", F.lit(1).alias("kind"), "k1", "k2", "doc_id", nothing.cast("binary").alias("data")))
+
+    def run(batches):
+        shard, held = None, None
+        for batch in batches:
+            marks = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if start == end:
+                    continue
+                part, mark = batch.slice(start, end - start), tuple(marks[start].tolist())
+                if mark[:2] != shard:
+                    shard, held = mark[:2], None
+                if mark[2] == 0:
+                    data = part.column(6)[0].as_py()
+                    held = CuckooFilter.from_bytes(data) if data is not None else None
+                elif held is not None:
+                    maybe = pa.array(held.contains(part.column(4).to_numpy().view(np.uint64)))
+                    yield pa.RecordBatch.from_arrays([part.column(i).filter(maybe) for i in (3, 4, 5)], ["k1", "k2", "doc_id"])
+
+    return rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(run, f"{_KEY}, doc_id long")
+
+
 @dataclass
 class LineStore:
     """The state of incremental line dedup below one folder.
 
     ``references/batch=<id>`` holds the signed references of each batch, so that a
     batch that runs again replaces itself; ``filters-<id>`` holds the shard filters
-    of the keys that at least ``min_docs`` documents hold. Deleting documents
-    appends what they held with the sign reversed, which restores counts, last
-    documents and filters to what they would be without those documents.
+    of the keys that at least ``min_docs`` documents hold, and ``state`` a row for each
+    commit, so that the store can be opened again. Deleting documents appends what
+    they held with the sign reversed, which restores counts, last documents and
+    filters to what they would be without those documents.
     """
 
     spark: SparkSession
@@ -135,6 +175,13 @@ class LineStore:
     min_docs: int = 5
     shards: int | None = None
     version: str | None = None
+    commits: int = 0
+
+    def __post_init__(self) -> None:
+        if path_exists(self.spark, f"{self.path}/state"):
+            last = self.spark.read.schema(_STATE).parquet(f"{self.path}/state").orderBy(F.desc("number")).first()
+            if last is not None:
+                self.version, self.shards, self.commits = last["version"], last["shards"], last["number"]
 
     def _batch(self, batch: str) -> str:
         return f"{self.path}/references/batch={batch}"
@@ -162,32 +209,36 @@ class LineStore:
         before = cut_lineage(self.frequent().select("k1", "k2")) if self.version else None
         found.write.mode("overwrite").parquet(self._batch(batch))
         after = cut_lineage(self.frequent().select("k1", "k2"))
-        name = batch
-        if self.version:
+        wanted = max(1, -(-after.count() // SHARD_KEYS))
+        made = None
+        # More keys than the shards are laid out for are dealt to new ones.
+        if self.version and wanted <= self.shards:
             made = cut_lineage(update_filters(
                 self.filters(), after.join(before, ["k1", "k2"], "left_anti"),
                 before.join(after, ["k1", "k2"], "left_anti"), self.shards))
             if not made.where("data is null").isEmpty():
                 made = None
-        else:
-            made = None
         if made is None:
-            self.shards = max(1, -(-after.count() // SHARD_KEYS))
+            self.shards = wanted
             made = build_filters(after, self.shards)
-        made.write.mode("overwrite").parquet(f"{self.path}/filters-{name}")
-        self.version = name
+        # A folder of its own for each commit, as the filters may be made of those of the last one.
+        self.commits += 1
+        self.version = f"{batch}-{self.commits}"
+        made.write.mode("overwrite").parquet(f"{self.path}/filters-{self.version}")
+        self.spark.createDataFrame([(self.commits, self.version, self.shards)], _STATE).coalesce(1).write.mode("append").parquet(f"{self.path}/state")
 
     def dropped(self, docs: DataFrame) -> DataFrame:
         """(doc_id, gone): the keys whose lines each document loses. The filters
-        pick candidates, the exact counts decide. Filters beyond BROADCAST_BYTES
-        are passed over, and every key meets the counts in a join."""
+        pick candidates, the exact counts decide. Filters beyond BROADCAST_BYTES are
+        not broadcast: then the keys go to their shards."""
+        frequent = cut_lineage(self.frequent())
         size = self.filters().agg(F.sum(F.length("data"))).first()[0] or 0
-        screen = None
         if size <= BROADCAST_BYTES:
             tables = {r["shard"]: bytes(r["data"]) for r in self.filters().collect()}
-            screen = self.spark.sparkContext.broadcast([tables.get(i) for i in range(self.shards)])
-        candidates = references(docs, self.min_chars, screen)
-        lost = candidates.join(self.frequent(), ["k1", "k2"]).where("doc_id <> last_doc")
+            candidates = references(docs, self.min_chars, self.spark.sparkContext.broadcast([tables.get(i) for i in range(self.shards)]))
+        else:
+            candidates = screened_by_shard(references(docs, self.min_chars), self.filters(), self.shards)
+        lost = lookup_join(candidates, frequent.select("k1", "k2", "last_doc"), ["k1", "k2"]).where("doc_id <> last_doc")
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
 
 
@@ -196,8 +247,9 @@ def without_lines(docs: DataFrame, dropped: DataFrame, least: int, lines: str =
     counts, which replace columns of their names. A list is never longer than its
     document has lines."""
     docs = docs.drop(lines, lost)
-    gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone_keys"))
-    both = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
+    name, held = free_name(docs, "_gone_id"), free_name(docs, "_gone_keys")
+    gone = dropped.select(F.col("doc_id").alias(name), F.col("gone").alias(held))
+    both = docs.join(gone, F.col("doc_id") == F.col(name), "left").drop(name)
     place, names = docs.columns.index("text"), [*docs.columns, lines, lost]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

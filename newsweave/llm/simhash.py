@@ -11,7 +11,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsweave.llm.common import connected_components, per_batch
+from newsweave.llm.common import connected_components, free_name, per_batch
 from newsweave.session import cut_lineage
 
 # Two segments: of two differing bits, one segment holds at most one.
@@ -346,8 +346,9 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     that with the smallest doc_id. Rows that repeat a doc_id stay or go together; a
     row without doc_id stays."""
     found = near_copies(docs, words, similarity)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    name = free_name(docs, "_gone_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def hexadecimal(fp: Column | str) -> Column:

@@ -218,6 +218,36 @@ def test_line_dedup_is_reversible_and_batches_repeat(spark):
     assert (CuckooFilter.from_bytes(data[0]).table > 0).sum() == len(keys)
 
 
+def test_line_dedup_with_keys_sent_to_their_shards(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 3)
+    monkeypatch.setattr(linededup, "SHARD_ROWS", 7)
+    rows = line_rows()
+    found = linededup.deduplicated(docs(spark, rows)).select(F.coalesce("doc_id", F.lit(-1)), "n_lines", "n_dropped", F.sha2("text", 256)).collect()
+    assert sorted(tuple(r) for r in found) == slow_lines(rows)
+
+
+def test_line_store_opens_again_and_grows_its_shards(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 4)
+    path = new_folder(spark, "lines")
+    rows = [r for r in line_rows() if r[0] is not None]
+    linededup.LineStore(spark, path).insert(docs(spark, rows[:6]), "a")
+    again = linededup.LineStore(spark, path)
+    few = again.shards
+    again.insert(docs(spark, rows[6:]), "b")
+    last = linededup.LineStore(spark, path)
+    assert (last.version, last.shards) == (again.version, again.shards) and last.shards >= few
+    everything = linededup.without_lines(docs(spark, rows), last.dropped(docs(spark, rows)), 40)
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in everything.collect()) == slow_lines(rows)
+
+
+def test_columns_with_the_names_used_inside(spark):
+    rows = [(i, "a line that is long enough to be counted as one of many\nown") for i in range(6)]
+    wide = docs(spark, rows).selectExpr("doc_id", "text", "1 as _gone_keys", "2 as _gone_id", "3 as n_lines")
+    assert sorted(r.n_dropped for r in linededup.deduplicated(wide).collect()) == [0, 1, 1, 1, 1, 1]
+    assert simhash.one_of_each(wide).count() == 1
+
+
 def test_shards_agree_in_spark_and_numpy(spark):
     keys = np.random.default_rng(1).integers(0, 2**63, 200).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     frame = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k1 long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -34,11 +35,11 @@ def slow_overlaps(docs_rows, items):
         words = decontamination.words_of(t or "")
         for j, b in items:
             item = decontamination.words_of(b or "")
-            size = min(13, len(item))
+            size = min(13, len(item)) if len(item) >= decontamination.MIN_WORDS else 0
             for p in range(len(words) - size + 1 if size else 0):
                 for q in range(len(item) - size + 1):
                     equal = sum(a == b for a, b in zip(words[p : p + size], item[q : q + size]))
-                    if equal >= (11 if len(item) >= 13 else size):
+                    if equal >= math.ceil(0.8 * size):
                         found.add((i, j))
     return found
 
@@ -68,6 +69,26 @@ def test_overlaps_equal_comparing_every_window(spark):
     assert decontamination.overlaps(docs(spark, []), bench).collect() == []
 
 
+@pytest.mark.parametrize("n", range(6, 13))
+def test_short_masks_meet_every_choice_of_substitutions(n):
+    gone = n - math.ceil(0.8 * n)
+    for places in itertools.combinations(range(n), gone):
+        assert any(not set(mask) & set(places) for mask in decontamination.short_masks(n))
+
+
+def test_an_everyday_word_is_no_benchmark_item(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    rows = [(1, "the cat"), (2, "so one two three four changed six seven eight nine ten it is"), (3, "one two three four five")]
+    assert {(r.doc_id, r.item_id) for r in decontamination.overlaps(docs(spark, rows), bench).collect()} == {(2, 2)}
+
+
+def test_a_very_long_text_is_searched_whole(spark):
+    item = " ".join(f"k{i}" for i in range(20))
+    rows = [(1, "w " * 500_000 + item), (2, "x" * 1_000_000)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.doc_start) for r in decontamination.overlaps(docs(spark, rows), bench).collect()] == [(1, 500_000)]
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     items = [(j, " ".join(f"x{j}y{k}" for k in range(15 + j))) for j in range(9)]
     rows = [(j, f"before it {b} after it") for j, b in items]
