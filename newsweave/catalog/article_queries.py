@@ -104,6 +104,40 @@ def words_of_fitted_stages(spark, folder):
     return fitted_stages(spark, folder).select("news_id", "words", F.size("embedding").alias("dimension"))
 
 
+# Words by the company they keep: signed hash vectors summed over the words around.
+@query("txt6_hashed_word_vectors", """
+with places as (select news_id, unnest(tokens) token, unnest(range(len(tokens))) p from token_lists),
+sides as (
+  select token, unnest([lag(token, 2) over w, lag(token) over w, lead(token) over w, lead(token, 2) over w]) other
+  from places window w as (partition by news_id order by p)),
+near as (select * from sides where other is not null),
+pairs as (select token, other, count(*) n from near group by 1, 2),
+entries as (
+  select token, n, ('0x' || substr(md5(other || '#' || j), 1, 8))::bigint pos_hash, ('0x' || substr(md5(other || '#' || j), 9, 1))::bigint % 2 sign_bit
+  from pairs, (select unnest(range(4)) j)),
+vectors as (
+  select token, (pos_hash % 64)::bigint + 1 pos, sum(case when sign_bit = 0 then n else -n end)::bigint v from entries group by 1, 2)
+select token, count(*) entries, sum(v * v)::bigint squared_length, sum(v * pos)::bigint weighted from vectors group by 1""")
+def hashed_word_vectors(spark, folder):
+    found = text_vectors.hashed_contexts(text_vectors.token_rows(fx.token_lists(spark, folder)), size=64, window=2, entries=4)
+    value = F.col("value")
+    # One row per word; its entries are folded into three numbers.
+    return found.groupBy("token").agg(F.count(F.lit(1)).alias("entries"), F.sum(value * value).alias("squared_length"),
+                                      F.sum(value * F.col("pos")).alias("weighted"))
+
+
+# The text of crawled articles is title, summary and excerpt.
+@query("txt2_words_of_crawled_articles", """
+with texts as (
+  select page_id, lower(regexp_replace(concat_ws(' ', url, html, url), '[^a-zA-Z0-9 ]', '', 'g')) clean_text from pages)
+select page_id::varchar _id, len(list_filter(string_split(clean_text, ' '), lambda x: x <> ''))::bigint words, length(clean_text)::bigint chars from texts""")
+def words_of_crawled(spark, folder):
+    pages = table(spark, folder, "pages").select(
+        F.col("page_id").cast("string").alias("_id"), F.col("url").alias("title"), F.col("html").alias("summary"), F.col("url").alias("excerpt"))
+    found = text_vectors.tokenised(text_vectors.cleaned(pages, ("title", "summary", "excerpt")))
+    return found.select("_id", F.size("tokens").cast("bigint").alias("words"), F.length("clean_text").cast("bigint").alias("chars"))
+
+
 @query("txt7_new_document_vectors", f"""
 select news_id, pos, {rounded_sql('x')} "value" from document_values
 where news_id not in (select news_id from news_valid)""")
@@ -286,6 +320,30 @@ def selected(spark, folder):
     ).select("event_id", "topic", "source")
 
 
+@query("fn22_many_requests", """
+with a as (select event_id, event_type topic, ts, case when user_id % 7 > 0 then 'site' || (user_id % 7) end source from events),
+requests as (
+  select c_custkey request_id, case when c_custkey % 3 = 0 then 'click' when c_custkey % 3 = 1 then 'view' else 'purchase' end topic,
+         timestamp '2024-01-01' + to_hours((c_custkey * 37) % 700) s, timestamp '2024-01-01' + to_hours((c_custkey * 37) % 700 + c_custkey % 200) e
+  from customer)
+select request_id, count(*) articles, min(event_id) first_event, max(event_id) last_event
+from requests r join a on a.topic = r.topic and a.ts between r.s and r.e
+where source is null or source not in ('site1', 'site2') group by 1""")
+def many_requests(spark, folder):
+    articles = clicks(spark, folder).select(
+        "event_id", F.col("event_type").alias("topic"), "ts",
+        F.when(F.col("user_id") % 7 > 0, F.concat(F.lit("site"), F.col("user_id") % 7)).alias("source"),
+    )
+    key, first = F.col("c_custkey"), F.to_timestamp_ntz(F.lit("2024-01-01"))
+    topic = F.when(key % 3 == 0, "click").when(key % 3 == 1, "view").otherwise("purchase")
+    requests = table(spark, folder, "customer").select(
+        key.alias("request_id"), topic.alias("topic"), (first + F.make_dt_interval(hours=((key * 37) % 700).cast("int"))).alias("start"),
+        (first + F.make_dt_interval(hours=((key * 37) % 700 + key % 200).cast("int"))).alias("end"))
+    found = corpus.requested_articles(articles, requests, ts="ts", excluded=["site1", "site2"])
+    return found.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("articles"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
 @query("win2_batch_numbers", """
 select news_id, row_number() over (order by news_id) row_num, (row_number() over (order by news_id) - 1) // 50 batch
 from news_train""")

@@ -168,6 +168,13 @@ def small_blocks(spark, folder):
     return _shown_recs(similarity.search_exact(_click_profiles(spark, folder), index, block_rows=50))
 
 
+@query("sim5_restartable_chunks", _EXACT)
+def restartable_chunks(spark, folder):
+    path, users, articles = new_folder(spark, "chunks"), _click_profiles(spark, folder), _numbered_articles(spark, folder)
+    similarity.search_in_chunks(users, articles, path, 3)
+    return _shown_recs(similarity.search_in_chunks(users, articles, path, 3))
+
+
 @query("sim3_all_cells_probed", _EXACT)
 def all_probed(spark, folder):
     index = similarity.build_cells(_numbered_articles(spark, folder), cells=8)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsweave.constants import (
     CRAWLED_COLUMNS, EXCLUDED_SOURCES, MAX_PAGES, PAGE_SIZE, SOURCE_CAP,
 )
-from newsweave.operators.joins import salted_join
+from newsweave.operators.joins import BROADCAST_BYTES, salted_join, table_bytes
 from newsweave.operators.ranking import row_numbers, top_k
 from newsweave.session import cut_lineage
 
@@ -86,6 +86,48 @@ def selected_articles(
     return df.filter(F.col(topic).isin(list(topics)) & F.col(ts).between(start, end) & allowed)
 
 
+def _bin(seconds: Column, level: Column) -> Column:
+    return F.call_function("shiftright", seconds, level)
+
+
+def requested_articles(
+    df: DataFrame,
+    requests: DataFrame,
+    topic: str = "topic",
+    ts: str = "published",
+    source: str = "source",
+    excluded: Sequence[str] = EXCLUDED_SOURCES,
+    budget: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """:func:`selected_articles` for many requests (request_id, topic, start, end) at
+    once, whose ranges may overlap: the article's row with request_id for every request
+    it answers. Requests that are null or end before they start get nothing.
+
+    A range is laid on bins of the first power of two of seconds that is no shorter
+    than it, so it touches two bins at most, and articles and requests meet by
+    topic, bin length and bin; the times are then compared exactly. An article is
+    repeated once for each bin length that a request has. Requests are broadcast
+    within ``budget`` bytes, beyond it hot topics are salted.
+    """
+    begin, end = F.unix_seconds(F.col("start").cast("timestamp")), F.unix_seconds(F.col("end").cast("timestamp"))
+    level = F.ceil(F.log2((end - begin + 1).cast("double"))).cast("int")
+    wanted = requests.where(F.col("request_id").isNotNull() & (F.col("start") <= F.col("end"))).select(
+        "request_id", F.col("topic").alias("_topic"), F.col("start").alias("_start"), F.col("end").alias("_end"), level.alias("_level"),
+        F.explode(F.sequence(_bin(begin, level), _bin(end, level))).alias("_bin"))
+    wanted = cut_lineage(wanted.where("_topic is not null"))
+    # At most one number for each power of two.
+    levels = sorted(row[0] for row in wanted.select("_level").distinct().collect())
+    allowed = F.col(source).isNull() | ~F.col(source).isin(list(excluded))
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    placed = df.where(allowed & F.col(ts).isNotNull()).withColumn("_topic", F.col(topic)).withColumn(
+        "_level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"))).withColumn(
+        "_bin", _bin(at, F.col("_level")))
+    keys = ["_topic", "_level", "_bin"]
+    small = table_bytes(wanted) <= budget
+    met = placed.join(F.broadcast(wanted), keys) if small else salted_join(placed, wanted, keys)
+    return met.where(F.col(ts).between(F.col("_start"), F.col("_end"))).select("request_id", *df.columns)
+
+
 def capped_sources(
     df: DataFrame,
     group: Sequence[str],

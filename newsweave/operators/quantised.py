@@ -21,7 +21,7 @@ from newsweave.constants import TOP_K
 from newsweave.functions.vectors import unit_vector
 from newsweave.operators.joins import lookup_join
 from newsweave.operators.ranking import top_k
-from newsweave.operators.similarity import SCORE_DECIMALS, _matrix, fingerprint, top_articles, usable
+from newsweave.operators.similarity import SCORE_DECIMALS, _first_k, _matrix, fingerprint, top_articles, usable
 from newsweave.session import cut_lineage
 from newsweave.sinks.versions import path_exists
 
@@ -38,6 +38,8 @@ USER_BLOCK_ROWS = 1_000_000
 SLICE_USERS = 128
 # Users on which the number of cells to visit is measured.
 MEASURED_USERS = 256
+# Articles of a user whose estimates are checked exactly.
+SHORT = 20 * TOP_K
 
 
 @dataclass(frozen=True)
@@ -287,9 +289,10 @@ def _shortlists(visits: DataFrame, index: QuantisedIndex, short: int) -> DataFra
                     scores = np.repeat((vectors @ fine[int(mark[0])])[:, None], len(codes), axis=1)
                     for p in range(len(books)):
                         scores += tables[:, p, codes[:, p]]
-                    best = np.argpartition(-scores, short - 1, axis=1)[:, :short] if scores.shape[1] > short else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-                    rows = np.repeat(np.arange(len(scores)), best.shape[1])
-                    best = best.reshape(-1)
+                    # Articles of a block come by id, so ties go to the lower one.
+                    kth = np.partition(scores, -short, axis=1)[:, -short] if scores.shape[1] > short else np.full(len(scores), -np.inf)
+                    rows, best = np.nonzero(scores >= kth[:, None])
+                    rows, best, _ = _first_k(rows, best, scores[rows, best], short)
                     yield pa.RecordBatch.from_arrays(
                         [few.column("user_id").take(pa.array(rows)), few.column("part").take(pa.array(rows)), known.take(pa.array(best)), pa.array(scores[rows, best])],
                         names=schema.names)
@@ -298,7 +301,7 @@ def _shortlists(visits: DataFrame, index: QuantisedIndex, short: int) -> DataFra
     return top_k(meeting.mapInArrow(score, schema), "user_id", [F.desc("estimate"), F.col("news_id")], short, "_place").drop("_place")
 
 
-def search(users: DataFrame, index: QuantisedIndex, k: int = TOP_K, probes: int = 8, short: int = 100) -> DataFrame:
+def search(users: DataFrame, index: QuantisedIndex, k: int = TOP_K, probes: int = 8, short: int = SHORT) -> DataFrame:
     """user_id, news_id, similarity_score, rank: of the ``short`` articles with the best
     estimates in the ``probes`` cells closest to a user, the ``k`` best by exact
     cosine, ties to the lower id. Fewer than ``k`` rows are possible."""
@@ -322,7 +325,7 @@ def search(users: DataFrame, index: QuantisedIndex, k: int = TOP_K, probes: int
     return top_k(exact, "user_id", [F.desc("similarity_score"), F.col("news_id")], k)
 
 
-def measured_probes(users: DataFrame, articles: DataFrame, index: QuantisedIndex, k: int = TOP_K, recall: float = 0.95) -> int:
+def measured_probes(users: DataFrame, articles: DataFrame, index: QuantisedIndex, k: int = TOP_K, recall: float = 0.97) -> int:
     """The least number of cells in which ``recall`` of the exact ``k`` best articles
     lie, over MEASURED_USERS users with the least hashes of their ids."""
     sample = cut_lineage(_unit_users(users).orderBy(F.xxhash64("user_id"), "user_id").limit(MEASURED_USERS))

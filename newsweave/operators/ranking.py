@@ -19,17 +19,20 @@ def top_k(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], k:
 
     The comparison with ``k`` on ``row_number`` lets Spark cut every group to
     ``k`` rows before the shuffle, so a hot group never travels whole. Spark does
-    so up to a threshold, which is raised to ``k`` where it is lower.
+    so up to a threshold of the session; for a greater ``k`` each group is first
+    dealt over several tasks, and the ``k`` first of each meet again.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get(_GROUP_LIMIT, "1000")) < k:
-        conf.set(_GROUP_LIMIT, str(k))
     group = [group] if isinstance(group, str) else list(group)
-    position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return (
-        df.withColumn("_position", position).filter(F.col("_position") <= k)
-        .withColumn(rank, F.col("_position").cast("bigint")).drop("_position")
-    )
+
+    def first(rows: DataFrame, keys: list[str]) -> DataFrame:
+        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("_position", position).filter(F.col("_position") <= k)
+
+    if k > int(df.sparkSession.conf.get(_GROUP_LIMIT, "1000")):
+        shares = default_pieces(df)
+        dealt = df.withColumn("_share", F.pmod(F.xxhash64(*df.columns), F.lit(shares)))
+        df = first(dealt, [*group, "_share"]).drop("_share", "_position")
+    return first(df, group).withColumn(rank, F.col("_position").cast("bigint")).drop("_position")
 
 
 def _cut_points(df: DataFrame, order: list[str], pieces: int) -> list[tuple]:

@@ -362,6 +362,25 @@ def top_articles(
     return search_blocks(users, articles, k, block_rows)
 
 
+def search_in_chunks(users: DataFrame, articles: DataFrame, path: str, chunks: int, k: int = TOP_K, **options) -> DataFrame:
+    """:func:`top_articles` chunk by chunk of users, each stored below ``path``, so that a
+    job that broke off goes on after the last chunk it finished. Chunks are cut by a
+    hash of the user and belong to exactly these tables; a finished one has Spark's
+    own mark of a complete write and is not searched again."""
+    from newsweave.sinks.versions import path_exists
+
+    spark = users.sparkSession
+    marks = [fingerprint(t.select(F.col(a).alias("news_id"), F.col(b).alias("embedding"))) for t, a, b in (
+        (users, "user_id", "user_embedding"), (articles, "news_id", "embedding"))]
+    root = f"{path}/{'-'.join(marks).replace(':', '-')}-{k}-{chunks}"
+    folders = [f"{root}/chunk-{number}" for number in range(chunks)]
+    for number, folder in enumerate(folders):
+        if not path_exists(spark, f"{folder}/_SUCCESS"):
+            own = users.where(F.pmod(F.xxhash64("user_id"), F.lit(chunks)) == number)
+            top_articles(own, articles, k, **options).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(*folders)
+
+
 def fingerprint(articles: DataFrame) -> str:
     """Changes when an article or a vector does; independent of row order."""
     row = articles.agg(

@@ -125,9 +125,13 @@ def test_a_very_hot_key_gets_salts_by_its_size(spark):
 
 def test_top_k_is_cut_before_the_shuffle_for_large_k(spark):
     frame = spark.range(20_000).select((F.col("id") % 2).alias("g"), "id")
-    found = ranking.top_k(frame, "g", [F.col("id")], 5000)
-    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
-    assert found.count() == 10_000 and found.agg(F.max("rank")).first()[0] == 5000
+    assert "WindowGroupLimit" in ranking.top_k(frame, "g", [F.col("id")], 500)._jdf.queryExecution().toString()
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", None)
+    found = ranking.top_k(frame, "g", [F.desc("id")], 5000)
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", None) == before
+    # Beyond the threshold groups are dealt over tasks first.
+    assert "_share" in found._jdf.queryExecution().toString()
+    assert found.count() == 10_000 and found.where("id < 10000").isEmpty() and found.agg(F.max("rank")).first()[0] == 5000
 
 
 def test_more_ranges_than_an_expression_holds(spark):

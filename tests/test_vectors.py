@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from newsweave.functions.text import clean_text, combined_text
-from newsweave.operators import profiles, similarity, text_vectors, vectors
+from newsweave.operators import corpus, profiles, quantised, similarity, text_vectors, vectors
 from newsweave.session import new_folder
 from tests.test_clicks import log
 
@@ -168,3 +170,91 @@ def test_encoder_hook(spark):
     texts = spark.createDataFrame([("a", "xx"), ("b", "xxxx")], "news_id string, clean_text string")
     result = text_vectors.encoded(texts, lambda batch: np.array([[len(t), 1.0] for t in batch]))
     assert {r.news_id: r.embedding for r in result.collect()} == {"a": [2.0, 1.0], "b": [4.0, 1.0]}
+
+
+def test_chunked_search_goes_on_after_the_last_finished_chunk(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    items = articles(spark, [(f"N{i}", rng.normal(size=4)) for i in range(60)])
+    users = articles(spark, [(f"U{i}", rng.normal(size=4)) for i in range(40)]).toDF("user_id", "user_embedding")
+    path, calls = new_folder(spark, "chunks"), []
+    search = similarity.top_articles
+
+    def counted(*args, **options):
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        calls.append(sorted(r.user_id for r in args[0].collect()))
+        return search(*args, **options)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(similarity, "top_articles", counted)
+        with pytest.raises(RuntimeError):
+            similarity.search_in_chunks(users, items, path, 5, k=3)
+    done = list(calls)
+    patched = lambda *args, **options: (calls.append(sorted(r.user_id for r in args[0].collect())), search(*args, **options))[1]
+    monkeypatch.setattr(similarity, "top_articles", patched)
+    found = similarity.search_in_chunks(users, items, path, 5, k=3)
+    assert len(calls) == 5 and calls[:2] == done and sorted(sum(calls, [])) == sorted(r.user_id for r in users.collect())
+    assert sorted(found.collect()) == sorted(search(users, items, 3).collect())
+
+
+def test_quantised_estimates_and_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, centres[i % 12] + 0.3 * rng.normal(size=16)) for i in range(900)] + [(2000 + i, centres[0]) for i in range(300)]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows] + [(5000, None), (5001, [float("nan")] * 16)], "news_id long, embedding array<double>")
+    users = spark.createDataFrame([(i, [float(x) for x in centres[i % 12] + 0.2 * rng.normal(size=16)]) for i in range(30)], "user_id long, user_embedding array<double>")
+    index = quantised.build(frame, new_folder(spark, "quantised"))
+    assert 17 <= len(index.fine) <= 70 and index.articles.count() == 1200
+    # Added table entries are the products with the reconstructed vectors.
+    vectors = np.vstack([v for _, v in rows[:50]])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    cell = quantised._placed(index.coarse, index.fine, index.parent, vectors)
+    codes = quantised._codes(index.books, vectors - index.fine[cell])
+    back = index.fine[cell] + np.hstack([index.books[p][codes[:, p]] for p in range(len(index.books))])
+    assert np.linalg.norm(back - vectors, axis=1).mean() < np.linalg.norm(index.fine[cell] - vectors, axis=1).mean() < 0.8
+    exact = similarity.top_articles(users, frame)
+    probes = quantised.measured_probes(users, frame, index)
+    assert probes < len(index.fine) / 2
+    found = quantised.search(users, index, probes=probes)
+    assert quantised.recall(found, exact).first()["recall"] >= 0.9
+    # Only folders of visited parts are read.
+    whole = quantised.search(users, index, probes=len(index.fine), short=2000)
+    assert sorted(whole.collect()) == sorted(exact.collect())
+    one = quantised.search(users.limit(1), index, probes=1)
+    assert len(one.inputFiles()) < len(index.articles.inputFiles()) or one.count() <= 10
+
+
+def test_hashed_contexts_follow_the_window_over_block_borders(spark, monkeypatch):
+    words = [f"w{i % 7}" for i in range(50)]
+    rows = spark.createDataFrame([("a", i, w) for i, w in enumerate(words)] + [("b", 0, "alone")], "news_id string, position int, token string")
+    whole = sorted(text_vectors.hashed_contexts(rows, 32, 3).collect())
+    monkeypatch.setattr(text_vectors, "_CONTEXT_BLOCK", 5)
+    assert sorted(text_vectors.hashed_contexts(rows, 32, 3).collect()) == whole
+    expected = {}
+    for i, w in enumerate(words):
+        for j in range(max(0, i - 3), min(50, i + 4)):
+            if i != j:
+                for e in range(4):
+                    mark = hashlib.md5(f"{words[j]}#{e}".encode()).hexdigest()
+                    key = (w, int(mark[:8], 16) % 32 + 1)
+                    expected[key] = expected.get(key, 0) + (-1 if int(mark[8], 16) % 2 else 1)
+    assert {(t, p): v for t, p, v in whole} == expected
+
+
+def test_many_requests_equal_comparing_every_pair(spark):
+    rng = np.random.default_rng(9)
+    base = 1_700_000_000
+    items = [(i, "hot" if i % 3 else f"t{i % 5}", base + int(rng.integers(0, 10**6)), None if i % 4 else "s") for i in range(400)] + [(900, None, base, None), (901, "hot", None, None)]
+    wanted = []
+    for r in range(60):
+        start = base + int(rng.integers(0, 10**6))
+        wanted.append((r, rng.choice(["hot", "t1", "t2", "none"]).item(), start, start + int(rng.choice([-5, 0, 1, 100, 70_000, 900_000]))))
+    frame = spark.createDataFrame(items, "id long, topic string, at long, source string").withColumn("published", F.timestamp_seconds("at"))
+    requests = spark.createDataFrame(wanted, "request_id long, topic string, s long, e long").select(
+        "request_id", "topic", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds("e").alias("end"))
+    expected = sorted((r, i) for r, t, s, e in wanted for i, topic, at, _ in items if topic == t and at is not None and s <= at <= e)
+    for budget in (1 << 28, 0):
+        found = corpus.requested_articles(frame, requests, excluded=["x"], budget=budget)
+        assert "NestedLoop" not in found._jdf.queryExecution().toString()
+        assert sorted((r.request_id, r.id) for r in found.collect()) == expected
+    assert corpus.requested_articles(frame, requests.limit(0), excluded=["x"]).count() == 0
