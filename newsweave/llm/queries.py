@@ -90,14 +90,34 @@ def personal_spans(spark, folder):
     return personal.report(personal.scan(read(spark, folder, "documents")))
 
 
-@query("op9_token_counts")
-def token_totals(spark, folder, tokenizers=TOKENIZERS):
+def _rolled_up(spark, folder, tokenizers):
+    """The table goes in; the French texts come again revised, the short texts are
+    deleted, and the revision comes a second time, which changes nothing."""
     versions = {v: tokencounts.rank_bytes(f"{tokenizers}/{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    docs = read(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    revised = docs.where("lang = 'fr'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" (revised)")))
     rollup = tokencounts.TokenRollup(spark, new_folder(spark, "tokens"))
-    rollup.apply("0", read(spark, folder, "documents"), versions)
+    rollup.apply("0", docs, versions)
+    rollup.apply("1", revised, versions)
+    rollup.apply("2", None, versions, deleted=docs.where("length(text) < 200").select("doc_id"))
+    rollup.apply("1", revised, versions)
     return rollup.totals()
 
 
+@query("op9_token_counts")
+def token_totals(spark, folder, tokenizers=TOKENIZERS):
+    return _rolled_up(spark, folder, tokenizers)
+
+
+@query("op9_documents_and_characters", """
+select source, lang, count(*) docs, sum(length(coalesce(t, '')))::bigint chars from (
+  select doc_id, source, lang, case when lang = 'fr' then coalesce("text", '') || ' (revised)' else "text" end t from documents
+  where doc_id not in (select doc_id from documents where length("text") < 200))
+group by all""")
+def document_totals(spark, folder, tokenizers=TOKENIZERS):
+    return _rolled_up(spark, folder, tokenizers).where("tokenizer = 'byte_bpe_50k'").select("source", "lang", "docs", "chars")
+
+
 @query("op6_page_text")
 def page_text(spark, folder):
     found = pagetext.extract(read(spark, folder, "pages"))
