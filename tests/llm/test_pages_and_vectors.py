@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -139,3 +140,72 @@ def test_parts_are_balanced_and_learned():
     assert np.mean(label[graph] == label[:, None]) > 2 * by_chance
     bins, blocks = neighbours.packed({0: 5000, 1: 9000, 2: 3000, 3: 40_000, 5: 1})
     assert bins == {0: 0, 1: 0, 2: 1, 3: 2, 5: 3} and blocks == {0: 1, 1: 1, 2: 3, 3: 1}
+
+
+def site_pages(seed, sites, pages, wrapper):
+    """Pages of one frame per site around own paragraphs, without an article element."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    line = lambda: " ".join(word() for _ in range(rng.randint(4, 14)))
+    rows, wanted = [], {}
+    for site in range(sites):
+        top, bottom = [line() for _ in range(rng.randint(1, 6))], [line() for _ in range(rng.randint(1, 5))]
+        for page in range(pages):
+            own = [line() for _ in range(rng.randint(1, 5))]
+            body = "".join(f"<div>{x}</div>" for x in top) + "".join(f"<p>{x}" for x in own) + "".join(f"<div>{x}</div>" for x in bottom)
+            number = site * pages + page
+            rows.append((number, f"https://site{site}.org/{page:04d}", f"<body><div class='{wrapper}'>{body}</div></body>"))
+            wanted[number] = "\n\n".join(own)
+    return rows, wanted
+
+
+@pytest.mark.parametrize("wrapper", ["plain", "main-wrapper", "content"])
+@pytest.mark.parametrize("size", [1, 3, 2000])
+def test_frames_go_whatever_the_wrapper_and_the_ranges(spark, monkeypatch, wrapper, size):
+    monkeypatch.setattr(pagetext, "RANGE_PAGES", size)
+    rows, wanted = site_pages(size, 3, 9, wrapper)
+    found = {r.page_id: r.text for r in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == wanted
+
+
+def test_hundreds_of_pages_and_copies_among_them(spark):
+    rows, wanted = site_pages(4, 12, 25, "post")
+    # Copies of a page with another related link each stand next to it, and are no help.
+    rows += [(5000 + i, f"https://site3.org/0007-{i}", rows[3 * 25 + 7][2]) for i in range(40)]
+    wanted |= {5000 + i: wanted[3 * 25 + 7] for i in range(40)}
+    found = {r.page_id: r.text for r in pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == wanted
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<p title="', "<!--", "<!", "</a", "<script", "<div>", "</section>", "<p a='\"", "& ", "<article><nav>"])
+def test_two_megabytes_of_broken_tags_take_linear_time(unit):
+    page = unit * (2_000_000 // len(unit))
+    start = time.process_time()
+    lines_of(page)
+    assert time.process_time() - start < 60
+
+
+def test_closing_tags_of_nothing_open_in_a_deep_page():
+    start = time.process_time()
+    lines_of("<div>" * 50_000 + "</section>" * 50_000 + "word")
+    assert time.process_time() - start < 30
+
+
+def test_halved_tables_give_a_longest_subsequence(monkeypatch):
+    monkeypatch.setattr(pagetext, "TABLE_BITS", 20)
+    generator = random.Random(8)
+    for _ in range(300):
+        a, b = ([generator.choice("abcde") for _ in range(generator.randint(0, 40))] for _ in range(2))
+        left, right = common_lines(a, b)
+        assert len(left) == len(right) == lcs(a, b)
+        assert [a[i] for i in sorted(left)] == [b[j] for j in sorted(right)]
+
+
+def test_a_hundred_thousand_lines_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(pagetext, "TABLE_BITS", 1 << 22)
+    generator = random.Random(9)
+    a = [f"line {i}" for i in range(12_000)]
+    b = [x for x in a if generator.random() < 0.9]
+    b = [y for x in b for y in ([x, "new"] if generator.random() < 0.1 else [x])]
+    left, _ = common_lines(a, b)
+    assert len(left) == sum(x != "new" for x in b)
