@@ -53,6 +53,7 @@ def salted_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     null_safe: bool = False,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which a hot key of ``big`` is split over one task for each
     ``hot_rows`` of its rows.
@@ -62,10 +63,14 @@ def salted_join(
     key; else its rows match nothing and are spread as well. The hot keys are
     counted once and broadcast if there are at most HOT_KEYS. The salt hashes the
     row, so a task that runs again sends it to the same place.
+
+    The keys are counted before the join, so what stands behind ``big`` runs twice,
+    reduced to its keys the first time. Where that is dear, cut ``big`` before, or give
+    a stored table with the same keys in ``counted``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     hot = cut_lineage(
-        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+        (big if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
         .select(*[F.col(c).alias(f"_hot_{c}") for c in keys], F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
     )
     hint = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
