@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ SMALL_GROUP = 16
 # those that are still apart meet each other. None of them changes what is found.
 WIDE = 256
 BROADCAST_IDS = 2_000_000
+BROADCAST_CHANGES = 200_000
 USAGE_BITS = 22
 HEAD_ROUNDS = 3
 # Words whose hashes a task keeps from one text to the next.
@@ -210,14 +212,15 @@ def _usage(texts: DataFrame, words: int) -> np.ndarray:
             for hashes in _rolled(batch.column(1), words):
                 np.add.at(held, (hashes & np.uint64(len(held) - 1)).astype(np.int64), 1)
         if held.any():
-            parts = [x.tobytes() for x in held.reshape(blocks, -1)]
+            # Packed, as a task sees few of the buckets, and most of these once.
+            parts = [zlib.compress(x.tobytes(), 1) for x in held.reshape(blocks, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[block] = sums.get(block, 0) + np.frombuffer(part.as_py(), np.uint32)
+                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(part.as_py()), np.uint32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
@@ -276,6 +279,38 @@ def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.drop("comp").join(components, "low", "left").withColumn("comp", F.coalesce("root", "low")).drop("root")
 
 
+def _moved(rows: DataFrame, more: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (low, comp, ...) with comp after the links ``more`` were added, which are
+    among ``edges``. Few components change, so the changes are looked up where the
+    rows are; where they are many, the rows are joined with all components."""
+    # A link joins the components its two ends are in now.
+    ends = more.select(F.explode(F.array("a", "b")).alias("low")).distinct()
+    now = cut_lineage(rows.select("low", "comp").distinct().join(ends, "low"))
+    comps = now.select("low", "comp")
+    joined = more.join(comps.withColumnsRenamed({"low": "a", "comp": "ca"}), "a").join(comps.withColumnsRenamed({"low": "b", "comp": "cb"}), "b")
+    complete = joined.count() == more.count()
+    changed = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).where("node <> root")
+    changed = cut_lineage(changed)
+    if not complete or changed.count() > BROADCAST_CHANGES:
+        return _rooted(rows, edges)
+    table = changed.toArrow()
+    order = np.argsort(table.column("node").to_numpy(), kind="stable")
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (table.column("node").to_numpy()[order], table.column("root").to_numpy()[order]))
+    place, names = rows.columns.index("comp"), rows.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, root = shared.value
+        own = batch.column(place).to_numpy()
+        at = np.minimum(np.searchsorted(node, own), max(len(node) - 1, 0))
+        columns = list(batch.columns)
+        if len(node):
+            columns[place] = pa.array(np.where(node[at] == own, root[at], own))
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return per_batch(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """(key, n, head) per key that texts of several components share: how many
     rows, and one of them, the same in every run."""
@@ -320,18 +355,23 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         return (f"{a}comp <> {b}comp and least({a}size - {a}place, {b}size - {b}place) >= "
                 f"{least!r} * ({a}size + {b}size) - 1e-6 and least({a}size, {b}size) >= {similarity!r} * greatest({a}size, {b}size) - 1e-6")
 
+    # Only rows of crowded shingles take part in the rounds; the others follow at their end.
+    crowds, found = None, None
     for _ in range(HEAD_ROUNDS):
-        mixed = cut_lineage(_mixed(open_rows))
-        crowded = mixed.where(F.col("n") > SMALL_GROUP)
+        crowded = cut_lineage(_mixed(open_rows if crowds is None else crowds).where(F.col("n") > SMALL_GROUP))
         if crowded.isEmpty():
             break
-        pairs = open_rows.join(crowded, "key").where(possible("", "head.")).select(
+        crowds = cut_lineage((open_rows if crowds is None else crowds).join(crowded.select("key"), "key", "left_semi"))
+        pairs = crowds.join(crowded, "key").where(possible("", "head.")).select(
             F.least("low", "head.low").alias("a"), F.greatest("low", "head.low").alias("b")).distinct()
         more = _alike(docs, pairs, words, similarity)
         if more.isEmpty():
             break
         edges = edges.unionByName(more)
-        open_rows = cut_lineage(_rooted(open_rows.join(mixed.select("key"), "key", "left_semi"), edges))
+        found = more if found is None else found.unionByName(more)
+        crowds = cut_lineage(_moved(crowds, more, edges))
+    if found is not None:
+        open_rows = cut_lineage(_moved(open_rows, found, edges))
     left = open_rows.join(_mixed(open_rows).select("key"), "key", "left_semi").select(
         "key", *[F.col(c).alias(f"a{c}") for c in ("low", "comp", "size", "place")])
     right = left.select("key", *[F.col(f"a{c}").alias(f"b{c}") for c in ("low", "comp", "size", "place")])
