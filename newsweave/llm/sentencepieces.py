@@ -14,9 +14,9 @@ from newsweave.llm.common import pieces
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 # Distinct chunks whose ids a task keeps, and symbols from which a chunk is merged on its own.
-_KEPT_CHUNKS = 300_000
+_KEPT_CHUNKS = 200_000
 _LONG = 48
 _DEPTH = 16
 

@@ -28,7 +28,7 @@ BROADCAST_CHANGES = 200_000
 USAGE_BITS = 22
 HEAD_ROUNDS = 3
 # Words whose hashes a task keeps from one text to the next.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 200_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
