@@ -5,24 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsweave.session import cut_lineage
 
-def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``function`` over the Arrow batches of ``df``, one at a time."""
+def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+              column: str | None = None, most: int = 1 << 22) -> DataFrame:
+    """``function`` over the Arrow batches of ``df``, one at a time, or over slices of
+    them of about ``most`` bytes of ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield function(batch)
+                yield from map(function, pieces(batch, column, most) if column else (batch,))
 
     return df.mapInArrow(run, schema)
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of ``column``, one row at least."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_pylist()
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if i > start and held + size > most:

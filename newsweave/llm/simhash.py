@@ -161,11 +161,11 @@ def _shingles(tokens: list[bytes], words: int) -> list[bytes]:
     return [b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)]
 
 
-def shingle_set(text: bytes, words: int) -> list[int]:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
     """The hashes of a text's distinct shingles."""
     tokens = text.translate(_LOWER).split()
     hashes = {xxhash.xxh64_intdigest(x, 42) for x in _shingles(tokens, words)}
-    return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64).tolist()
+    return np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             [batch.column(0), pa.array(exact[:, 0]), pa.array(exact[:, 1]), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
             ["doc_id", "e1", "e2", "wide"])
 
-    return per_batch(docs, run, "doc_id long, e1 long, e2 long, wide array<long>")
+    return per_batch(docs, run, "doc_id long, e1 long, e2 long, wide array<long>", "text")
 
 
 def _rolled(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -251,7 +251,7 @@ def _prefixes(texts: DataFrame, usage: Broadcast, words: int, similarity: float)
              pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(keys).view(np.int64))],
             ["low", "comp", "size", "place", "key"])
 
-    return per_batch(texts, run, "low long, comp long, size int, place int, key long")
+    return per_batch(texts, run, "low long, comp long, size int, place int, key long", "text")
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -262,11 +262,13 @@ def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+        ends = np.cumsum([0, *map(len, sets)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "set"])
 
     # Rows that repeat an id are one document, whose words are those of any of them.
     texts = docs.join(side, "doc_id").dropDuplicates(["doc_id"])
-    sets = cut_lineage(per_batch(texts, run, "doc_id long, set array<long>"))
+    sets = cut_lineage(per_batch(texts, run, "doc_id long, set array<long>", "text"))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
