@@ -4,6 +4,8 @@ from newsweave.catalog import registry
 from newsweave.catalog import (  # noqa: F401
     article_queries, click_queries, evaluation_queries, flagship, model_queries, table_queries, vector_queries,
 )
+# Takes SQL texts of the queries above.
+from newsweave.catalog import set_queries  # noqa: E402,F401
 
 
 def all_queries():

@@ -13,13 +13,16 @@ SQL: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, folder) -> DataFrame, and its SQL if any."""
+def query(name: str, sql: str | None = None, like: str | None = None):
+    """Register a function (spark, folder) -> DataFrame, and its SQL if any; ``like``
+    names an earlier query with the same rows."""
 
     def register(function):
         QUERIES[name] = function
         if sql:
             SQL[name] = with_views(sql)
+        if like:
+            SQL[name] = SQL[like]
         return function
 
     return register
