@@ -61,7 +61,8 @@ class DoneIds:
 
     An append writes the filter's words first and then the ids, so a run that breaks
     off in between leaves a filter that holds too much, which costs a look and no row.
-    Appended words are merged when they are read. Ids may be appended more than once;
+    Appended words are merged when they are read; a filter whose first write did not end
+    is not used. Ids may be appended more than once;
     null ids are never done.
     """
 
@@ -71,11 +72,15 @@ class DoneIds:
     def _filter(self, words: int) -> str:
         return f"{self.root}/filter-{words}"
 
+    def _complete(self, words: int) -> bool:
+        # Spark's mark of a write that ended; a filter that lacks words must not be asked.
+        return path_exists(self.spark, f"{self._filter(words)}/_SUCCESS")
+
     def words(self) -> int:
         """Words of the filter in use: the largest that was written."""
         words, found = words_for(1), 0
         while words <= 1 << 40:
-            found = words if path_exists(self.spark, self._filter(words)) else found
+            found = words if self._complete(words) else found
             words *= 2
         return found or words_for(self.expected)
 
@@ -97,8 +102,8 @@ class DoneIds:
         rows.write.mode("append").parquet(f"{self.root}/ids")
 
     def screen(self) -> DataFrame | None:
-        path = self._filter(self.words())
-        return merged(self.spark.read.parquet(path)) if path_exists(self.spark, path) else None
+        words = self.words()
+        return merged(self.spark.read.parquet(self._filter(words))) if self._complete(words) else None
 
     def not_yet(self, df: DataFrame) -> DataFrame:
         """The rows of ``df`` whose id is not done, rows with a null id among them. Rows
