@@ -190,7 +190,8 @@ def _filters(words: DataFrame) -> tuple[dict[int, int], list[tuple[int, int]], D
         for batch in batches:
             length, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             hashes = batch.column(2).to_numpy().view(np.uint64)
-            for key in set(zip(length.tolist(), shard.tolist())):
+            # In the rows' order: a shard given out before its last rows came would lose those.
+            for key in sorted(set(zip(length.tolist(), shard.tolist()))):
                 own = hashes[(length == key[0]) & (shard == key[1])]
                 if key not in held:
                     # The rows are sorted, so earlier shards are complete.

@@ -77,6 +77,17 @@ def test_filters_in_many_shards_and_portions(spark, monkeypatch):
     assert {tuple(r) for r in spellings.variants(spark.createDataFrame(rows, SCHEMA)).collect()} == expected(rows)
 
 
+def test_shards_that_go_over_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(spellings, "SHARD_WORDS", 20)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        rows = varied(3, 100, 20)
+        assert {tuple(r) for r in spellings.variants(spark.createDataFrame(rows, SCHEMA)).collect()} == expected(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_long_words_and_chains(spark):
     long = "ab" * 30_000
     mixed = ["q" * 40] * 3 + ["q" * 41] * 6 + ["q" * 43] * 3
