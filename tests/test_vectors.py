@@ -224,6 +224,75 @@ def test_quantised_estimates_and_recall(spark):
     assert len(one.inputFiles()) < len(index.articles.inputFiles()) or one.count() <= 10
 
 
+def test_means_of_vectors_too_many_to_broadcast(spark, monkeypatch):
+    from newsweave.operators import joins
+
+    rng = np.random.default_rng(11)
+    # A hot user, an item with two vectors, unknown and null items, a null user.
+    pairs = [("hot", f"N{i % 90}") for i in range(400)] + [(f"U{int(rng.integers(20))}", f"N{int(rng.integers(120))}") for _ in range(300)]
+    pairs = spark.createDataFrame([*pairs, (None, "N1"), ("U1", None), ("lost", "N500")], "user_id string, news_id string")
+    table = articles(spark, [(f"N{i}", rng.normal(size=4)) for i in range(100)] + [("N1", [1, 2, 3, 4])])
+    few = {r.user_id: r.user_embedding for r in profiles.mean_vectors(pairs, table).collect()}
+    seen = []
+    split = joins.bucketed
+    monkeypatch.setattr(profiles, "BUCKET_BYTES", 8 * 4 * 30)
+    monkeypatch.setattr(profiles, "bucketed", lambda *a: (seen.append(split(*a)), seen[-1])[1])
+    many = {r.user_id: r.user_embedding for r in profiles.mean_vectors(pairs, table, budget=0).collect()}
+    assert set(few) == set(many) and "lost" not in many and None in many
+    assert all(np.allclose(few[u], many[u]) for u in few)
+    dealt, needed = seen[0]
+    # A bucket asks for an item once, and a hot user is in several buckets.
+    assert dealt.where("user_id = 'hot'").select("_bucket").distinct().count() > 1
+    assert needed.where("news_id <> 'N1'").groupBy("_of_bucket", "news_id").count().where("count > 1").isEmpty()
+
+
+def test_token_level_vectors_meet_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(text_vectors, "_BUCKET_ROWS", 10)
+    words = [("a", "x y x z".split()), ("b", "y q".split()), ("b", "x".split()), (None, ["z"]), ("c", ["q"]), ("d", [])]
+    table = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [0.5, 9.0]), ("z", None)], "token string, vector array<double>")
+    frame = spark.createDataFrame(words, "news_id string, tokens array<string>")
+    found = {r.news_id: r.embedding for r in text_vectors.token_level_vectors(frame, table).collect()}
+    x, y = [1.0, 2.0], [0.5, 9.0]
+    assert found == {"a": [x, y, x, None], "b": [y, x], None: [None]}
+    plan = text_vectors.token_level_vectors(frame, table)._jdf.queryExecution().executedPlan().toString()
+    # Vectors are gathered in the task that has the article's words, and not dealt again.
+    assert "collect_list" not in plan
+
+
+def test_a_user_goes_to_a_block_once_however_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    frame = articles(spark, [(f"N{i}", rng.normal(size=8)) for i in range(900)] + [(f"T{i}", np.ones(8)) for i in range(200)])
+    users = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(40)], "user_id long, user_embedding array<double>")
+    index = quantised.build(frame, new_folder(spark, "quantised"))
+    first, many, count = quantised._blocks(index)
+    probes = len(index.fine)
+    visits = quantised._visits(users, index, probes, first, many)
+    assert count == 1100 and probes >= 30 and visits.count() == 40
+    listed = quantised._shortlists(quantised._unit_users(users), index, probes, 1100, 10)
+    # With all articles on the short list only the best of each block go on.
+    assert listed.count() == 40 * 10
+    near = sorted(quantised.search(users, index, probes=12, short=50).collect())
+    exact = sorted(similarity.top_articles(users, frame).collect())
+    assert sorted(quantised.search(users, index, probes=probes, short=1100).collect()) == exact
+    # Many blocks of cells, and cells of many blocks.
+    for rows in (300, 30):
+        monkeypatch.setattr(quantised, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(quantised, "USER_BLOCK_ROWS", 15)
+        assert sorted(quantised.search(users, index, probes=12, short=50).collect()) == near
+        assert sorted(quantised.search(users, index, probes=probes, short=1100).collect()) == exact
+
+
+def test_small_blocks_shuffle_no_more_and_find_the_same(spark):
+    rng = np.random.default_rng(10)
+    frame = articles(spark, [(f"N{i}", rng.normal(size=8)) for i in range(600)])
+    users = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(50)], "user_id long, user_embedding array<double>")
+    index = similarity.cells_around(frame, rng.normal(size=(2, 8)))
+    chosen = similarity._user_cells(users, index, "closest", 2)
+    # The best of a cell, not of each small block of it, leave the task.
+    assert similarity._search_cells(chosen, index, 5, 20).count() == 50 * 2 * 5
+    assert sorted(similarity.search_approximate(users, index, 5, 2, 20).collect()) == sorted(similarity.top_articles(users, frame, 5).collect())
+
+
 def test_hashed_contexts_follow_the_window_over_block_borders(spark, monkeypatch):
     words = [f"w{i % 7}" for i in range(50)]
     rows = spark.createDataFrame([("a", i, w) for i, w in enumerate(words)] + [("b", 0, "alone")], "news_id string, position int, token string")
