@@ -339,9 +339,8 @@ def many_requests(spark, folder):
     requests = table(spark, folder, "customer").select(
         key.alias("request_id"), topic.alias("topic"), (first + F.make_dt_interval(hours=((key * 37) % 700).cast("int"))).alias("start"),
         (first + F.make_dt_interval(hours=((key * 37) % 700 + key % 200).cast("int"))).alias("end"))
-    found = corpus.requested_articles(articles, requests, ts="ts", excluded=["site1", "site2"])
-    return found.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("articles"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+    found = corpus.requested_articles(articles, requests, ts="ts", excluded=["site1", "site2"], totals="event_id")
+    return found.select("request_id", "articles", F.col("least").alias("first_event"), F.col("greatest").alias("last_event"))
 
 
 @query("win2_batch_numbers", """

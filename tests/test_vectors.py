@@ -327,3 +327,36 @@ def test_many_requests_equal_comparing_every_pair(spark):
         assert "NestedLoop" not in found._jdf.queryExecution().toString()
         assert sorted((r.request_id, r.id) for r in found.collect()) == expected
     assert corpus.requested_articles(frame, requests.limit(0), excluded=["x"]).count() == 0
+
+
+def test_totals_of_many_requests_equal_their_rows(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    base = 1_700_000_000_000_000
+    items = [(None if i % 9 == 0 else i, "hot" if i % 3 else f"t{i % 5}", base + int(rng.integers(0, 10**6)), None if i % 4 else "s") for i in range(600)]
+    items += [(900, None, base, None), (901, "hot", None, None), (902, "hot", base + 5, "x"), (None, "lone", base + 7, None), (7, "t1", base + 9, None), (7, "t1", base + 9, None)]
+    wanted = [(None, "hot", base, base + 10**6), (5, None, base, base + 10**6), (1003, "lone", base, base + 10**6), (1004, "lone", base + 8, base + 9), (1006, "t1", base + 9, base + 9)]
+    for r in range(200):
+        start = base + int(rng.integers(0, 10**6))
+        wanted.append((r % 150, rng.choice(["hot", "t1", "t2", "none"]).item(), start, start + int(rng.choice([-5, 0, 1, 100, 70_000, 900_000, 2_000_000]))))
+    frame = spark.createDataFrame(items, "id long, topic string, at long, source string").withColumn("published", F.timestamp_micros("at"))
+    requests = spark.createDataFrame(wanted, "request_id long, topic string, s long, e long").select(
+        "request_id", "topic", F.timestamp_micros("s").alias("start"), F.timestamp_micros("e").alias("end"))
+    rows = corpus.requested_articles(frame, requests, excluded=["x"])
+    expected = sorted(map(tuple, rows.groupBy("request_id").agg(F.count(F.lit(1)), F.min("id"), F.max("id")).collect()), key=str)
+    assert len(expected) > 50 and (1003, 1, None, None) in expected
+    for piece, share, budget in ((1 << 18, 1 << 18, 1 << 28), (10, 3, 1 << 28), (10, 3, 0)):
+        monkeypatch.setattr(corpus, "PIECE_ROWS", piece)
+        monkeypatch.setattr(corpus, "EDGE_ROWS", share)
+        found = corpus.requested_articles(frame, requests, excluded=["x"], budget=budget, totals="id")
+        assert sorted(map(tuple, found.collect()), key=str) == expected
+    local = [c.cast("timestamp_ntz").alias(n) for c, n in ((F.col("start"), "start"), (F.col("end"), "end"))]
+    plain = frame.withColumn("published", F.col("published").cast("timestamp_ntz"))
+    found = corpus.requested_articles(plain, requests.select("request_id", "topic", *local), excluded=["x"], totals="id")
+    assert sorted(map(tuple, found.collect()), key=str) == expected
+    assert corpus.requested_articles(frame, requests.limit(0), excluded=["x"], totals="id").count() == 0
+    assert corpus.requested_articles(frame.limit(0), requests, excluded=["x"], totals="id").count() == 0
+    # 20,000 requests for all of 20,000 articles: 4e8 pairs, of which no row is made.
+    many = spark.range(20_000).select("id", F.lit("a").alias("topic"), F.lit(None).cast("string").alias("source"), F.timestamp_seconds("id").alias("published"))
+    asked = spark.range(20_000).select(F.col("id").alias("request_id"), F.lit("a").alias("topic"), F.timestamp_seconds(F.col("id") % 7).alias("start"), F.timestamp_seconds(F.lit(10**6)).alias("end"))
+    found = corpus.requested_articles(many, asked, totals="id").agg(F.sum("articles"), F.max("least"), F.min("greatest")).first()
+    assert tuple(found) == (sum(20_000 - r % 7 for r in range(20_000)), 6, 19_999)
