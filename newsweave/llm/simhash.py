@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsweave.llm.common import connected_components, free_name, per_batch
-from newsweave.session import cut_lineage
+from newsweave.session import cut_lineage, stored
 
 # Two segments: of two differing bits, one segment holds at most one.
 SEGMENT = 32
@@ -256,8 +256,8 @@ def _prefixes(texts: DataFrame, usage: Broadcast, words: int, similarity: float)
 
 def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose whole shingle sets are similar."""
-    pairs = cut_lineage(pairs)
-    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    pairs = stored(pairs)
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -268,11 +268,18 @@ def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
 
     # Rows that repeat an id are one document, whose words are those of any of them.
     texts = docs.join(side, "doc_id").dropDuplicates(["doc_id"])
-    sets = cut_lineage(per_batch(texts, run, "doc_id long, set array<long>", "text"))
+    sets = stored(per_batch(texts, run, "doc_id long, set array<long>", "text"))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return cut_lineage(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    return stored(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that ``roots`` (node, root) does not put into one component."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    return pairs.where("ra is null or rb is null or ra <> rb").select("a", "b")
 
 
 def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -287,12 +294,12 @@ def _moved(rows: DataFrame, more: DataFrame, edges: DataFrame) -> DataFrame:
     rows are; where they are many, the rows are joined with all components."""
     # A link joins the components its two ends are in now.
     ends = more.select(F.explode(F.array("a", "b")).alias("low")).distinct()
-    now = cut_lineage(rows.select("low", "comp").distinct().join(ends, "low"))
+    now = stored(rows.select("low", "comp").distinct().join(ends, "low"))
     comps = now.select("low", "comp")
     joined = more.join(comps.withColumnsRenamed({"low": "a", "comp": "ca"}), "a").join(comps.withColumnsRenamed({"low": "b", "comp": "cb"}), "b")
     complete = joined.count() == more.count()
     changed = connected_components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).where("node <> root")
-    changed = cut_lineage(changed)
+    changed = stored(changed)
     if not complete or changed.count() > BROADCAST_CHANGES:
         return _rooted(rows, edges)
     table = changed.toArrow()
@@ -322,10 +329,11 @@ def _mixed(rows: DataFrame) -> DataFrame:
     ).where("least <> most").select("key", "n", "head")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, links: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) per row of ``docs`` (doc_id, text) that has a doc_id:
     component_id is the smallest doc_id reachable over texts whose sets of
-    ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, and over
+    ``links`` (a, b) between doc_ids that are known already, which are not compared.
 
     Every such link counts; none is left to chance. Equal word sequences are one
     entry. Equal segments of a wide SimHash tie most members of a large group of
@@ -337,19 +345,25 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     and then all that are still apart. Texts without words are copies of each other.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut_lineage(_sketches(docs))
-    kinds = cut_lineage(rows.groupBy("e1", "e2").agg(F.min("doc_id").alias("low"), F.min_by("wide", "doc_id").alias("wide")))
+    rows = stored(_sketches(docs))
+    kinds = stored(rows.groupBy("e1", "e2").agg(F.min("doc_id").alias("low"), F.min_by("wide", "doc_id").alias("wide")))
     segments = kinds.select("low", F.posexplode(F.expr(
         "flatten(transform(wide, x -> array(x & 4294967295L, shiftrightunsigned(x, 32))))")).alias("place", "segment"))
     heads = segments.groupBy("place", "segment").agg(F.min("low").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     tied = segments.join(heads, ["place", "segment"]).where("low > a").select("a", F.col("low").alias("b")).distinct()
+    if links is not None:
+        links = links.select(F.col("a").cast("long"), F.col("b").cast("long"))
+        roots = stored(connected_components(links))
+        tied = _apart(tied, roots)
     edges = _alike(docs, tied, words, similarity)
-    known = cut_lineage(_rooted(kinds.select("low").distinct(), edges))
+    if links is not None:
+        edges = edges.unionByName(links)
+    known = stored(_rooted(kinds.select("low").distinct(), edges))
     side = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
     texts = docs.join(side, docs["doc_id"] == side["low"]).select("low", "text", "comp")
     usage = docs.sparkSession.sparkContext.broadcast(_usage(docs, words))
-    prefixes = cut_lineage(_prefixes(texts, usage, words, similarity))
-    open_rows = cut_lineage(prefixes.join(_mixed(prefixes).select("key"), "key", "left_semi"))
+    prefixes = stored(_prefixes(texts, usage, words, similarity))
+    open_rows = stored(prefixes.join(_mixed(prefixes).select("key"), "key", "left_semi"))
     least = similarity / (1 + similarity)
 
     def possible(a: str, b: str) -> str:
@@ -360,10 +374,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     # Only rows of crowded shingles take part in the rounds; the others follow at their end.
     crowds, found = None, None
     for _ in range(HEAD_ROUNDS):
-        crowded = cut_lineage(_mixed(open_rows if crowds is None else crowds).where(F.col("n") > SMALL_GROUP))
+        crowded = stored(_mixed(open_rows if crowds is None else crowds).where(F.col("n") > SMALL_GROUP))
         if crowded.isEmpty():
             break
-        crowds = cut_lineage((open_rows if crowds is None else crowds).join(crowded.select("key"), "key", "left_semi"))
+        crowds = stored((open_rows if crowds is None else crowds).join(crowded.select("key"), "key", "left_semi"))
         pairs = crowds.join(crowded, "key").where(possible("", "head.")).select(
             F.least("low", "head.low").alias("a"), F.greatest("low", "head.low").alias("b")).distinct()
         more = _alike(docs, pairs, words, similarity)
@@ -371,9 +385,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             break
         edges = edges.unionByName(more)
         found = more if found is None else found.unionByName(more)
-        crowds = cut_lineage(_moved(crowds, more, edges))
+        crowds = stored(_moved(crowds, more, edges))
     if found is not None:
-        open_rows = cut_lineage(_moved(open_rows, found, edges))
+        open_rows = stored(_moved(open_rows, found, edges))
     left = open_rows.join(_mixed(open_rows).select("key"), "key", "left_semi").select(
         "key", *[F.col(c).alias(f"a{c}") for c in ("low", "comp", "size", "place")])
     right = left.select("key", *[F.col(f"a{c}").alias(f"b{c}") for c in ("low", "comp", "size", "place")])
@@ -384,10 +398,17 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group of near copies,
+    """The rows of ``docs`` that stay: one document of each group of near duplicates,
     that with the smallest doc_id. Rows that repeat a doc_id stay or go together; a
-    row without doc_id stays."""
-    found = near_copies(docs, words, similarity)
+    row without doc_id stays.
+
+    The groups are those of :func:`near_duplicates`, SimHashes that differ in few bits,
+    joined by the links between similar texts that a SimHash misses (:func:`near_copies`).
+    """
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    prints = stored(near_duplicates(known).where("doc_id <> component_id").select(
+        F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    found = near_copies(known, words, similarity, prints)
     name = free_name(docs, "_gone_id")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

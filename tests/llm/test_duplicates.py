@@ -164,6 +164,36 @@ def test_one_of_each_keeps_rows_without_id(spark):
     assert simhash.one_of_each(docs(spark, [])).collect() == []
 
 
+def test_one_of_each_goes_by_simhash_and_by_sets(spark):
+    generator = random.Random(12)
+    draw = lambda n: [f"w{generator.random()}" for _ in range(n)]
+    rows, hashed, alike, number = [], [], [], 0
+    key = lambda i, x: (i, " ".join(x))
+    while len(hashed) < 3:
+        # One passage over and over: the fingerprint follows it, the set of shingles the rest.
+        passage = draw(4)
+        one, two = passage * 40 + draw(8), passage * 40 + draw(8)
+        prints = [simhash.fingerprint(" ".join(x).encode(), 3, 42) for x in (one, two)]
+        sets = [set(simhash.shingle_set(" ".join(x).encode(), 5)) for x in (one, two)]
+        if (prints[0] ^ prints[1]).bit_count() <= 2 and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]):
+            rows += [key(number, one), key(number + 1, two)]
+            hashed.append(number + 1)
+            number += 2
+    while len(alike) < 3:
+        one = draw(150)
+        two = one[:140]
+        prints = [simhash.fingerprint(" ".join(x).encode(), 3, 42) for x in (one, two)]
+        if (prints[0] ^ prints[1]).bit_count() > 2:
+            rows += [key(number, one), key(number + 1, two)]
+            alike.append(number + 1)
+            number += 2
+    # A chain of both kinds of links: its middle goes, and its end with it.
+    chained = rows[1][1] + " " + " ".join(draw(1))
+    rows.append((number, chained))
+    kept = {r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()}
+    assert set(range(number + 1)) - kept == {*hashed, *alike, number}
+
+
 def slow_lines(rows, least=40, at_least=5):
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
     held = {}
