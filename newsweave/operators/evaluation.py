@@ -70,7 +70,7 @@ def mean_ranking_metrics(per_user: DataFrame) -> DataFrame:
 def compared(recommenders: dict[str, DataFrame], pairs: DataFrame, k: int = TOP_K) -> DataFrame:
     """Ranking metrics and similarity errors of several recommenders side by
     side, one row each. All tables use the same kind of ids."""
-    rows = None
+    rows, pairs = None, cut_lineage(pairs)
     for name, flat in recommenders.items():
         # Two metrics read it, and it may be a whole search.
         flat = cut_lineage(flat)

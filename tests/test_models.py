@@ -219,3 +219,18 @@ def test_best_items_without_items_or_with_few(spark):
     assert inner_products.best_items(users, spark.createDataFrame([], kind)).count() == 0
     few = inner_products.best_items(users, spark.createDataFrame([(4, [2.0, 0.0]), (3, [2.0, 5.0])], kind)).collect()
     assert [(r.news_id, r["rank"]) for r in few] == [(3, 1), (4, 2)]
+
+
+def test_compared_makes_the_truth_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    truth = spark.createDataFrame([("U1", "N1"), ("U2", None), ("U1", "N2")], "user_id string, news_id string")
+    shown = spark.createDataFrame([("U1", "N1", 0.5, 1), ("U2", "N1", 0.25, 1), ("U3", "N2", 1.0, 1)], "user_id string, news_id string, similarity_score double, rank long")
+    found = evaluation.compared({"a": shown, "b": shown}, truth.mapInArrow(counted, "user_id string, news_id string")).collect()
+    assert [(r.recommender, r.users, r.mse) for r in sorted(found)] == [("a", 2, 0.15625), ("b", 2, 0.15625)]
+    assert made.value == 3
