@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsweave.session import cut_lineage
 
+# Edges up to here are in one partition, so that no step of a round is a shuffle.
+FEW_EDGES = 200_000
+
+
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
               column: str | None = None, most: int = 1 << 22) -> DataFrame:
     """``function`` over the Arrow batches of ``df``, one at a time, or over slices of
@@ -60,8 +64,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current = cut_lineage(current)
     state = _state(current)
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.coalesce(1) if state[0] <= FEW_EDGES else rows
+
     while state[0]:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = packed(current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Every larger neighbour goes to the smallest one.
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -69,10 +77,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # Every smaller neighbour goes to the smallest one, and the node itself too.
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        current = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        current = cut_lineage(packed(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct())
         before, state = state, _state(current)
         if before == state:
             break
+    current = packed(current)
     roots = current.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(
         roots.select(F.col("root").alias("node"), "root").distinct())

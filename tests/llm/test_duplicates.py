@@ -194,6 +194,16 @@ def test_one_of_each_goes_by_simhash_and_by_sets(spark):
     assert set(range(number + 1)) - kept == {*hashed, *alike, number}
 
 
+def test_components_of_few_edges_need_one_shuffle(spark):
+    generator = random.Random(3)
+    edges = [(generator.randrange(400), generator.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1040)] + [(None, 4), (7, 7)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    ends = {x for a, b in edges if a is not None and a != b for x in (a, b)}
+    found = connected_components(frame)
+    assert {r.node: r.root for r in found.collect()} == roots([(a, b) for a, b in edges if a is not None], ends)
+    assert "Exchange" not in found.select("node")._jdf.queryExecution().executedPlan().toString()
+
+
 def slow_lines(rows, least=40, at_least=5):
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
     held = {}
