@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +294,25 @@ def test_small_blocks_shuffle_no_more_and_find_the_same(spark):
     assert sorted(similarity.search_approximate(users, index, 5, 2, 20).collect()) == sorted(similarity.top_articles(users, frame, 5).collect())
 
 
+def test_hashed_contexts_send_one_row_for_each_word_of_a_task_and_stream(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"a{i % 5}", i // 5, f"w{rng.integers(6)}") for i in range(3000)] + [(None, 0, "x"), (None, 1, None), (None, 2, "y")]
+    frame = spark.createDataFrame(rows, "news_id string, position int, token string")
+    found = {(r["token"], r["pos"]): r["value"] for r in text_vectors.hashed_contexts(frame, 8, 2).collect()}
+    # Thousands of pairs of words are one row of sums for each different word.
+    table = pa.table({"news_id": [r[0] for r in rows], "_block": [0] * len(rows), "position": [r[1] for r in rows], "token": [r[2] for r in rows]})
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] or "", rows[i][1]))
+    batches = table.take(order).to_batches(100)
+    sums = pa.Table.from_batches(text_vectors._context_sums(iter(batches), 8, 2, 4, 4096, 10_000))
+    assert sums.num_rows == 9
+    # A few words and sums at a time come to the same.
+    for most in (7, 100, 1000):
+        monkeypatch.setattr(text_vectors, "_CONTEXT_SUMS", 24)
+        parts = pa.Table.from_batches(text_vectors._context_sums(iter(batches), 8, 2, 4, 4096, most)).sort_by("token")
+        added = pa.Table.from_batches(text_vectors._added(iter(parts.to_batches(5)), 8)).to_pylist()
+        assert len(added) == len(found) and {(r["token"], r["pos"]): r["value"] for r in added} == found
+
+
 def test_hashed_contexts_follow_the_window_over_block_borders(spark, monkeypatch):
     words = [f"w{i % 7}" for i in range(50)]
     rows = spark.createDataFrame([("a", i, w) for i, w in enumerate(words)] + [("b", 0, "alone")], "news_id string, position int, token string")
