@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,13 @@ class Matcher:
 
     def edges(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces occur: sorted start * 32 + length, and the piece's number."""
+        start, piece = self.occurrences(codes, starts)
+        at = start * 32 + self.lengths[piece]
+        order = np.argsort(at)
+        return at[order], piece[order].astype(np.int32)
+
+    def occurrences(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts at which pieces occur, and the pieces' numbers, in their order."""
         # Letters are numbered anew among those of the text, so that more of them fit a
         # word; pieces with other letters have no edges.
         used = np.union1d([0], codes)
@@ -140,9 +148,7 @@ class Matcher:
         first[wanted] = low
         piece = np.repeat(np.arange(len(counts)), counts)
         within = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = places[np.repeat(first, counts) + within] * 32 + self.lengths[piece]
-        order = np.argsort(at)
-        return at[order], piece[order].astype(np.int32)
+        return places[np.repeat(first, counts) + within], piece
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks, one after another, and how many each has."""
@@ -153,14 +159,13 @@ class Matcher:
         begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if len(chunks) else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(chunks)), sizes)
         starts = np.arange(len(owner)) + owner
-        edge_at, edge_piece = self.edges(codes, starts)
+        # The piece of each start and length, or -1.
+        edges = np.full(len(codes) * _DEPTH, -1, np.int32)
+        start, piece = self.occurrences(codes, starts)
+        edges[start * _DEPTH + self.lengths[piece] - 1] = piece
 
         def piece_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-            key = start * 32 + length
-            at = np.minimum(np.searchsorted(edge_at, key), max(len(edge_at) - 1, 0))
-            if not len(edge_at):
-                return np.full(len(key), -1)
-            return np.where((edge_at[at] == key) & (length <= _DEPTH), edge_piece[at], -1)
+            return np.where(length <= _DEPTH, edges[start * _DEPTH + np.minimum(length, _DEPTH) - 1], -1)
 
         # Relaxing: the best-scored edge over two neighbouring symbols is taken, the
         # leftmost of equals, until a chunk has none left. This is BPE's order.
@@ -260,6 +265,14 @@ class Matcher:
         return np.array([begin + i for i in range(size) if length[i]], np.int64)
 
 
+class _Numbers(dict):
+    """Chunks numbered in the order in which they are first asked for."""
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        return number
+
+
 def model_bytes(path: str) -> bytes:
     """The model file, read on the driver and sent along with the tasks."""
     with open(path, "rb") as file:
@@ -272,6 +285,11 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def _ranges(firsts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The ``widths`` numbers from each of ``firsts``, one range after another."""
+    return np.arange(widths.sum()) + np.repeat(firsts - (np.cumsum(widths) - widths), widths)
+
+
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """``docs`` with ``piece_ids`` (array of int; a column of that name is replaced),
     the ids of each whole text in the BPE model given by its file's bytes.
@@ -288,29 +306,29 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches):
         matcher = Matcher(shared.value)
-        numbers: dict[str, int] = {}
-        flat, begin = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        total = 0
+        numbers = _Numbers()
+        # Ids of the chunks one after another, where those of each end, and how often each was met.
+        flat, ends, uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for part in pieces(batch, "text", _SLICE_BYTES) if batch.num_rows else ():
                 if len(numbers) > _KEPT_CHUNKS:
-                    numbers, flat, begin, total = {}, [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+                    # The chunks that were met most often stay.
+                    kept = np.argsort(-uses, kind="stable")[: _KEPT_CHUNKS // 2]
+                    kept = np.sort(kept[uses[kept] > 1])
+                    names_met, widths = list(numbers), np.diff(ends, prepend=0)[kept]
+                    numbers = _Numbers((names_met[i], n) for n, i in enumerate(kept.tolist()))
+                    flat, ends, uses = flat[_ranges(ends[kept] - widths, widths)], np.cumsum(widths), uses[kept] // 2
                 known, rows = len(numbers), []
                 for text in part.column(place):
                     own = chunks_of(text.as_py() or "")
-                    rows.append(np.fromiter((numbers.setdefault(c, len(numbers)) for c in own), np.int64, len(own)))
-                new = list(numbers)[known:]
-                ids, counts = matcher.encode(new)
-                flat = [np.concatenate([*flat, ids])]
-                begin = [np.concatenate([*begin, total + np.cumsum(counts)])]
-                total += int(counts.sum())
-                ends = begin[0]
-                firsts = np.concatenate(([0], ends[:-1]))
+                    rows.append(np.fromiter(map(numbers.__getitem__, own), np.int64, len(own)))
+                ids, counts = matcher.encode(list(islice(reversed(numbers), len(numbers) - known))[::-1])
+                flat, ends = np.concatenate([flat, ids]), np.concatenate([ends, len(flat) + np.cumsum(counts)])
                 used = np.concatenate(rows)
-                widths = (ends - firsts)[used] if len(used) else np.zeros(0, np.int64)
-                shift = np.repeat(firsts[used] - (np.cumsum(widths) - widths), widths) if len(used) else np.zeros(0, np.int64)
-                values = flat[0][np.arange(len(shift)) + shift]
-                per_row = np.concatenate(([0], np.cumsum([int(((ends - firsts)[r]).sum()) for r in rows])))
+                uses = np.append(uses, np.zeros(len(counts), np.int64)) + np.bincount(used, minlength=len(ends))
+                widths = np.diff(ends, prepend=0)[used]
+                values = flat[_ranges(ends[used] - widths, widths)]
+                per_row = np.concatenate(([0], np.cumsum(widths)))[np.cumsum([0, *map(len, rows)])]
                 lists = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names)
 
@@ -326,14 +344,17 @@ def decode(encoded: DataFrame, model: bytes, out: str = "decoded") -> DataFrame:
     place, names = encoded.columns.index("piece_ids"), [*encoded.columns, out]
 
     def run(batches):
-        texts = [t or b"" for t in shared.value]
+        texts = pa.array([t or b"" for t in shared.value], pa.large_binary())
         for batch in batches:
-            column, found = batch.column(place), []
-            for ids in column:
+            found = []
+            for ids in batch.column(place):
                 if not ids.is_valid:
                     found.append(None)
                     continue
-                data = b"".join(map(texts.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist()))
+                # The pieces of a row lie one after another in one buffer.
+                own = texts.take(ids.values)
+                ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+                data = own.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if len(own) else b""
                 found.append(data.removeprefix(b" ").decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names)
 

@@ -9,8 +9,10 @@ import random
 import time
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,25 @@ def test_suffix_array_finds_every_piece(model):
     assert (np.diff(at) >= 0).all()
 
 
+def test_chunks_that_are_met_often_are_encoded_once(model, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepieces, "_KEPT_CHUNKS", 6)
+    monkeypatch.setattr(sentencepieces, "_SLICE_BYTES", 1)
+    encoded, original = [], sentencepieces.Matcher.encode
+    monkeypatch.setattr(sentencepieces.Matcher, "encode", lambda self, chunks: encoded.extend(chunks) or original(self, chunks))
+    context = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    given = SimpleNamespace(columns=["doc_id", "text"], schema=[], sparkSession=SimpleNamespace(sparkContext=context))
+    given.drop, given.mapInArrow = lambda name: given, lambda run, schema: run
+    texts = [f"the cat number{i} sat{i} the" for i in range(40)] + TEXTS
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    found = [ids for part in sentencepieces.encode(given, model)(iter([batch])) for ids in part.column(2).to_pylist()]
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert found == [library.encode(t) for t in texts]
+    # Chunks that come once make room for others; one that comes in every text stays.
+    assert encoded.count("▁cat") == 1 and encoded.count("▁the") <= 2
+
+
 # Toxicity.
 
 def toxic_corpus(generator, count=600):
