@@ -21,12 +21,14 @@ SEGMENT = 32
 SMALL_GROUP = 16
 # For near copies: bits of the SimHash, the most ids that are broadcast, bits of the
 # table by which shingles are put in order, and how often crowds meet a head before
-# those that are still apart meet each other. None of them changes what is found.
+# those that are still apart meet each other, and in how many shingles these are seen
+# to have met before. None of them changes what is found.
 WIDE = 256
 BROADCAST_IDS = 2_000_000
 BROADCAST_CHANGES = 200_000
 USAGE_BITS = 22
 HEAD_ROUNDS = 3
+FIRST_KEYS = 16
 # Words whose hashes a task keeps from one text to the next.
 KNOWN_WORDS = 200_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -232,12 +234,13 @@ def _usage(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, usage: Broadcast, words: int, similarity: float) -> DataFrame:
-    """(low, comp, size, place, key) for the rarest shingles of each text of
+    """(low, comp, size, place, key, odd) for the rarest shingles of each text of
     ``texts`` (low, text, comp): so many that two texts which are similar enough
-    have one of them in common. place is the shingle's place in the order."""
+    have one of them in common. place is the shingle's place in the order. odd, on the
+    first row of a text, are WIDE bits: which of so many shares of its shingles are odd."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, places, owners, sizes = [], [], [], []
+        keys, places, owners, sizes, odd = [], [], [], [], []
         for row, hashes in enumerate(_rolled(batch.column(1), words)):
             most = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
             common = usage.value[(hashes & np.uint64(len(usage.value) - 1)).astype(np.int64)]
@@ -245,13 +248,16 @@ def _prefixes(texts: DataFrame, usage: Broadcast, words: int, similarity: float)
             places.append(np.arange(most))
             owners.append(np.full(most, row))
             sizes.append(np.full(most, len(hashes)))
+            share = (hashes >> np.uint64(40)).astype(np.int64) % WIDE
+            bits = np.packbits(np.bincount(share, minlength=WIDE).astype(np.uint8) & 1, bitorder="little").view(np.int64).tolist()
+            odd += [bits, *[None] * (most - 1)] if most else []
         owner = pa.array(np.concatenate(owners))
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(owner), batch.column(2).take(owner), pa.array(np.concatenate(sizes), pa.int32()),
-             pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(keys).view(np.int64))],
-            ["low", "comp", "size", "place", "key"])
+             pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(odd, pa.list_(pa.int64()))],
+            ["low", "comp", "size", "place", "key", "odd"])
 
-    return per_batch(texts, run, "low long, comp long, size int, place int, key long", "text")
+    return per_batch(texts, run, "low long, comp long, size int, place int, key long, odd array<long>", "text")
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -329,6 +335,25 @@ def _mixed(rows: DataFrame) -> DataFrame:
     ).where("least <> most").select("key", "n", "head")
 
 
+def _meetings(rows: DataFrame, odd: DataFrame, possible: str, similarity: float) -> DataFrame:
+    """(a, b) for texts of different components with a shingle in common, where
+    ``possible`` holds for their rows (a..., b...). Two texts do not meet again in a
+    shingle if they have met in one of the first FIRST_KEYS of both; and as every bit in
+    which their ``odd`` (low, odd) differ is a shingle that only one of them has, those
+    that differ in too many are left out. An id with several texts, whose odd is null,
+    meets each time."""
+    rows = rows.join(_mixed(rows).select("key"), "key", "left_semi")
+    firsts = rows.groupBy("low").agg(F.expr(f"slice(array_sort(collect_list(struct(place, key))), 1, {FIRST_KEYS})").alias("firsts"))
+    met = "if(odd is null, array(), transform(filter(firsts, x -> x.place < place), x -> x.key))"
+    rows = stored(rows.join(firsts, "low").join(odd, "low").withColumn("met", F.expr(met).cast("array<long>")).drop("firsts"))
+    names = ("low", "comp", "size", "place", "met", "odd")
+    left, right = (rows.select("key", *[F.col(c).alias(f"{side}{c}") for c in names]) for side in "ab")
+    differ = " + ".join(f"bit_count(aodd[{i}] ^ bodd[{i}])" for i in range(WIDE // 64))
+    few = f"coalesce({differ} <= {(1 - similarity) / (1 + similarity)!r} * (asize + bsize) + 1e-6, true)"
+    return left.join(right, "key").where(f"{possible} and {few} and not arrays_overlap(amet, bmet)").select(
+        F.col("alow").alias("a"), F.col("blow").alias("b"))
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, links: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) per row of ``docs`` (doc_id, text) that has a doc_id:
     component_id is the smallest doc_id reachable over texts whose sets of
@@ -363,6 +388,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, links:
     texts = docs.join(side, docs["doc_id"] == side["low"]).select("low", "text", "comp")
     usage = docs.sparkSession.sparkContext.broadcast(_usage(docs, words))
     prefixes = stored(_prefixes(texts, usage, words, similarity))
+    odd = prefixes.where("place = 0").groupBy("low").agg(F.expr("if(count(*) = 1, first(odd), null)").alias("odd"))
+    prefixes = prefixes.drop("odd")
     open_rows = stored(prefixes.join(_mixed(prefixes).select("key"), "key", "left_semi"))
     least = similarity / (1 + similarity)
 
@@ -388,11 +415,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, links:
         crowds = stored(_moved(crowds, more, edges))
     if found is not None:
         open_rows = stored(_moved(open_rows, found, edges))
-    left = open_rows.join(_mixed(open_rows).select("key"), "key", "left_semi").select(
-        "key", *[F.col(c).alias(f"a{c}") for c in ("low", "comp", "size", "place")])
-    right = left.select("key", *[F.col(f"a{c}").alias(f"b{c}") for c in ("low", "comp", "size", "place")])
-    apart = left.join(right, "key").where(f"alow < blow and {possible('a', 'b')}").select(
-        F.col("alow").alias("a"), F.col("blow").alias("b")).distinct()
+    apart = _meetings(open_rows, odd, f"alow < blow and {possible('a', 'b')}", similarity).distinct()
     known = _rooted(kinds.select("e1", "e2", "low"), edges.unionByName(_alike(docs, apart, words, similarity)))
     return rows.join(known, ["e1", "e2"]).select("doc_id", F.col("comp").alias("component_id"))
 

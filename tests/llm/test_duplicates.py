@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsweave.llm import linededup, simhash
+from newsweave.llm import common, linededup, simhash
 from newsweave.llm.common import connected_components
 from newsweave.llm.cuckoo import CuckooFilter
 from newsweave.session import new_folder
@@ -311,3 +311,46 @@ def test_cuckoo_filter(count):
 def test_full_cuckoo_filter_says_so():
     made = CuckooFilter(np.zeros((2, 4), np.uint16))
     assert not made.insert(np.arange(1, 40, dtype=np.uint64) << np.uint64(48))
+
+
+def test_few_edges_take_few_jobs_and_many_the_same_components(spark, monkeypatch):
+    generator = random.Random(8)
+    nodes = generator.sample(range(-500, 500), 300)
+    pairs = [*zip(nodes[:100], nodes[1:100]), *((generator.choice(nodes[100:]), generator.choice(nodes[100:])) for _ in range(120)), (None, 1), (7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    spark.sparkContext.setJobGroup("few", "components")
+    few = sorted(map(tuple, connected_components(edges).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(common, "FEW_EDGES", 0)
+    assert few == sorted(map(tuple, connected_components(edges).collect()))
+    assert dict(few)[nodes[50]] == min(nodes[:100]) and len(dict(few)) == len(few)
+    # A chain of a hundred nodes took a few jobs in each of its rounds.
+    assert jobs <= 8
+    assert connected_components(edges.limit(0)).collect() == []
+
+
+def test_texts_meet_once_and_only_if_their_sets_may_be_alike(spark):
+    rows = [(low, low, 100, place, key) for low, keys in {1: "abc", 2: "abc", 3: "abd", 4: "ab"}.items() for place, key in enumerate(keys)]
+    frame = spark.createDataFrame([(*r[:4], ord(r[4])) for r in rows], "low long, comp long, size int, place int, key long")
+    odd = {1: [0, 0, 0, 0], 2: [0, 0, 0, (1 << 22) - 1], 3: [0, 0, -1, 0], 4: None}
+    bits = spark.createDataFrame([*odd.items()], "low long, odd array<long>")
+    found = sorted(tuple(r) for r in simhash._meetings(frame, bits, "alow < blow", 0.8).collect())
+    # 200 shingles allow 22 that only one has; what is not known for an id with two texts is not asked.
+    assert found == [(1, 2), *[(i, 4) for i in (1, 2, 3) for _ in "ab"]]
+
+
+def test_unlike_texts_that_share_shingles_are_not_all_compared(spark, monkeypatch):
+    generator = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = [base[:]]
+    for i in range(60):
+        text = base[:]
+        for at in generator.sample(range(120), 6 if i % 2 else 1):
+            text[at] = f"x{generator.randrange(3)}"
+        texts.append(text)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [set(zip(*[t[j:] for j in range(5)])) for t in texts]
+    links = [(a, b) for a in range(61) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, rows)).collect()}
+    assert found == roots(links, range(61))
