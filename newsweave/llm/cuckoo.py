@@ -108,4 +108,9 @@ class CuckooFilter:
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CuckooFilter:
-        return cls(np.frombuffer(data, np.uint16).reshape(-1, SLOTS).copy())
+        return cls(cls.view(data).table.copy())
+
+    @classmethod
+    def view(cls, data: bytes) -> CuckooFilter:
+        """The filter of ``data`` without a copy; it can only be asked."""
+        return cls(np.frombuffer(data, np.uint16).reshape(-1, SLOTS))

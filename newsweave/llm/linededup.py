@@ -22,6 +22,8 @@ SHARD_KEYS = 500_000
 BROADCAST_BYTES = 64 << 20
 # References that meet a shard's filter in one task, beyond that bound.
 SHARD_ROWS = 5_000_000
+# Frequent keys that go to every task with their last documents, 24 bytes each.
+EXACT_KEYS = 1 << 20
 _KEY = "k1 long, k2 long"
 _STATE = "number long, version string, shards int"
 
@@ -45,6 +47,17 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
+def _maybe_held(first: np.ndarray, second: np.ndarray, filters: list[bytes | None]) -> np.ndarray:
+    """Which keys the shards' filters may hold."""
+    held = np.zeros(len(first), bool)
+    shard = shard_of(first, len(filters))
+    for number, data in enumerate(filters):
+        at = np.flatnonzero(shard == number)
+        if len(at) and data is not None:
+            held[at] = CuckooFilter.view(data).contains(second[at])
+    return held
+
+
 def references(docs: DataFrame, least: int, screen=None) -> DataFrame:
     """(k1, k2, doc_id) for each long line's key, once per row of ``docs``. Rows
     without doc_id hold nothing. ``screen`` is a broadcast of shard filters: keys
@@ -62,17 +75,12 @@ def references(docs: DataFrame, least: int, screen=None) -> DataFrame:
         first, second = _halves(digests)
         ids = np.array(ids, np.int64)
         if screen is not None and len(ids):
-            held = np.zeros(len(ids), bool)
-            shard = shard_of(first, len(screen.value))
-            for number, data in enumerate(screen.value):
-                at = np.flatnonzero(shard == number)
-                if len(at) and data is not None:
-                    held[at] = CuckooFilter.from_bytes(data).contains(second[at])
+            held = _maybe_held(first, second, screen.value)
             first, second, ids = first[held], second[held], ids[held]
         return pa.RecordBatch.from_arrays(
             [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(ids)], ["k1", "k2", "doc_id"])
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, f"{_KEY}, doc_id long")
+    return per_batch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, f"{_KEY}, doc_id long", "text")
 
 
 def shard_of(first: np.ndarray, shards: int) -> np.ndarray:
@@ -227,20 +235,82 @@ class LineStore:
         made.write.mode("overwrite").parquet(f"{self.path}/filters-{self.version}")
         self.spark.createDataFrame([(self.commits, self.version, self.shards)], _STATE).coalesce(1).write.mode("append").parquet(f"{self.path}/state")
 
+    def _filter_bytes(self) -> int:
+        return self.filters().agg(F.sum(F.length("data"))).first()[0] or 0
+
+    def _screen(self) -> list[bytes | None]:
+        tables = {r["shard"]: bytes(r["data"]) for r in self.filters().collect()}
+        return [tables.get(i) for i in range(self.shards)]
+
     def dropped(self, docs: DataFrame) -> DataFrame:
         """(doc_id, gone): the keys whose lines each document loses. The filters
         pick candidates, the exact counts decide. Filters beyond BROADCAST_BYTES are
         not broadcast: then the keys go to their shards."""
-        frequent = cut_lineage(self.frequent())
-        size = self.filters().agg(F.sum(F.length("data"))).first()[0] or 0
-        if size <= BROADCAST_BYTES:
-            tables = {r["shard"]: bytes(r["data"]) for r in self.filters().collect()}
-            candidates = references(docs, self.min_chars, self.spark.sparkContext.broadcast([tables.get(i) for i in range(self.shards)]))
+        return self._dropped(docs, cut_lineage(self.frequent()))
+
+    def _dropped(self, docs: DataFrame, frequent: DataFrame) -> DataFrame:
+        if self._filter_bytes() <= BROADCAST_BYTES:
+            candidates = references(docs, self.min_chars, self.spark.sparkContext.broadcast(self._screen()))
         else:
             candidates = screened_by_shard(references(docs, self.min_chars), self.filters(), self.shards)
         lost = lookup_join(candidates, frequent.select("k1", "k2", "last_doc"), ["k1", "k2"]).where("doc_id <> last_doc")
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
 
+    def cleaned(self, docs: DataFrame, lines: str = "n_lines", lost: str = "n_dropped") -> DataFrame:
+        """``docs`` without the lines of :meth:`dropped`, and two counts. Up to
+        EXACT_KEYS frequent keys meet the lines where the texts are, so that no text is
+        shuffled; more of them are joined."""
+        frequent = cut_lineage(self.frequent())
+        if self._filter_bytes() > BROADCAST_BYTES or frequent.count() > EXACT_KEYS:
+            return without_lines(docs, self._dropped(docs, frequent), self.min_chars, lines, lost)
+        found = frequent.select("k1", "k2", "last_doc").toArrow()
+        keys = _digests(*(found.column(i).to_numpy() for i in (0, 1)))
+        order = np.argsort(keys)
+        exact = self.spark.sparkContext.broadcast((keys[order], found.column(2).to_numpy()[order], self._screen()))
+        return without_frequent_lines(docs, exact, self.min_chars, lines, lost)
+
+
+def _digests(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The 16 bytes of each key."""
+    return np.ascontiguousarray(np.column_stack([first, second])).view("S16")[:, 0]
+
+
+def without_frequent_lines(docs: DataFrame, exact, least: int, lines: str, lost: str) -> DataFrame:
+    """:func:`without_lines` for a broadcast of the sorted frequent keys, their last
+    documents and the shards' filters: the filters screen, the exact keys decide."""
+    docs = docs.drop(lines, lost)
+    place, names = docs.columns.index("text"), [*docs.columns, lines, lost]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, last, filters = exact.value
+        ids = batch.column(batch.num_columns - 1).to_pylist()
+        split = [(text.as_py() or b"").split(b"\n") for text in batch.column(place).cast(pa.binary())]
+        owner, at, digests = [], [], []
+        for row, (doc, found) in enumerate(zip(ids, split)):
+            for number, line in enumerate(found) if doc is not None else ():
+                digest = line_key(line, least) if len(line) >= least else None
+                if digest is not None:
+                    owner.append(row)
+                    at.append(number)
+                    digests.append(digest)
+        gone: dict[int, set[int]] = {}
+        if digests and len(keys):
+            maybe = np.flatnonzero(_maybe_held(*_halves(digests), filters))
+            wanted = np.frombuffer(b"".join(digests), "S16")[maybe]
+            near = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            for i, doc in zip(maybe[keys[near] == wanted].tolist(), last[near[keys[near] == wanted]].tolist()):
+                if ids[owner[i]] != doc:
+                    gone.setdefault(owner[i], set()).add(at[i])
+        kept = [b"\n".join([x for n, x in enumerate(found) if n not in gone[row]] if row in gone else found) for row, found in enumerate(split)]
+        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+        columns[place] = pa.array(kept, pa.binary()).cast(pa.string())
+        counts = [[len(x) for x in split], [len(gone.get(row, ())) for row in range(len(split))]]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in counts)], names)
+
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
+    both = docs.withColumn("text", F.col("text").cast("string")).withColumn(free_name(docs, "_line_doc"), F.col("doc_id").cast("long"))
+    return per_batch(both, run, f"{schema}, {lines} long, {lost} long", "text")
+
 
 def without_lines(docs: DataFrame, dropped: DataFrame, least: int, lines: str = "n_lines", lost: str = "n_dropped") -> DataFrame:
     """``docs`` with the lines of their ``gone`` keys taken out of text, and two
@@ -269,7 +339,7 @@ def without_lines(docs: DataFrame, dropped: DataFrame, least: int, lines: str =
         return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(out, pa.int64())], names)
 
     schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    return per_batch(both, run, f"{schema}, {lines} long, {lost} long")
+    return per_batch(both, run, f"{schema}, {lines} long, {lost} long", "text")
 
 
 def deduplicated(
@@ -285,4 +355,4 @@ def deduplicated(
     spark = docs.sparkSession
     store = LineStore(spark, new_folder(spark, "lines"), min_chars, min_docs)
     store.insert(docs, "0")
-    return without_lines(docs, store.dropped(docs), min_chars, lines, lost)
+    return store.cleaned(docs, lines, lost)

@@ -238,6 +238,18 @@ def test_line_dedup_equals_the_plain_rule(spark):
     assert linededup.deduplicated(docs(spark, [])).collect() == []
 
 
+def test_line_dedup_shuffles_no_text_unless_keys_are_many(spark, monkeypatch):
+    rows = line_rows()
+    found = linededup.deduplicated(docs(spark, rows))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(linededup, "EXACT_KEYS", 0)
+    joined = linededup.deduplicated(docs(spark, rows))
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    for each in (found, joined):
+        columns = each.select(F.coalesce("doc_id", F.lit(-1)), "n_lines", "n_dropped", F.sha2("text", 256))
+        assert sorted(tuple(r) for r in columns.collect()) == slow_lines(rows)
+
+
 def test_line_dedup_is_reversible_and_batches_repeat(spark):
     rows = [r for r in line_rows() if r[0] is not None]
     store = linededup.LineStore(spark, new_folder(spark, "lines"))
