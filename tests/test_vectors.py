@@ -380,3 +380,26 @@ def test_totals_of_many_requests_equal_their_rows(spark, monkeypatch):
     asked = spark.range(20_000).select(F.col("id").alias("request_id"), F.lit("a").alias("topic"), F.timestamp_seconds(F.col("id") % 7).alias("start"), F.timestamp_seconds(F.lit(10**6)).alias("end"))
     found = corpus.requested_articles(many, asked, totals="id").agg(F.sum("articles"), F.max("least"), F.min("greatest")).first()
     assert tuple(found) == (sum(20_000 - r % 7 for r in range(20_000)), 6, 19_999)
+
+
+def test_fitted_text_stages_read_each_article_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"N{i % 9}" if i else None, f"The sun, {'moon' if i % 2 else 'star'} and sea", "of THE sky" if i % 3 else None) for i in range(20)]
+    news = spark.createDataFrame(rows, "news_id string, title string, abstract string")
+    pipeline = text_vectors.text_pipeline(["the", "and", "of"], vector_size=4, min_count=2, partitions=1)
+    model, found = text_vectors.fitted_and_transformed(pipeline, news.mapInArrow(counted, news.schema))
+    assert found.columns == ["news_id", "tokens", "embedding"]
+    kept = lambda frame: sorted((r.news_id or "", r.tokens, r.embedding.toArray().tolist()) for r in frame.collect())
+    once = kept(found)
+    assert read.value == len(rows)
+    # The model works on texts as one that is fitted in one go does.
+    assert once == kept(model.transform(news))
+    whole = pipeline.fit(news).transform(news)
+    assert [x[:2] for x in once] == [x[:2] for x in kept(whole)]
+    assert text_vectors.fitted_and_transformed(pipeline, news)[1].where("size(tokens) > 0").count() == len(rows)
