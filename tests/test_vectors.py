@@ -294,6 +294,33 @@ def test_small_blocks_shuffle_no_more_and_find_the_same(spark):
     assert sorted(similarity.search_approximate(users, index, 5, 2, 20).collect()) == sorted(similarity.top_articles(users, frame, 5).collect())
 
 
+def test_small_pieces_put_few_rows_in_order(monkeypatch):
+    rng = np.random.default_rng(12)
+    users, items = (similarity._unit_rows(rng.normal(size=(n, 16))) for n in (64, 20_000))
+    items[5000:5100] = items[:100]
+    whole, sizes, lexsort = similarity._best(users, items, 10), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sizes.append(len(keys[0])), lexsort(keys))[1])
+    found = similarity._best(users, items, 10, 50)
+    assert all((a == b).all() for a, b in zip(whole, found))
+    # Not the ten best of each of 400 pieces.
+    assert sum(sizes) < 100 * 64 * 10
+    # What can't be among the best of a user is left out, what ties with the bound is not.
+    bound = whole[2].reshape(64, 10)[:, 4]
+    rows, _, values = similarity._best(users, items, 10, 50, bound)
+    assert all((values[rows == i][:5] == whole[2].reshape(64, 10)[i, :5]).all() for i in range(64))
+
+
+def test_exact_search_emits_only_what_reaches_the_first_hits(spark):
+    rng = np.random.default_rng(13)
+    frame = articles(spark, [(f"N{i}", rng.normal(size=8)) for i in range(900)])
+    users = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)], 0.8) for i in range(50)], "user_id long, user_embedding array<double>, bound double")
+    index = similarity.cells_around(frame, rng.normal(size=(3, 8)))
+    chosen = similarity._user_cells(users, index, "reachable")
+    found = similarity._search_cells(chosen, index, 10, 50)
+    unbound = similarity._search_cells(chosen.drop("bound"), index, 10, 50).where("similarity_score >= 0.8")
+    assert 0 < found.count() < 50 * 2 * 10 and sorted(found.collect()) == sorted(unbound.collect())
+
+
 def test_hashed_contexts_send_one_row_for_each_word_of_a_task_and_stream(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(f"a{i % 5}", i // 5, f"w{rng.integers(6)}") for i in range(3000)] + [(None, 0, "x"), (None, 1, None), (None, 2, "y")]
