@@ -283,6 +283,37 @@ def test_a_user_goes_to_a_block_once_however_many_cells(spark, monkeypatch):
         assert sorted(quantised.search(users, index, probes=probes, short=1100).collect()) == exact
 
 
+def test_a_short_list_leaves_its_task_whole_and_vectors_come_later(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(f"N{i:04d}", rng.normal(size=8)) for i in range(900)]
+    frame = articles(spark, rows + rows[:40] + [(f"Z{i}", np.ones(8)) for i in range(30)])
+    users = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(30)] + [(30, [0.0] * 8)]
+    users = spark.createDataFrame(users, "user_id long, user_embedding array<double>")
+    index = quantised.build(frame, new_folder(spark, "quantised"))
+    listed = quantised._shortlists(quantised._unit_users(users), index, 12, 200, 10)
+    # Not the 200 listed articles of a user go on, but its best by cosine, one row for each.
+    assert listed.count() == 31 * 10
+    near = sorted(quantised.search(users, index, probes=12, short=200).collect())
+    exact = sorted(quantised.search(users, index, probes=len(index.fine), short=2000).collect())
+    # Several blocks of codes, whose lists are merged, and of vectors.
+    monkeypatch.setattr(quantised, "BLOCK_ROWS", 250)
+    monkeypatch.setattr(quantised, "CODE_BLOCKS", 1)
+    assert sorted(quantised.search(users, index, probes=12, short=200).collect()) == near
+    # With all cells and articles the rows of an id stand for each other, in any number of blocks.
+    assert sorted(quantised.search(users, index, probes=len(index.fine), short=2000).collect()) == exact
+
+
+def test_articles_all_listed_are_scored_by_products(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    frame = articles(spark, [(f"N{i:03d}", rng.normal(size=8)) for i in range(400)])
+    users = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(20)], "user_id long, user_embedding array<double>")
+    index = quantised.build(frame, new_folder(spark, "quantised"))
+    # Pairs are not scored one by one.
+    monkeypatch.setattr(quantised, "_exact", None)
+    found = quantised.search(users, index, probes=len(index.fine), short=400)
+    assert sorted(found.collect()) == sorted(similarity.top_articles(users, frame).collect())
+
+
 def test_small_blocks_shuffle_no_more_and_find_the_same(spark):
     rng = np.random.default_rng(10)
     frame = articles(spark, [(f"N{i}", rng.normal(size=8)) for i in range(600)])
