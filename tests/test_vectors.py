@@ -247,6 +247,26 @@ def test_means_of_vectors_too_many_to_broadcast(spark, monkeypatch):
     assert needed.where("news_id <> 'N1'").groupBy("_of_bucket", "news_id").count().where("count > 1").isEmpty()
 
 
+def test_frequent_words_are_added_up_where_the_articles_are(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    words = [(f"N{i % 70}" if i else None, [f"w{int(w)}" for w in rng.zipf(1.4, size=30) if w < 400] + (["lost"] if i % 3 else [])) for i in range(90)]
+    words += [("N1", []), ("N500", ["lost", None]), ("N501", ["w390", None, "w1"]), ("N502", None)]
+    words = spark.createDataFrame(words, "news_id string, tokens array<string>")
+    table = [(f"w{i}", [float(x) for x in rng.normal(size=4)]) for i in range(400)] + [("w1", [1.0, 2.0, 3.0, 4.0]), ("w399", [9.0] * 4), ("w2", None)]
+    dealt, split = [], profiles._bucket_means
+    monkeypatch.setattr(text_vectors, "_bucket_means", lambda rows, *a: (dealt.append(rows.count()), split(rows, *a))[1])
+    for kind, most in (("float", 4 * 4 * 30), ("double", 8 * 4 * 30), ("float", 1), ("float", 64 << 20)):
+        vectors = spark.createDataFrame(table, f"token string, vector array<{kind}>")
+        monkeypatch.setattr(text_vectors, "_FREQUENT_BYTES", most)
+        few = {r.news_id: r.embedding for r in text_vectors.document_vectors(words, vectors).collect()}
+        many = {r.news_id: r.embedding for r in text_vectors.document_vectors(words, vectors, budget=0).collect()}
+        assert set(few) == set(many) and None in many and "N500" not in many and "N502" not in many
+        assert all(np.allclose(few[u], many[u], atol=1e-12) for u in few)
+    pairs = words.selectExpr("news_id", "explode(tokens) token").where("token is not null").distinct().count()
+    # Only rare words are dealt out; with no room for frequent ones, all are.
+    assert dealt[0] < pairs / 2 and dealt[0] == dealt[1] and dealt[2] >= pairs and dealt[3] < dealt[0]
+
+
 def test_token_level_vectors_meet_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(text_vectors, "_BUCKET_ROWS", 10)
     words = [("a", "x y x z".split()), ("b", "y q".split()), ("b", "x".split()), (None, ["z"]), ("c", ["q"]), ("d", [])]
