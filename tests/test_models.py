@@ -179,6 +179,39 @@ def test_stream_keeps_first_arrivals_through_replays_and_restarts(spark, monkeyp
         incremental.embed_arriving(spark, f"{root}/articles", f"{root}/vectors", tokens, f"{root}/other", schema=fields)
 
 
+@pytest.mark.parametrize("budget", [1 << 20, 0])
+def test_a_batch_is_read_once_and_not_kept(spark, monkeypatch, budget):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    tokens = spark.createDataFrame([("one", [1.0, 0.0]), ("two", [0.0, 1.0])], "token string, vector array<float>")
+    batch = spark.createDataFrame([(f"N{i}", "One", "two" if i % 2 else None) for i in range(30)], "news_id string, title string, abstract string")
+    batch = batch.mapInArrow(counted, batch.schema)
+    whole = incremental.document_vectors
+    monkeypatch.setattr(incremental, "document_vectors", lambda *a: whole(*a, budget=budget))
+    monkeypatch.setattr(type(batch), "persist", None)
+    root = new_folder(spark, "batches")
+    incremental.embed_batch(batch, 3, root, tokens)
+    found = {r.news_id: r.embedding for r in spark.read.parquet(f"{root}/batch=3").collect()}
+    assert read.value == 30 and found == {f"N{i}": [0.5, 0.5] if i % 2 else [1.0, 0.0] for i in range(30)}
+
+
+def test_new_vectors_are_stored_packed_before_the_append(spark, monkeypatch):
+    from newsweave.plans import content
+
+    tokens = spark.createDataFrame([("one", [1.0, 0.0]), ("two", [0.0, 1.0])], "token string, vector array<float>")
+    news = spark.createDataFrame([("a", "One", "two"), ("b", "two", None)], "news_id string, title string, abstract string")
+    path = new_folder(spark, "vectors")
+    monkeypatch.setattr(content, "cut_lineage", None)
+    content.embed_new_articles([news.limit(1)], spark.createDataFrame([], "news_id string"), tokens, path)
+    content.embed_new_articles([news], spark.read.parquet(path), tokens, path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", "0.5,0.5"), ("b", "0.0,1.0")]
+
+
 def test_input_of_a_batch_does_not_grow(spark):
     root = new_folder(spark, "stream")
     tokens = spark.createDataFrame([("one", [1.0])], "token string, vector array<float>")
