@@ -15,7 +15,7 @@ from newsweave.operators.profiles import profiles_from_all_rows, profiles_from_f
 from newsweave.operators.similarity import load_or_build_cells, search_approximate, top_articles
 from newsweave.operators.text_vectors import new_document_vectors
 from newsweave.operators.vectors import parsed_checked, serialised
-from newsweave.session import cut_lineage
+from newsweave.session import cut_lineage, stored
 from newsweave.sinks.writers import append, upsert_recommendations
 from newsweave.sources.tables import ContentInput, latest_news
 
@@ -40,7 +40,7 @@ def embed_new_articles(
     vectors = serialised(new_document_vectors(latest_news(*news), done, token_vectors, stop_words))
     if path:
         # Written out before the append, as ``done`` may be the same table.
-        vectors = cut_lineage(vectors)
+        vectors = stored(vectors, "vectors")
         append(vectors, path)
     return vectors
 
