@@ -280,6 +280,16 @@ def test_token_level_vectors_meet_in_buckets(spark, monkeypatch):
     assert "collect_list" not in plan
 
 
+def test_words_dealt_into_buckets_are_stored_packed(spark, monkeypatch):
+    from newsweave.operators import joins
+
+    monkeypatch.setattr(joins, "cut_lineage", None)
+    words = spark.createDataFrame([("a", "x y x".split()), ("b", ["y"]), (None, ["x"])], "news_id string, tokens array<string>")
+    table = spark.createDataFrame([("x", [1.0]), ("y", [2.0])], "token string, vector array<double>")
+    found = {r.news_id: r.embedding for r in text_vectors.token_level_vectors(words, table).collect()}
+    assert found == {"a": [[1.0], [2.0], [1.0]], "b": [[2.0]], None: [[1.0]]}
+
+
 def test_a_user_goes_to_a_block_once_however_many_cells(spark, monkeypatch):
     rng = np.random.default_rng(9)
     frame = articles(spark, [(f"N{i}", rng.normal(size=8)) for i in range(900)] + [(f"T{i}", np.ones(8)) for i in range(200)])
